@@ -48,6 +48,7 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 def powers(n: int, base: int = BASE) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64 (the table is rounded up and kept)."""
+    n = int(n)
     return _powers(max(SLICE + 1, 1 << (n - 1).bit_length() if n > 1 else 1), base)[:n]
 
 

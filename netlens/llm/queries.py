@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, token_files
+from . import embeddings, minhash, packing, pieces, token_files
 
 QUERIES = {
     "op1_token_files": token_files.query,
+    "op2_embeddings": embeddings.query,
     "op3_sentencepiece": pieces.query,
     "op4_packing": packing.query,
+    "op5_minhash": minhash.query,
 }
 
 SQL: dict[str, str] = {}
