@@ -1,3 +1,66 @@
-"""Corpus preparation in five stages (placeholder order; stages follow)."""
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+"""Corpus preparation in five stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its output is written
+as Parquet and read again as the next one's input.  All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from netlens.llm import chunks, language, minhash, packing, quality
+from netlens.llm.common import staged
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language was found with at least even odds."""
+    found = language.of_documents(docs, docs.columns)
+    kept = found.where((F.col("language") != language.UNDETERMINED) & (F.col("confidence") >= 0.5))
+    return kept.select(*docs.columns)
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the Gumbel top-k by importance weight, k as in op6."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ratio = quality.fit(docs, quality.clean(labels))
+    limit = quality.cut_off(staged(quality.weigh(docs, ratio, ["doc_id"]), "weights"), labels)
+    return quality.weigh(docs, ratio, docs.columns).where(F.col("gumbel_key") >= limit).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group: five-word shingles, similarity 0.8 or more."""
+    found = minhash.near_duplicates(docs, k=5, similarity=0.8)
+    rest = found.where("NOT kept").select("doc_id").distinct()
+    return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut repeated passages out of the texts, all but their first occurrence."""
+    return chunks.remove_spans(docs, chunks.repeated_spans(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack into sequences of at most 2048 tokens, end id 1: a row per piece, with its ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("quality", classify_quality),
+    ("near-duplicates", drop_near_duplicates),
+    ("repeats", cut_repeats),
+    ("packing", pack_sequences),
+]
+
+#: The stages' models, hashes and chunk cuts are not expressible in SQL; tests/llm compares with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, minhash, packing, pieces, token_files
+from . import chunks, embeddings, fingerprints, language, minhash, packing, pieces, quality, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.query,
@@ -10,6 +10,12 @@ QUERIES = {
     "op3_sentencepiece": pieces.query,
     "op4_packing": packing.query,
     "op5_minhash": minhash.query,
+    "op6_quality": quality.query,
+    "op7_fingerprints": fingerprints.query,
+    "op8_warc": warc.query,
+    "op9_language": language.query,
+    "op10_chunks": chunks.query,
+    "page_language": language.pages_query,
 }
 
 SQL: dict[str, str] = {}
