@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the Gumbel top-k by importance weight, k as in op6."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    ratio = quality.fit(docs, quality.clean(labels))
+    ratio = quality.fit(docs, quality.clean(labels, 0))
     limit = quality.cut_off(staged(quality.weigh(docs, ratio, ["doc_id"]), "weights"), labels)
     return quality.weigh(docs, ratio, docs.columns).where(F.col("gumbel_key") >= limit).select(*docs.columns)
 

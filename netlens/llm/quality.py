@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, staged, text_column
@@ -109,13 +109,15 @@ def kth_largest(table: DataFrame, key: str, k: int) -> float:
     return low
 
 
-def clean(labels: DataFrame) -> DataFrame:
-    return labels.where("quality = 1 AND toxic = 0").select("doc_id")
+def clean(labels: DataFrame, fold: int) -> DataFrame:
+    """doc_ids of the clean labelled documents in one of two folds: 0 fits the target model, 1 sets the cut."""
+    good = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id")
+    return good.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == fold)
 
 
 def cut_off(weighed: DataFrame, labels: DataFrame, lost: float = 0.005) -> float:
-    """The key below which a share ``lost`` of the labelled clean documents falls: documents above it are kept."""
-    good = weighed.select("doc_id", "gumbel_key").join(clean(labels), "doc_id", "left_semi")
+    """The key below which a share ``lost`` of the held-out clean documents falls; without any, all documents are kept."""
+    good = weighed.select("doc_id", "gumbel_key").join(clean(labels, 1), "doc_id", "left_semi")
     n = good.count()
     return kth_largest(good, "gumbel_key", n - int(n * lost)) if n else float("-inf")
 
@@ -124,9 +126,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: doc_id, log_weight, gumbel_key and kept for every document.
 
     kept marks the Gumbel top-k, k being the number of documents whose key is not below that of all but 0.5 % of
-    the labelled clean documents.
+    the labelled clean documents that the model has not seen.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    weighed = staged(weigh(docs, fit(docs, clean(labels)), ["doc_id"]), "weights")
+    weighed = staged(weigh(docs, fit(docs, clean(labels, 0)), ["doc_id"]), "weights")
     return weighed.withColumn("kept", F.col("gumbel_key") >= F.lit(cut_off(weighed, labels)))
