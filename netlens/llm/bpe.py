@@ -3,7 +3,8 @@
 The pre-tokeniser always cuts before a single space that has a non-space character on
 both sides, and nothing left of such a cut changes what follows.  So a text is
 the sequence of its space-led pieces; each different piece is encoded once by the
-library and kept in a bounded memo.  Texts with other runs of white space around a
+library and kept in a bounded memo, new ones cut further before single line breaks and between letters and
+closing punctuation, where the pre-tokeniser cuts too.  Texts with other runs of white space around a
 space are encoded whole.  ``tests/llm`` compares with encoding every text whole.
 """
 
@@ -13,8 +14,26 @@ import os
 
 import numpy as np
 
-#: Pieces kept per Python worker; the memo starts anew when it is full.
-MEMO = 300_000
+#: Pieces per generation of a Python worker's memo; the last two generations are kept.
+MEMO = 500_000
+#: Punctuation that may close a run of letters; the apostrophe is not among it, as it can start a contraction.
+CLOSING = ".,;:!?*#%$&\")]"
+
+
+def units(piece: str) -> list[str]:
+    """A space-led piece (without its space) as units: the first space-led, those with a line break in front as they are, those with a tab in front closing punctuation."""
+    lines = piece.split("\n")
+    if not all(lines):
+        return [piece]
+    out = []
+    for i, line in enumerate(lines):
+        body = line.rstrip(CLOSING)
+        lead = "\n" if i else ""
+        if len(body) < len(line) and body.isalpha():
+            out += [lead + body, "\t" + line[len(body) :]]
+        else:
+            out.append(lead + line)
+    return out
 
 
 class Encoder:
@@ -27,6 +46,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marked: dict[str, bytes] = {}  # units led by a line break or tab, which a piece of a text could look like
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -42,13 +63,23 @@ class Encoder:
             new = list({x for x, y in zip(rest, ids) if y is None})
             if any(not x or x[0].isspace() or x[-1].isspace() for x in new):
                 return self._whole([text])[0]
-            fresh = {}
-            for i in range(0, len(new), 2000):
-                some = new[i : i + 2000]
-                fresh.update(zip(some, self._whole([" " + x for x in some])))
-            if len(memo) + len(fresh) > MEMO:
-                memo.clear()
-            memo.update((x, y) for x, y in fresh.items() if len(x) <= 64)
+            fresh = {x: y for x in new if (y := self.older.get(x)) is not None}
+            cut = {x: units(x) for x in new if x not in fresh}
+            lone = {u for us in cut.values() for u in us}
+            known = {u: y for u in lone if (y := self.marked.get(u) if u[0] in "\n\t" else memo.get(u) or self.older.get(u)) is not None}
+            lone = list(lone - known.keys())
+            for i in range(0, len(lone), 2000):
+                some = lone[i : i + 2000]
+                known.update(zip(some, self._whole([u[1:] if u[0] == "\t" else u if u[0] == "\n" else " " + u for u in some])))
+            fresh.update((x, b"".join([known[u] for u in us])) for x, us in cut.items())
+            if len(memo) > MEMO:
+                self.older, self.memo = memo, {}
+            if len(self.marked) > MEMO:
+                self.marked.clear()
+            for x, y in known.items():
+                if len(x) <= 64:
+                    (self.marked if x[0] in "\n\t" else self.memo)[x] = y
+            self.memo.update((x, y) for x, y in fresh.items() if len(x) <= 64)
             ids = [fresh[x] if y is None else y for x, y in zip(rest, ids)]
         return (self._whole([first])[0] if first else b"") + b"".join(ids)
 

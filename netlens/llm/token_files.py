@@ -83,7 +83,8 @@ def write_tokens(
     place = place or new_place(spark, "tokens")
     make_folder(place)
     docs = docs.select("doc_id", "text")
-    heads = docs.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, 8192).alias("t")).orderBy("h", "t").limit(dictionary_documents).collect()
+    lowest = docs.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(dictionary_documents).agg(F.max("h")).first()[0]
+    heads = docs.where(F.xxhash64("doc_id") <= lowest).select(F.substring("text", 1, 8192).alias("t")).limit(dictionary_documents).collect() if lowest is not None else []
     encode = encoder(tokenizer_path).encode
     dictionary = train_dictionary([serialise(np.frombuffer(encode(r.t or ""), "<u4"))[0] for r in heads], dictionary_bytes)
     digest = hashlib.sha256(dictionary).digest()
@@ -96,15 +97,18 @@ def write_tokens(
         import zstandard
 
         encode = encoder(tokenizer_path).encode
-        compress = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary)).compress
+        shared = _dictionary(dictionary)
+        if shared:
+            shared.precompute_compress(level=level)
+        compress = zstandard.ZstdCompressor(level=level, dict_data=shared).compress
         where, path = filesystem(place)
         shard, out, index, at, tokens = TaskContext.get().partitionId(), None, [], 0, 0
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
         for batch in batches:
             if out is None and batch.num_rows:
                 out = where.open_output_stream(f"{path}/{name}")
-            for doc_id, text in zip(column(batch, "doc_id").to_pylist(), text_column(batch, "text")):
-                ids = np.frombuffer(encode(text.as_py()) + end, "<u4")
+            for doc_id, text in zip(column(batch, "doc_id").to_pylist(), text_column(batch, "text").to_pylist()):
+                ids = np.frombuffer(encode(text) + end, "<u4")
                 raw, width = serialise(ids)
                 frame = compress(raw)
                 out.write(frame)
@@ -191,8 +195,9 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     i = j
                 source.close()
 
-    shards = manifest.select("path", "start")
-    return shards.repartition(F.col("path")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    # a stated number of partitions, as the few manifest rows would otherwise be coalesced into one task
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("path", "start").repartition(parts, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
