@@ -124,8 +124,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits =
 
         for batch in batches:
             losses = column(batch, "loss_tokens").to_pylist() if with_loss else [None] * batch.num_rows
-            for doc_id, text, loss in zip(column(batch, "doc_id").to_pylist(), text_column(batch, "text"), losses):
-                ids = encode(text.as_py()) + end
+            for doc_id, text, loss in zip(column(batch, "doc_id").to_pylist(), text_column(batch, "text").to_pylist(), losses):
+                ids = encode(text) + end
                 held.append((doc_id, ids, loss))
                 n_held += len(ids)
                 if len(held) >= limits.block or n_held > 32 << 20:

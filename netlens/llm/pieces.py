@@ -23,7 +23,8 @@ from .common import column, text_column
 MARK = "▁"
 #: Score of a character that no piece covers; below any sum of piece scores of a word.
 UNKNOWN = -1e12
-MEMO = 300_000
+#: Words per generation of a Python worker's memo; the last two generations are kept.
+MEMO = 400_000
 
 
 class Pieces:
@@ -51,6 +52,7 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.special = {i for i in range(len(self.pieces)) if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def best(self, text: str) -> list[int]:
         """Ids of the best-scoring segmentation of a marked text; ties go to the piece found first at the end position, longest first."""
@@ -103,10 +105,13 @@ class Pieces:
                 continue
             found = memo.get(unit) if marks == 1 else None
             if found is None:
-                found = np.array(self.best(MARK * marks + unit), "<u4").tobytes()
+                found = self.older.get(unit) if marks == 1 else None
+                if found is None:
+                    found = np.array(self.best(MARK * marks + unit), "<u4").tobytes()
                 if marks == 1 and len(unit) <= 64:
                     if len(memo) >= MEMO:
-                        memo.clear()
+                        self.older, self.memo = memo, {}
+                        memo = self.memo
                     memo[unit] = found
             out.append(found)
             marks = 0

@@ -200,7 +200,9 @@ def read_archives(directory: DataFrame) -> DataFrame:
                 )
 
     named = directory.select("path", "offset", "length").mapInArrow(blocks, "path string, offset long, length long, digest string")
-    named = named.repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+    # a stated number of partitions, as the small index rows stand for much larger records
+    parts = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = named.repartitionByRange(parts, "path", "offset").sortWithinPartitions("path", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, opened = None, None
