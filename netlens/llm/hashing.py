@@ -136,7 +136,7 @@ def sequence_keys(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     return keys[0], keys[1]
 
 
-def parts(texts: pa.Array, limit: int = 8 << 20):
+def parts(texts: pa.Array, limit: int = 2 << 20):
     """Slices (first row, array) of about ``limit`` bytes of text each, to bound memory."""
     _, offsets = text_bytes(texts)
     i = 0

@@ -31,6 +31,8 @@ from .hashing import mix, owners, parts, sequence_keys, shingles, text_bytes, wo
 #: Registers (prime, for the affine permutations), bands of rows; 24 bands of 5 miss a pair of
 #: similarity 0.85 with probability 8e-7, one of 0.8 with 6e-5.
 REGISTERS, BANDS, ROWS = 127, 24, 5
+#: Bits of the filter that picks documents of groups from the second scan; fuller filters only let more rows through.
+FILTER_BITS = 1 << 24
 #: Base and rate of the registers; 16-bit values then hold sets of up to e**62 elements.
 SKETCH_BASE, RATE, TOP = 1.001, 20.0, 65535
 
@@ -138,12 +140,33 @@ def band_rows(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "regs").mapInArrow(run, "rep long, band long")
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, key1, key2 and set: the sorted distinct shingle hashes as little-endian 64-bit bytes."""
+def id_positions(ids: np.ndarray) -> np.ndarray:
+    """Bit positions of ids in a filter of FILTER_BITS."""
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (FILTER_BITS, so 2 MB) that holds every id of ``ids(rep)``, and some others by chance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(id_positions(batch.column(0).to_numpy(zero_copy_only=False)))], names=["p"])
+
+    part = ids.select("rep").mapInArrow(run, "p long").groupBy(F.floor(F.col("p") / 32768).alias("k")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for k, bits in part.collect():  # at most FILTER_BITS / 32768 rows of 4 KB
+        out[k * 4096 : (k + 1) * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def shingle_sets(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
+    """doc_id, key1, key2 and set: the sorted distinct shingle hashes as little-endian 64-bit bytes, of documents that the bitmap holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in parts(text_column(batch, "text"), 2 << 20):
+            at_bit = id_positions(column(batch, "doc_id").to_numpy(zero_copy_only=False))
+            batch = batch.filter(pa.array((wanted[at_bit >> 3] >> (at_bit & 7).astype(np.uint8)) & 1 == 1))
+            for at, texts in parts(text_column(batch, "text"), 1 << 20):
                 words, bounds = word_hashes(*text_bytes(texts))
                 hashes, to = shingles(words, bounds, k)
                 key1, key2 = sequence_keys(words, bounds)
@@ -250,8 +273,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, block_
     members = classes.join(groups, "rep")
     load = members.groupBy("group").agg(F.ceil(F.sum("n") * 8 / block_bytes).cast("long").alias("blocks"))
     placed = staged(members.join(load, "group").withColumn("block", F.expr("pmod(xxhash64(rep), blocks)")), "placed")
-    texts = docs.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = shingle_sets(texts, k).groupBy(F.col("doc_id").alias("rep"), "key1", "key2").agg(F.first("set").alias("set"))
+    # texts are not shuffled: a bitmap of fixed size picks the documents whose sets are made, the join drops chance hits
+    sets = shingle_sets(docs.where("doc_id IS NOT NULL"), k, id_filter(placed)).groupBy(F.col("doc_id").alias("rep"), "key1", "key2").agg(F.first("set").alias("set"))
     whole = placed.join(sets, ["rep", "key1", "key2"])
     blocks = staged(whole.groupBy("group", "blocks", "block").agg(F.collect_list(F.struct("rep", "regs", "set")).alias("members")), "blocks")
     links = verified_links(blocks, similarity)
