@@ -32,7 +32,7 @@ def empty(spark: SparkSession, n: int) -> Graph:
 
 def complete(spark: SparkSession, n: int) -> Graph:
     """Every ordered pair, each vertex making its own row of pairs."""
-    e = _ids(spark, n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).cast("long").alias("dst"))
+    e = _ids(spark, n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long"))).alias("dst"))
     return graph(e, _ids(spark, n))
 
 
