@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlens.llm import chunks, language, minhash, packing, quality
-from netlens.llm.common import staged
+from netlens.llm.common import fresh, staged
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language was found with at least even odds."""
-    found = language.of_documents(docs, docs.columns)
-    kept = found.where((F.col("language") != language.UNDETERMINED) & (F.col("confidence") >= 0.5))
-    return kept.select(*docs.columns)
+    tag, sure = fresh("language", docs.columns), fresh("confidence", docs.columns)
+    found = language.of_documents(docs, docs.columns, (tag, sure))
+    return found.where((F.col(tag) != language.UNDETERMINED) & (F.col(sure) >= 0.5)).drop(tag, sure)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,14 +26,15 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     ratio = quality.fit(docs, quality.clean(labels, 0))
     limit = quality.cut_off(staged(quality.weigh(docs, ratio, ["doc_id"]), "weights"), labels)
-    return quality.weigh(docs, ratio, docs.columns).where(F.col("gumbel_key") >= limit).select(*docs.columns)
+    weight, key = fresh("log_weight", docs.columns), fresh("gumbel_key", docs.columns)
+    return quality.weigh(docs, ratio, docs.columns, (weight, key)).where(F.col(key) >= limit).drop(weight, key)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group: five-word shingles, similarity 0.8 or more."""
     found = minhash.near_duplicates(docs, k=5, similarity=0.8)
     rest = found.where("NOT kept").select("doc_id").distinct()
-    return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(rest, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack into sequences of at most 2048 tokens, end id 1: a row per piece, with its ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # workers outlive a stage, so the memo stays small beside what the other stages hold
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), memo=100_000)
 
 
 STAGES = [

@@ -45,6 +45,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.limit = MEMO
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marked: dict[str, bytes] = {}  # units led by a line break or tab, which a piece of a text could look like
@@ -72,9 +73,9 @@ class Encoder:
                 some = lone[i : i + 2000]
                 known.update(zip(some, self._whole([u[1:] if u[0] == "\t" else u if u[0] == "\n" else " " + u for u in some])))
             fresh.update((x, b"".join([known[u] for u in us])) for x, us in cut.items())
-            if len(memo) > MEMO:
+            if len(memo) > self.limit:
                 self.older, self.memo = memo, {}
-            if len(self.marked) > MEMO:
+            if len(self.marked) > self.limit:
                 self.marked.clear()
             for x, y in known.items():
                 if len(x) <= 64:
@@ -87,8 +88,9 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file, loaded once."""
+def encoder(path: str, memo: int = MEMO) -> Encoder:
+    """The worker's encoder for a vocabulary file, loaded once; ``memo`` pieces a generation (about 250 bytes each) at most."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].limit = memo
     return _encoders[path]

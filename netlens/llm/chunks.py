@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import column, staged, text_column
+from .common import column, fresh, staged, text_column
 from .hashing import EXACT, mix, owners, parts, span_hashes, text_bytes, word_spans
 
 #: Cuts are minima of so many word starts; a passage of 51 words then holds whole chunks of
@@ -67,7 +67,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)
-            for at, texts in parts(text_column(batch, "text"), 4 << 20):
+            for at, texts in parts(text_column(batch, "text"), 1 << 20):
                 data, offsets = text_bytes(texts)
                 first, after, own, starts, ends = cut(data, offsets)
                 if not len(first):
@@ -111,14 +111,15 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     Spans go by doc_id; rows that share a doc_id get each other's cuts, so ids should be unique here.
     """
     columns = docs.columns
-    cuts = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
-    joined = docs.join(cuts, "doc_id", "left").select(*columns, "_cuts")
+    extra = fresh("_cuts", columns)
+    cuts = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(extra))
+    joined = docs.join(cuts, "doc_id", "left").select(*[F.col(f"`{c}`") for c in columns], extra)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = column(batch, "text").to_pylist()
-            for i, cuts in enumerate(column(batch, "_cuts").to_pylist()):
+            for i, cuts in enumerate(column(batch, extra).to_pylist()):
                 if not cuts:
                     continue
                 data, out, at = (texts[i] or "").encode(), [], 0

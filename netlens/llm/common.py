@@ -69,6 +69,14 @@ def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return pc.fill_null(batch.column(batch.schema.get_field_index(name)), "")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it as long as a column of ``taken`` has that name (in any case)."""
+    lower = {x.lower() for x in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

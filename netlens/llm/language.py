@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, staged, text_column
@@ -59,7 +59,7 @@ def fit(docs: DataFrame, label: str, languages: list[str], sample: int = 20_000)
             place = {x: i for i, x in enumerate(languages)}
             for batch in batches:
                 which = np.array([place[x] for x in column(batch, "l").to_pylist()], np.int64)
-                for at, texts in parts(text_column(batch, "text"), 4 << 20):
+                for at, texts in parts(text_column(batch, "text"), 1 << 20):
                     code, own = trigrams(*text_bytes(texts))
                     total += np.bincount(which[at : at + len(texts)][own] * BUCKETS + code, minlength=total.size).reshape(total.shape)
             l, b = np.nonzero(total)
@@ -89,35 +89,35 @@ def _posterior(logs: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def identify(table: DataFrame, model: np.ndarray, languages: list[str], carry: list[str], background: float = 1e-3) -> DataFrame:
-    """Language of each row of ``table(text, host, suffix, declared, ...)``.
+def identify(table: DataFrame, model: np.ndarray, languages: list[str], carry: list[str], text: str, host: Column, suffix: Column, declared: Column, names_out: tuple[str, str] = ("language", "confidence"), background: float = 1e-3) -> DataFrame:
+    """Language of each row of ``table`` from its column ``text``, and host, address suffix and declared language.
 
-    Returns the columns ``carry`` (any of the table's), language (``und`` where the background explains the text best or there is no letter
+    Returns the columns ``carry`` (any of the table's) and two more, named by ``names_out``: language (``und`` where the background explains the text best or there is no letter
     trigram at all) and confidence, the posterior probability of that language (0.0 without evidence).  Null host, suffix
     or declaration is a value of its own.  Every row is kept; an empty table gives no rows.
     """
     names, width = [f"p{i}" for i in range(len(languages) + 1)], len(languages) + 1
-    known = F.when(F.col("declared").isNull(), F.lit("")).otherwise(F.lower(F.regexp_extract("declared", "^([A-Za-z]{2,3})", 1)))
-    declared = F.when(known.isin("", *languages), known).otherwise(F.lit("?"))
+    known = F.coalesce(F.lower(F.regexp_extract(declared, "^([A-Za-z]{2,3})", 1)), F.lit(""))
+    words = f"c_{text}" if text in carry else "_text"  # a text that is carried anyway is sent once
     table = table.select(
-        *[F.col(c).alias(f"c_{c}") for c in carry],
-        F.coalesce("text", F.lit("")).alias("_text"),
-        F.coalesce("host", F.lit("")).alias("_host"),
-        F.coalesce("suffix", F.lit("")).alias("_suffix"),
-        declared.alias("_declared"),
+        *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry],
+        *([] if text in carry else [F.col(f"`{text}`").alias("_text")]),
+        F.coalesce(host, F.lit("")).alias("_host"),
+        F.coalesce(suffix, F.lit("")).alias("_suffix"),
+        F.when(known.isin("", *languages), known).otherwise(F.lit("?")).alias("_declared"),
     )
     start = np.log(np.append(np.full(len(languages), (1 - background) / len(languages)), background))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in parts(text_column(batch, "_text"), 4 << 20):
+            for at, texts in parts(text_column(batch, words), 1 << 20):
                 scores = text_scores(texts, model)
                 seen = ~np.isnan(scores[:, 0])
                 p = _posterior(np.where(seen[:, None], scores, 0.0) + start) * seen[:, None]
                 keys = [column(batch, c).slice(at, len(texts)) for c in ("_host", "_suffix", "_declared")]
                 yield pa.RecordBatch.from_arrays([*keys, *[pa.array(p[:, i]) for i in range(width)]], names=["host", "suffix", "declared", *names])
 
-    thin = table.select("_text", "_host", "_suffix", "_declared").mapInArrow(first, "host string, suffix string, declared string, " + ", ".join(f"{x} double" for x in names))
+    thin = table.select(words, "_host", "_suffix", "_declared").mapInArrow(first, "host string, suffix string, declared string, " + ", ".join(f"{x} double" for x in names))
     sums = staged(thin.groupBy("host", "suffix", "declared").agg(*[F.sum(x).alias(x) for x in names]), "language-sums")
     by_declared = {r.declared: np.array(r[1:]) for r in sums.groupBy("declared").agg(*[F.sum(x) for x in names]).collect()}  # at most languages + 2 rows
     overall = sum(by_declared.values(), np.zeros(width)) + 1.0
@@ -126,7 +126,6 @@ def identify(table: DataFrame, model: np.ndarray, languages: list[str], carry: l
     table_d = np.stack([by_declared.get(d, np.zeros(width)) for d in options]) + 0.5
     trust = np.log(table_d / table_d.sum(0))  # log P(declared | language)
 
-    total = lambda keys: [F.sum(x).over(keys) for x in names]
     hosts = sums.groupBy("host", "suffix").agg(*[F.sum(x).alias(x) for x in names])
     suffixes = hosts.groupBy("suffix").agg(*[F.sum(x).alias(f"s{x}") for x in names])
     hosts = hosts.join(suffixes, "suffix")
@@ -141,7 +140,7 @@ def identify(table: DataFrame, model: np.ndarray, languages: list[str], carry: l
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = {d: i for i, d in enumerate(options)}
         for batch in batches:
-            for at, texts in parts(text_column(batch, "_text"), 4 << 20):
+            for at, texts in parts(text_column(batch, words), 1 << 20):
                 scores = text_scores(texts, model)
                 own = slice(at, at + len(texts))
                 some = batch.slice(at, len(texts))
@@ -153,20 +152,19 @@ def identify(table: DataFrame, model: np.ndarray, languages: list[str], carry: l
                 best[none] = width - 1
                 tags = np.array([*languages, UNDETERMINED], object)[best]
                 sure = np.where(none, 0.0, p[np.arange(len(p)), best])
-                yield pa.RecordBatch.from_arrays([*[column(some, f"c_{c}") for c in carry], pa.array(tags, pa.string()), pa.array(sure)], names=[*carry, "language", "confidence"])
+                yield pa.RecordBatch.from_arrays([*[column(some, f"c_{c}") for c in carry], pa.array(tags, pa.string()), pa.array(sure)], names=[*carry, *names_out])
 
     kinds = ", ".join(f"`{c}` {table.schema[f'c_{c}'].dataType.simpleString()}" for c in carry)
-    return joined.mapInArrow(second, f"{kinds}, language string, confidence double")
+    return joined.mapInArrow(second, f"{kinds}, `{names_out[0]}` string, `{names_out[1]}` double")
 
 
 LANGUAGES = ["de", "en", "es", "fr"]
 
 
-def of_documents(docs: DataFrame, carry: list[str]) -> DataFrame:
+def of_documents(docs: DataFrame, carry: list[str], names_out: tuple[str, str] = ("language", "confidence")) -> DataFrame:
     """identify() for documents: source is the host, lang the declaration; there is no address."""
     model = fit(docs, "lang", LANGUAGES)
-    table = docs.withColumn("host", F.col("source")).withColumn("suffix", F.lit(None).cast("string")).withColumn("declared", F.col("lang"))
-    return identify(table, model, LANGUAGES, carry)
+    return identify(docs, model, LANGUAGES, carry, "text", F.col("source"), F.lit(None).cast("string"), F.col("lang"), names_out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,5 +179,6 @@ def pages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     text = F.regexp_replace(F.regexp_replace("html", "(?is)<(script|style|nav)\\b.*?</\\1>|<!--.*?-->", " "), "<[^>]*>", " ")
     host = F.regexp_extract("url", "^[a-zA-Z]+://([^/:?#]+)", 1)
-    table = pages.select("page_id", text.alias("text"), host.alias("host"), F.regexp_extract(host, "([^.]+)$", 1).alias("suffix"), F.regexp_extract("html", "(?i)<html[^>]*\\blang=[\"']?([A-Za-z-]+)", 1).alias("declared"))
-    return identify(table, model, LANGUAGES, ["page_id"])
+    suffix = F.regexp_extract(host, "([^.]+)$", 1)
+    declared = F.regexp_extract("html", "(?i)<html[^>]*\\blang=[\"']?([A-Za-z-]+)", 1)
+    return identify(pages.withColumn("_plain", text), model, LANGUAGES, ["page_id"], "_plain", host, suffix, declared)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import MEMO, encoder
 from .common import column, text_column
 
 
@@ -88,7 +88,7 @@ def place(sizes: np.ndarray, losses: np.ndarray, limits: Limits) -> list[list[tu
     return bins
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits()) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), memo: int = MEMO) -> DataFrame:
     """Pack ``docs(doc_id, text)`` into sequences.
 
     A document is its ids by the tokenizers library for the whole text (null: empty),
@@ -96,13 +96,14 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits =
     Returns one row per piece: doc_id, start, length, ids (binary, little-endian unsigned
     32-bit), doc_tokens, sequence_id (partition * 2**33 + number), offset.  Repeated and null
     doc_ids are packed as any row; an empty table gives no rows; other columns are ignored.
+    ``memo`` bounds the encoder's memory per Python worker.
     """
     with_loss = "loss_tokens" in docs.columns
     docs = docs.select("doc_id", "text", *(["loss_tokens"] if with_loss else []))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        encode = encoder(tokenizer_path, memo).encode
         base, number = TaskContext.get().partitionId() << 33, 0
         held: list[tuple] = []
         n_held = 0

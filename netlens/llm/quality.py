@@ -45,7 +45,7 @@ def fit(docs: DataFrame, clean: DataFrame, sample: int = 20_000) -> np.ndarray:
         total = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             hit = column(batch, "hit").to_numpy(zero_copy_only=False).astype(bool)
-            for at, texts in parts(text_column(batch, "text"), 4 << 20):
+            for at, texts in parts(text_column(batch, "text"), 1 << 20):
                 code, own = features(texts)
                 total[0] += np.bincount(code, minlength=BUCKETS)
                 total[1] += np.bincount(code[hit[at : at + len(texts)][own]], minlength=BUCKETS)
@@ -64,25 +64,26 @@ def fit(docs: DataFrame, clean: DataFrame, sample: int = 20_000) -> np.ndarray:
     return np.log(target / raw)
 
 
-def weigh(table: DataFrame, ratio: np.ndarray, carry: list[str], seed: int = 17) -> DataFrame:
-    """``carry`` columns, log_weight (mean log ratio of the n-grams times LENGTH, 0.0 for a text without words) and gumbel_key.
+def weigh(table: DataFrame, ratio: np.ndarray, carry: list[str], names_out: tuple[str, str] = ("log_weight", "gumbel_key"), seed: int = 17) -> DataFrame:
+    """``carry`` columns and two more, named by ``names_out``: log_weight (mean log ratio of the n-grams times LENGTH, 0.0 for a text without words) and gumbel_key.
 
     The noise is a hash of (seed, doc_id), so equal ids get equal noise under any partitioning.
     """
     u = (F.xxhash64(F.lit(seed), "doc_id").bitwiseAND(F.lit(2**52 - 1)).cast("double") + 0.5) / float(2**52)
-    table = table.select(*[F.col(c).alias(f"c_{c}") for c in carry], F.coalesce("text", F.lit("")).alias("_text"), (-F.log(-F.log(u))).alias("_noise"))
+    words = "c_text" if "text" in carry else "_text"  # a text that is carried anyway is sent once
+    table = table.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in carry], *([] if "text" in carry else [F.col("text").alias("_text")]), (-F.log(-F.log(u))).alias("_noise"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in parts(text_column(batch, "_text"), 4 << 20):
+            for at, texts in parts(text_column(batch, words), 1 << 20):
                 code, own = features(texts)
                 weight = np.bincount(own, ratio[code], len(texts)) * LENGTH / np.maximum(np.bincount(own, minlength=len(texts)), 1)
                 some = batch.slice(at, len(texts))
                 key = weight + column(some, "_noise").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([*[column(some, f"c_{c}") for c in carry], pa.array(weight), pa.array(key)], names=[*carry, "log_weight", "gumbel_key"])
+                yield pa.RecordBatch.from_arrays([*[column(some, f"c_{c}") for c in carry], pa.array(weight), pa.array(key)], names=[*carry, *names_out])
 
     kinds = ", ".join(f"`{c}` {table.schema[f'c_{c}'].dataType.simpleString()}" for c in carry)
-    return table.mapInArrow(run, f"{kinds}, log_weight double, gumbel_key double")
+    return table.mapInArrow(run, f"{kinds}, `{names_out[0]}` double, `{names_out[1]}` double")
 
 
 def kth_largest(table: DataFrame, key: str, k: int) -> float:
