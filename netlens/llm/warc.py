@@ -21,9 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, filesystem, make_folder, new_place, text_column
+from .common import column, filesystem, make_folder, new_place, staged, text_column
 
 BLOCK_LINES = 1000
+#: Repeated payloads up to which their first pages are broadcast (40 bytes each); above, pages are joined by shuffle.
+BROADCAST_PAYLOADS = 100_000
 #: WARC-Date of all records unless the caller gives one; the tables hold no capture time.
 DATE = "2000-01-01T00:00:00Z"
 GZIP = 31
@@ -86,8 +88,11 @@ def write_archives(pages: DataFrame, place: str | None = None, min_revisit_bytes
     make_folder(place)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), url_key(F.col("url")).alias("key"), F.coalesce("html", F.lit("")).alias("html"))
     sha = F.unhex(F.sha1(F.encode("html", "UTF-8")))
-    firsts = rows.select(sha.alias("sha"), "page_id").groupBy("sha").agg(F.min("page_id").alias("first"))
-    joined = rows.withColumn("sha", sha).join(firsts, "sha").select("page_id", "url", "key", "html", "sha", "first")
+    firsts = rows.select(sha.alias("sha"), "page_id").groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    repeated = staged(firsts.where("n > 1").select("sha", "first"), "repeated-payloads")
+    if repeated.count() <= BROADCAST_PAYLOADS:
+        repeated = F.broadcast(repeated)
+    joined = rows.withColumn("sha", sha).join(repeated, "sha", "left").select("page_id", "url", "key", "html", "sha", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = filesystem(place)
@@ -202,7 +207,7 @@ def read_archives(directory: DataFrame) -> DataFrame:
     named = directory.select("path", "offset", "length").mapInArrow(blocks, "path string, offset long, length long, digest string")
     # a stated number of partitions, as the small index rows stand for much larger records
     parts = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = named.repartitionByRange(parts, "path", "offset").sortWithinPartitions("path", "offset")
+    named = named.repartition(parts, "path").sortWithinPartitions("path", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, opened = None, None
