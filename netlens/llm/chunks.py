@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import column, fresh, staged, text_column
-from .hashing import EXACT, mix, owners, parts, span_hashes, text_bytes, word_spans
+from .hashing import EXACT, mix, owners, parts, release, span_hashes, text_bytes, word_spans
 
 #: Cuts are minima of so many word starts; a passage of 51 words then holds whole chunks of
 #: at least 51 - 2 * (WINDOW - 1) words less those within 32 bytes of its start.
@@ -132,6 +132,8 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             if "n_chars" in columns:
                 made["n_chars"] = pa.array([None if x is None else len(x) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([made.get(c, column(batch, c)) for c in columns], names=columns)
+            del texts, made
+            release()
 
     return joined.mapInArrow(run, kinds)
 

@@ -6,6 +6,7 @@ batch of documents costs a fixed number of numpy calls and no per-word Python.
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -144,3 +145,13 @@ def parts(texts: pa.Array, limit: int = 2 << 20):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield i, texts.slice(i, j - i)
         i = j
+    release()
+
+
+def release() -> None:
+    """Hand freed memory back to the system: Python workers outlive their tasks and would hold the most that any had."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .bpe import MEMO, encoder
 from .common import column, text_column
+from .hashing import release
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,7 @@ class Limits:
     tokens: int = 2048
     segments: int = 512
     loss: int = 2048
-    block: int = 2048
+    block: int = 1024
     cut: bool = True
 
 
@@ -129,10 +130,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits =
                 ids = encode(text) + end
                 held.append((doc_id, ids, loss))
                 n_held += len(ids)
-                if len(held) >= limits.block or n_held > 32 << 20:
+                if len(held) >= limits.block or n_held > 16 << 20:
                     yield emit()
+            release()
         if held:
             yield emit()
+        release()
 
     return docs.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
