@@ -51,6 +51,10 @@ class Pieces:
         self.split = not inner
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.special = {i for i in range(len(self.pieces)) if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
+        #: what each id decodes to; control and unknown ids to nothing
+        self.raw = [b"" if i in self.special else bytes([self.byte_of[i]]) if i in self.byte_of else x.encode() for i, x in enumerate(self.pieces)]
+        self.breaks = bool(self.bytes) and not any("\n" in x for x in self.pieces)
+        self.lines: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -90,6 +94,23 @@ class Pieces:
             end = begin
         return ids[::-1]
 
+    def unit(self, text: str) -> bytes:
+        """Ids of a marked unit; where no piece holds a line break, every path is cut at it, so the lines are taken one by one."""
+        if not self.breaks or "\n" not in text:
+            return np.array(self.best(text), "<u4").tobytes()
+        first, *rest = text.split("\n")
+        out = [np.array(self.best(first), "<u4").tobytes()]
+        for line in rest:
+            found = self.lines.get(line)
+            if found is None:
+                found = np.array([self.bytes[10], *self.best(line)], "<u4").tobytes()
+                if len(line) <= 64:
+                    if len(self.lines) >= MEMO:
+                        self.lines.clear()
+                    self.lines[line] = found
+            out.append(found)
+        return b"".join(out)
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text; a mark is put in front and spaces become marks."""
         if not text:
@@ -107,7 +128,7 @@ class Pieces:
             if found is None:
                 found = self.older.get(unit) if marks == 1 else None
                 if found is None:
-                    found = np.array(self.best(MARK * marks + unit), "<u4").tobytes()
+                    found = self.unit(MARK * marks + unit)
                 if marks == 1 and len(unit) <= 64:
                     if len(memo) >= MEMO:
                         self.older, self.memo = memo, {}
@@ -121,13 +142,8 @@ class Pieces:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: bytes joined, marks as spaces, the mark in front dropped."""
-        out = bytearray()
-        for i in np.frombuffer(ids, "<u4").tolist():
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            elif i not in self.special:
-                out += self.pieces[i].encode()
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
+        raw = self.raw
+        text = b"".join([raw[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
