@@ -22,12 +22,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the Gumbel top-k by importance weight, k as in op6."""
+    """Keep the Gumbel top-k by importance weight below the toxic cut, both as in op6."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    ratio = quality.fit(docs, quality.clean(labels, 0))
-    limit = quality.cut_off(staged(quality.weigh(docs, ratio, ["doc_id"]), "weights"), labels)
-    weight, key = fresh("log_weight", docs.columns), fresh("gumbel_key", docs.columns)
-    return quality.weigh(docs, ratio, docs.columns, (weight, key)).where(F.col(key) >= limit).drop(weight, key)
+    ratio, toxic_model = quality.fit(docs, quality.clean(labels, 0)), quality.fit_toxic(docs, labels)
+    weighed = staged(quality.weigh(docs, ratio, ["doc_id"], toxic_model=toxic_model), "weights")
+    limit, toxic_limit = quality.cut_off(weighed, labels), quality.toxic_cut(weighed, labels)
+    weight, key, score = fresh("log_weight", docs.columns), fresh("gumbel_key", docs.columns), fresh("toxic_score", docs.columns)
+    scored = quality.weigh(docs, ratio, docs.columns, (weight, key, score), toxic_model=toxic_model)
+    return scored.where((F.col(key) >= F.lit(limit)) & (F.col(score) < F.lit(toxic_limit))).drop(weight, key, score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
