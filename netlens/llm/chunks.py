@@ -2,9 +2,9 @@
 
 A 32-bit gear hash (each byte shifts out after 32 steps) is taken at every word start.  A word start
 is a cut if its value is the smallest of some WINDOW consecutive word starts of the document, so cuts depend on
-nearby bytes alone, survive insertions elsewhere and are at most WINDOW words apart.  Chunks with
-equal digests are copies of the first one (smallest doc_id, then place).  A maximal run of adjacent copies of at
-least MIN_WORDS words is a repeated passage; all but its first occurrence can be removed.
+nearby bytes alone, survive insertions elsewhere and are at most WINDOW words apart.  From every chunk on and back, the
+fewest chunks of together at least MIN_WORDS words are a sequence; sequences with equal digests are copies of the first one (smallest doc_id, then
+place).  A maximal run of overlapping or adjacent copies is a repeated passage; all but its first occurrence can be removed.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import column, fresh, staged, text_column
-from .hashing import EXACT, mix, owners, parts, release, span_hashes, text_bytes, word_spans
+from .hashing import EXACT, INVERSE, mix, owners, parts, powers, release, span_hashes, text_bytes, word_spans
 
 #: Cuts are minima of so many word starts; a passage of 51 words then holds whole chunks of
 #: at least 51 - 2 * (WINDOW - 1) words less those within 32 bytes of its start.
@@ -61,8 +61,22 @@ def cut(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW):
     return first, after, own[first], starts, ends
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, start, stop (byte offsets: first byte, start of the next chunk or end of the last word), words: the chunks of ``docs(doc_id, text)``."""
+def sequences(digest: np.ndarray, first: np.ndarray, after: np.ndarray, own: np.ndarray, min_words: int):
+    """(first chunk, last chunk, digest) of the shortest sequences of at least ``min_words`` words that begin or end with each chunk, where its text has room for them."""
+    n = np.arange(len(first))
+    begin = np.append(n, np.searchsorted(first, after - min_words, "right") - 1)
+    last = np.append(np.searchsorted(after, first + min_words), n)
+    room = np.flatnonzero((begin >= 0) & (last < len(n)))
+    room = room[own[begin[room]] == own[last[room]]]
+    begin, last = np.divmod(np.unique(begin[room] * len(n) + last[room]), max(len(n), 1))
+    total = np.zeros(len(digest) + 1, np.uint64)
+    np.cumsum(mix(digest) * powers(len(digest)), out=total[1:])
+    joint = mix((total[last + 1] - total[begin]) * powers(len(digest) + 1, INVERSE)[begin] + (last + 1 - begin).astype(np.uint64))
+    return begin, last, joint
+
+
+def sequence_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """digest, doc_id, start, stop (byte offsets: first byte, start of the next chunk or end of the last word), word (number of the first one), words: the sequences of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,36 +86,43 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 first, after, own, starts, ends = cut(data, offsets)
                 if not len(first):
                     continue
-                digest = span_hashes(data, starts[first], ends[after - 1], EXACT).view(np.int64)
+                digest = span_hashes(data, starts[first], ends[after - 1], EXACT)
                 begin = starts[first] - offsets[own]
                 same = np.append(own[1:] == own[:-1], False)
                 stop = np.where(same, np.append(begin[1:], 0), ends[after - 1] - offsets[own])
+                a, b, joint = sequences(digest, first, after, own, min_words)
+                word = first - np.searchsorted(starts, offsets)[own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest), pa.array(ids[at : at + len(texts)][own]), pa.array(begin), pa.array(stop), pa.array((after - first).astype(np.int32))],
-                    names=["digest", "doc_id", "start", "stop", "words"],
+                    [pa.array(joint.view(np.int64)), pa.array(ids[at : at + len(texts)][own[a]]), pa.array(begin[a]), pa.array(stop[b]), pa.array(word[a].astype(np.int32)), pa.array((after[b] - first[a]).astype(np.int32))],
+                    names=["digest", "doc_id", "start", "stop", "word", "words"],
                 )
 
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "digest long, doc_id long, start long, stop long, words int")
+    return docs.mapInArrow(run, "digest long, doc_id long, start long, stop long, word int, words int")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Repeated passages of ``docs(doc_id, text)``: doc_id, start, stop (byte offsets in UTF-8), n_words, first_doc_id.
 
-    A span is a maximal run of adjacent chunks whose first occurrence is elsewhere, of at least ``min_words`` words; first_doc_id is the document where
-    its first chunk occurs first (the same document for repeats within one).  White space between words counts within a
+    A span is a maximal run of overlapping or adjacent sequences of at least ``min_words`` words whose first occurrence is elsewhere; first_doc_id is the document where
+    its first sequence occurs first (the same document for repeats within one).  A copy that overlaps its first occurrence begins where that
+    ends, so that this stays whole; what is then left of fewer words is no span.  White space between words counts within a
     chunk.  Null, empty and short texts have no spans, null doc_ids are ignored; of rows with equal doc_id the
     spans are those of all their texts together and equal places count as one.  An empty table gives no rows.
     """
-    chunks = chunk_rows(docs)
-    first = chunks.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.doc_id").alias("f_doc"), F.col("first.start").alias("f_start"))
-    first = staged(first, "repeated-chunks")
-    copies = chunks.join(first, "digest").where("NOT (doc_id = f_doc AND start = f_start)")
+    rows = sequence_rows(docs, min_words)
+    first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "start", "stop", "word", "words")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("digest", F.col("f.doc_id").alias("f_doc"), F.col("f.start").alias("f_start"), F.col("f.stop").alias("f_stop"), (F.col("f.word") + F.col("f.words")).alias("f_after"))
+    first = staged(first, "repeated-sequences")
+    copies = rows.join(first, "digest").where("NOT (doc_id = f_doc AND start = f_start AND stop = f_stop)")
+    inside = (F.col("doc_id") == F.col("f_doc")) & (F.col("start") < F.col("f_stop"))
+    copies = copies.select("doc_id", F.when(inside, F.col("f_stop")).otherwise(F.col("start")).alias("start"), "stop", F.when(inside, F.col("f_after")).otherwise(F.col("word")).alias("word"), (F.col("word") + F.col("words")).alias("after"), "f_doc").where("start < stop")
     in_order = Window.partitionBy("doc_id").orderBy("start", "stop")
-    runs = copies.select("doc_id", "start", "stop", "words", "f_doc").repartition("doc_id").dropDuplicates(["doc_id", "start", "stop"])
-    runs = runs.withColumn("new", F.when(F.lag("stop").over(in_order) == F.col("start"), 0).otherwise(1))
+    runs = copies.repartition("doc_id").dropDuplicates(["doc_id", "start", "stop"])
+    far = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("new", F.when(far >= F.col("start"), 0).otherwise(1))
     runs = runs.withColumn("run", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.min(F.struct("start", "f_doc")).alias("f"))
+    spans = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("after") - F.min("word")).cast("long").alias("n_words"), F.min(F.struct("start", "f_doc")).alias("f"))
     return spans.where(F.col("n_words") >= min_words).select("doc_id", "start", "stop", "n_words", F.col("f.f_doc").alias("first_doc_id"))
 
 
