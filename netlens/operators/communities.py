@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..graph import Graph, both_ways, degrees, neighbor_counts, pairs
-from ..plans.loop import saved
+from ..plans.loop import join_spread, saved
 from .centrality import betweenness_centrality, edge_betweenness
 from .components import connected_components
 
@@ -34,7 +34,7 @@ def label_propagation(g: Graph, max_iter: int = 50, seed: int = 42) -> DataFrame
             state = new.select("id", "label")
         if not changed:
             break
-    return state.select("id", F.min("id").over(Window.partitionBy("label")).alias("component"))
+    return join_spread(state, state.groupBy("label").agg(F.min("id").alias("component")), "label").select("id", "component")
 
 
 def modularity(g: Graph, comm: DataFrame, variant: str = "newman") -> DataFrame:

@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..graph import Graph, pairs
-from ..plans.loop import saved
+from ..plans.loop import join_spread, saved
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """(a, b) with b the smallest vertex of a's component, for every a that is not it (large-star and small-star rounds)."""
-    star = saved(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct())
+def stars(edges: DataFrame) -> DataFrame:
+    """(a, b) with b the smallest vertex of a's component, for every a that is not it.
+
+    Large-star and small-star rounds (Kiveris et al. 2014), each checkpointed; only counts, a checksum and the ids of hubs come to
+    the driver.  A hub's edges are dealt over several tasks.  Loops and repeated edges are harmless, null ends are ignored.
+    """
+    star = saved(edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     seen = None
     while True:
         both = star.union(star.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = join_spread(both.where("b > a"), low.drop("n"), "a", counts=low.select("a", "n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = saved(large.distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_spread(large, least.drop("n"), "a", counts=least.select("a", "n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         star = saved(small.union(least.select("a", "m")).where("a <> b").distinct())
         now = star.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == seen:
@@ -29,7 +34,7 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 def components_of(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) for ids(id): the smallest id that edges(src, dst) reach in either direction."""
-    star = _stars(edges).select(F.col("a").alias("id"), F.col("b").alias("component"))
+    star = stars(edges).select(F.col("a").alias("id"), F.col("b").alias("component"))
     return ids.select("id").join(star, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
@@ -88,7 +93,8 @@ def scc(g: Graph) -> DataFrame:
     out = g.vertices.select("id", F.col("id").alias("root")).limit(0)
     for part in found:
         out = out.union(part)
-    return out.select("id", F.min("id").over(Window.partitionBy("root")).alias("component"))
+    out = saved(out)
+    return out.join(out.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
 
 
 def is_strongly_connected(g: Graph) -> DataFrame:

@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests on one machine, a temporary folder set for the session."""
+    """``spark.checkpoint.dir``, the folder that driver and executors share.
+
+    Where it is unset, a temporary folder is set for the session if the master is local; on a cluster that is an error,
+    as other machines would not see the folder.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         place = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", place)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(place)
-    return place
+    return place.rstrip("/")
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -39,6 +47,29 @@ def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], done:
     return state, max_iter
 
 
+def join_spread(rows: DataFrame, table: DataFrame, on: str, how: str = "inner", counts: DataFrame | None = None, least: int = 1000, most: int = 100_000) -> DataFrame:
+    """``rows`` joined (inner or left) to ``table``, which has few rows per key, where one key may hold any share of ``rows``.
+
+    Keys with more than max(least, all rows / most) rows, so at most ``most``, come to the driver; their rows are dealt over as many salts
+    as they fill, and their rows of ``table`` are repeated for each.  ``counts(on, n)`` saves counting the keys; null keys
+    are spread too.  Columns: ``on``, the others of rows, the others of table.
+    """
+    spark = rows.sparkSession
+    columns = [on, *[c for c in rows.columns if c != on], *[c for c in table.columns if c != on]]
+    if counts is None:
+        counts = rows.groupBy(on).agg(F.count("*").alias("n"))
+    counts = saved(counts.where(f"n > {least}").select(on, "n"))
+    limit = max(least, (counts.agg(F.sum("n")).first()[0] or 0) // most)
+    hot = [(r[0], -(-r[1] // limit)) for r in counts.where(F.col("n") > limit).collect()]
+    if not hot:
+        return rows.join(table, on, how).select(*columns)
+    salts = F.broadcast(spark.createDataFrame(hot, StructType([StructField(on, rows.schema[on].dataType), StructField("_salts", LongType())])))
+    place = F.xxhash64(*[c for c in rows.columns if c != on])
+    left = rows.join(salts, on, "left").withColumn("_salt", F.pmod(place, F.when(F.col(on).isNull(), 1000).otherwise(F.coalesce("_salts", F.lit(1)))))
+    right = table.join(salts, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return left.drop("_salts").join(right, [on, "_salt"], how).select(*columns)
+
+
 def dense_index(df: DataFrame, order: list[str], name: str = "index") -> DataFrame:
     """Adds 0..n-1 in the given order: range sort, then each partition's rank plus the rows before it.
 
