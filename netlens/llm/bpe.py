@@ -1,43 +1,81 @@
-"""Byte-level BPE ids of whole texts through the tokenizers library, with a memo of words.
-
-The pre-tokeniser always cuts before a single space that has a non-space character on
-both sides, and nothing left of such a cut changes what follows.  So a text is
-the sequence of its space-led pieces; each different piece is encoded once by the
-library and kept in a bounded memo, new ones cut further before single line breaks and between letters and
-closing punctuation, where the pre-tokeniser cuts too.  Texts with other runs of white space around a
-space are encoded whole.  ``tests/llm`` compares with encoding every text whole.
+"""Byte-level BPE ids of whole texts through the tokenizers library, with a memo of pieces.
+
+The pre-tokeniser's tokens are runs of letters, digits or other signs, each with at most one space in front, and
+runs of white space less the last sign before a word.  So a text can be cut, without changing its
+tokens, before a run of white space, before and (unless it is a space) after the last sign of
+a run, and between letters, digits and punctuation.  A cut is made only where the bytes on both sides are
+of a known kind: no cut touches an apostrophe (contractions) or a rare white space character.
+``tests/llm`` compares with encoding every text whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
-
-#: Pieces per generation of a Python worker's memo; the last two generations are kept.
-MEMO = 500_000
-#: Punctuation that may close a run of letters; the apostrophe is not among it, as it can start a contraction.
-CLOSING = ".,;:!?*#%$&\")]"
-
-
-def units(piece: str) -> list[str]:
-    """A space-led piece (without its space) as units: the first space-led, those with a line break in front as they are, those with a tab in front closing punctuation."""
-    lines = piece.split("\n")
-    if not all(lines):
-        return [piece]
-    out = []
-    for i, line in enumerate(lines):
-        body = line.rstrip(CLOSING)
-        lead = "\n" if i else ""
-        if len(body) < len(line) and body.isalpha():
-            out += [lead + body, "\t" + line[len(body) :]]
-        else:
-            out.append(lead + line)
-    return out
+import pyarrow as pa
+
+from .hashing import parts, text_bytes
+from .words import Memo, encode, runs
+
+#: Pieces in a Python worker's memo at most, about 35 bytes each.
+MEMO = 2_000_000
+LETTER, DIGIT, PUNCTUATION, BLANK, RARE, OTHER = range(6)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[33:127] = PUNCTUATION
+KIND[ord("'")] = OTHER
+KIND[48:58] = DIGIT
+KIND[65:91] = KIND[97:123] = LETTER
+KIND[[0x20, *range(0x09, 0x0E)]] = BLANK
+KIND[0x1C:0x20] = RARE
+#: Lead bytes of U+00C0 to U+017F, letters but for the two below.
+LATIN = (0xC3, 0xC4, 0xC5)
+NOT_LETTERS = (0x97, 0xB7)
+#: A word with at most a space in front; between two of them, a line break is a token of its own.
+PLAIN = re.compile(" ?[\\x21-\\x7e\u00c0-\u017f]+")
+#: White space outside ASCII, in UTF-8.
+BLANKS = [chr(x).encode() for x in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+LEADS = np.zeros(256, bool)
+LEADS[[x[0] for x in BLANKS]] = True
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of every byte of UTF-8 texts."""
+    kind = KIND[data]
+    for lead in LATIN:
+        at = np.flatnonzero(data == lead)
+        if lead == 0xC3:
+            at = at[~np.isin(data[at + 1], NOT_LETTERS)]
+        kind[at] = kind[at + 1] = LETTER
+    at = np.flatnonzero(LEADS[data])
+    for blank in BLANKS:
+        hit = at[at + len(blank) <= len(data)]
+        for i, byte in enumerate(blank):
+            hit = hit[data[hit + i] == byte]
+        for i in range(len(blank)):
+            kind[hit + i] = RARE
+    return kind
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pieces of the texts start."""
+    starts = np.zeros(len(data) + 1, bool)
+    if len(data):
+        kind = kinds(data)
+        blank, word = kind == BLANK, kind < BLANK
+        solid = word | (kind == OTHER)
+        starts[1:-1] = (word[1:] & word[:-1] & (kind[1:] != kind[:-1])) | (blank[1:] & solid[:-1])
+        ends = blank[:-1] & solid[1:]  # the last sign of a run of white space
+        ends[offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))] - 1] = False
+        starts[:-2] |= ends
+        starts[1:-1] |= ends & (data[:-1] != 0x20)
+        starts[offsets] = True
+    return np.flatnonzero(starts[:-1])
 
 
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit bytes."""
+    """ids of texts as the library gives them for whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,52 +83,51 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit = MEMO
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.marked: dict[str, bytes] = {}  # units led by a line break or tab, which a piece of a text could look like
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def encode(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        memo = self.memo
-        ids = [memo.get(x) for x in rest]
-        if first[-1:].isspace():
-            return self._whole([text])[0]
-        if None in ids:
-            new = list({x for x, y in zip(rest, ids) if y is None})
-            if any(not x or x[0].isspace() or x[-1].isspace() for x in new):
-                return self._whole([text])[0]
-            fresh = {x: y for x in new if (y := self.older.get(x)) is not None}
-            cut = {x: units(x) for x in new if x not in fresh}
-            lone = {u for us in cut.values() for u in us}
-            known = {u: y for u in lone if (y := self.marked.get(u) if u[0] in "\n\t" else memo.get(u) or self.older.get(u)) is not None}
-            lone = list(lone - known.keys())
-            for i in range(0, len(lone), 2000):
-                some = lone[i : i + 2000]
-                known.update(zip(some, self._whole([u[1:] if u[0] == "\t" else u if u[0] == "\n" else " " + u for u in some])))
-            fresh.update((x, b"".join([known[u] for u in us])) for x, us in cut.items())
-            if len(memo) > self.limit:
-                self.older, self.memo = memo, {}
-            if len(self.marked) > self.limit:
-                self.marked.clear()
-            for x, y in known.items():
-                if len(x) <= 64:
-                    (self.marked if x[0] in "\n\t" else self.memo)[x] = y
-            self.memo.update((x, y) for x, y in fresh.items() if len(x) <= 64)
-            ids = [fresh[x] if y is None else y for x, y in zip(rest, ids)]
-        return (self._whole([first])[0] if first else b"") + b"".join(ids)
+        self.mark = self._lines([""])[0]
+        self.memo = Memo(self._pieces, MEMO, "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+
+    def _lines(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast([x + "\n" for x in texts], add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of each); those without white space but a space in front are joined to lines, as calls for single words are slow."""
+        plain = np.array([len(self.mark) == 1 and PLAIN.fullmatch(x) is not None for x in pieces], bool)
+        ids, length = [np.zeros(0, np.int64)], np.zeros(len(pieces), np.int64)
+        joined = np.flatnonzero(plain)
+        for i in range(0, len(joined), 1000):
+            own = joined[i : i + 1000]
+            found = np.array(self._lines(["\n".join([pieces[k] for k in own])])[0], np.int64)
+            ends = np.flatnonzero(found == self.mark[0])
+            length[own] = np.diff(ends, prepend=-1) - 1
+            ids.append(np.delete(found, ends))
+        rest = np.flatnonzero(~plain)
+        for i in range(0, len(rest), 1000):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([pieces[k] for k in rest[i : i + 1000]], add_special_tokens=False)]
+            length[rest[i : i + 1000]] = list(map(len, found))
+            ids += [np.array(x, np.int64) for x in found]
+        order = np.concatenate([joined, rest])
+        start = np.empty_like(length)
+        start[order] = np.cumsum(length[order]) - length[order]
+        return np.concatenate(ids)[runs(start, length)], length
+
+    def encode(self, texts: pa.Array):
+        """Yields (first row, ids of a slice of rows, bounds per row) for a string array without nulls."""
+        for at, some in parts(texts, 1 << 20):
+            data, offsets = text_bytes(some)
+            yield at, *encode(data, offsets, piece_starts(data, offsets), self.memo)
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str, memo: int = MEMO) -> Encoder:
-    """The worker's encoder for a vocabulary file, loaded once; ``memo`` pieces a generation (about 250 bytes each) at most."""
+    """The worker's encoder for a vocabulary file, loaded once; ``memo`` bounds the pieces of a generation."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
-    _encoders[path].limit = memo
+    _encoders[path].memo.limit = memo
     return _encoders[path]
+
+
+def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with ``end_id`` behind each row's ids."""
+    return np.insert(ids.astype("<u4"), bounds[1:], end_id), bounds + np.arange(len(bounds))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import encoder
+from .bpe import encoder, with_end
 from .common import column, filesystem, make_folder, new_place, text_column
 
 MAGIC = b"NLTOKENS"
@@ -67,6 +67,7 @@ def write_tokens(
     place: str | None = None,
     dictionary_bytes: int = 65_536,
     dictionary_documents: int = 1_000,
+    dictionary_stretch: int = 4_096,
     level: int = 3,
 ) -> tuple[str, DataFrame]:
     """Encode ``docs(doc_id, text)`` and write shards; returns (folder, manifest).
@@ -74,8 +75,8 @@ def write_tokens(
     Ids are those of the tokenizers library for the whole text (null: empty), then
     ``end_id``.  Shards and rows ascend by doc_id, null ids first; repeated doc_ids are
     all kept, in any order among themselves.  Other columns are ignored.  The
-    dictionary is trained on the first 8192 characters of at most
-    ``dictionary_documents`` documents, those with the smallest hash of their id; it
+    dictionary is trained on at most ``dictionary_documents`` documents, those with the smallest hash of their id, from each
+    a stretch of at most ``dictionary_stretch`` ids at a place given by its hash; it
     only affects size.  An empty table gives an empty manifest.
     Manifest: shard, path, documents, tokens, start, dictionary.
     """
@@ -83,20 +84,30 @@ def write_tokens(
     place = place or new_place(spark, "tokens")
     make_folder(place)
     docs = docs.select("doc_id", "text")
-    lowest = docs.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(dictionary_documents).agg(F.max("h")).first()[0]
-    heads = docs.where(F.xxhash64("doc_id") <= lowest).select(F.substring("text", 1, 8192).alias("t")).limit(dictionary_documents).collect() if lowest is not None else []
-    encode = encoder(tokenizer_path).encode
-    dictionary = train_dictionary([serialise(np.frombuffer(encode(r.t or ""), "<u4"))[0] for r in heads], dictionary_bytes)
+    hashed = F.xxhash64("doc_id")
+    lowest = docs.select(hashed.alias("h")).orderBy("h").limit(dictionary_documents).agg(F.max("h")).first()[0]
+    samples: list[bytes] = []
+    if lowest is not None:
+
+        def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                where = column(batch, "h").to_numpy(zero_copy_only=False).view(np.uint64)
+                for at, ids, bounds in encoder(tokenizer_path).encode(text_column(batch, "text")):
+                    n = np.diff(bounds)
+                    low = bounds[:-1] + (where[at : at + len(n)] % np.maximum(n - dictionary_stretch + 1, 1).astype(np.uint64)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([serialise(ids[a : min(a + dictionary_stretch, b)])[0] for a, b in zip(low, bounds[1:])], pa.binary())], names=["ids"])
+
+        some = docs.where(hashed <= lowest).select(hashed.alias("h"), "text").limit(dictionary_documents)
+        samples = [r.ids for r in some.mapInArrow(stretch, "ids binary").collect()]  # bounded by documents and stretch
+    dictionary = train_dictionary(samples, dictionary_bytes)
     digest = hashlib.sha256(dictionary).digest()
     where, path = filesystem(place)
     with where.open_output_stream(f"{path}/dictionary-{digest.hex()}") as out:
         out.write(dictionary)
-    end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encode = encoder(tokenizer_path).encode
         shared = _dictionary(dictionary)
         if shared:
             shared.precompute_compress(level=level)
@@ -107,13 +118,16 @@ def write_tokens(
         for batch in batches:
             if out is None and batch.num_rows:
                 out = where.open_output_stream(f"{path}/{name}")
-            for doc_id, text in zip(column(batch, "doc_id").to_pylist(), text_column(batch, "text").to_pylist()):
-                ids = np.frombuffer(encode(text) + end, "<u4")
-                raw, width = serialise(ids)
-                frame = compress(raw)
-                out.write(frame)
-                index.append((doc_id or 0, doc_id is not None, width, len(ids), at, len(frame)))
-                at, tokens = at + len(frame), tokens + len(ids)
+            doc_ids = column(batch, "doc_id").to_pylist()
+            for first, ids, bounds in encoder(tokenizer_path).encode(text_column(batch, "text")):
+                ids, bounds = with_end(ids, bounds, end_id)
+                for i in range(len(bounds) - 1):
+                    raw, width = serialise(ids[bounds[i] : bounds[i + 1]])
+                    frame = compress(raw)
+                    out.write(frame)
+                    doc_id = doc_ids[first + i]
+                    index.append((doc_id or 0, doc_id is not None, width, bounds[i + 1] - bounds[i], at, len(frame)))
+                    at, tokens = at + len(frame), tokens + int(bounds[i + 1] - bounds[i])
         if out is not None:
             out.write(np.array(index, ENTRY).tobytes())
             out.write(struct.pack(FOOTER, at, len(index), digest, MAGIC))
