@@ -4,9 +4,8 @@ One pass over the text feeds an Aho-Corasick automaton over the vocabulary's pie
 At each end position its output links give every piece that ends there, and each relaxes the best
 score of that position.  Characters that no piece covers cost ``UNKNOWN`` and become byte pieces.
 
-The vocabulary's pieces never hold a space mark after another character (checked on
-loading), so the best path is a sequence of best paths of space-led words.  These are
-memoised per worker; a vocabulary without that property is run over whole texts.
+Where no piece of the vocabulary holds two neighbouring (ASCII) characters, every path is cut between them, so the
+best path of a text is a sequence of best paths of its parts.  Parts are looked up in a bounded memo.
 """
 
 from __future__ import annotations
@@ -15,48 +14,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, text_column
+from .hashing import parts, release, text_bytes
+from .words import Memo, encode as encode_parts, runs
 
 MARK = "▁"
 #: Score of a character that no piece covers; below any sum of piece scores of a word.
 UNKNOWN = -1e12
-#: Words per generation of a Python worker's memo; the last two generations are kept.
-MEMO = 400_000
+#: Parts in a Python worker's memo at most, about 35 bytes each.
+MEMO = 1_000_000
+#: Ids that are decoded at once.
+IDS = 1 << 19
 
 
-class Pieces:
-    """A SentencePiece vocabulary with its scores, as an automaton."""
+class Vocabulary:
+    """Pieces, scores and byte pieces of a SentencePiece model."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.machine = ahocorasick.Automaton()
-        self.pieces, self.bytes = [], {}
-        inner = False
-        for i in range(model.get_piece_size()):
-            piece = model.id_to_piece(i)
-            self.pieces.append(piece)
-            if model.is_byte(i):
-                self.bytes[int(piece[3:5], 16)] = i
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.machine.add_word(piece, (len(piece), model.get_score(i), i))
-                inner = inner or MARK in piece.lstrip(MARK)
-        self.machine.make_automaton()
+        n = model.get_piece_size()
+        self.pieces = [model.id_to_piece(i) for i in range(n)]
+        self.bytes = {int(x[3:5], 16): i for i, x in enumerate(self.pieces) if model.is_byte(i)}
         self.unknown = model.unk_id()
-        self.split = not inner
-        self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.special = {i for i in range(len(self.pieces)) if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
+        special = {i for i in range(n) if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
+        spelt = set(self.bytes.values())
+        self.scores = {i: model.get_score(i) for i in range(n) if i not in special and i not in spelt}
+        byte_of = {i: bytes([b]) for b, i in self.bytes.items()}
         #: what each id decodes to; control and unknown ids to nothing
-        self.raw = [b"" if i in self.special else bytes([self.byte_of[i]]) if i in self.byte_of else x.encode() for i, x in enumerate(self.pieces)]
-        self.breaks = bool(self.bytes) and not any("\n" in x for x in self.pieces)
-        self.lines: dict[str, bytes] = {}
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.raw = [b"" if i in special else byte_of[i] if i in spelt else x.replace(MARK, " ").encode() for i, x in enumerate(self.pieces)]
+
+
+class Encoder:
+    """A vocabulary as an automaton, with a memo."""
+
+    def __init__(self, path: str):
+        import ahocorasick
+
+        words = Vocabulary(path)
+        self.bytes, self.unknown = words.bytes, words.unknown
+        self.machine = ahocorasick.Automaton()
+        #: whether some piece holds two ASCII characters next to each other; pairs with others count as such
+        self.joined = np.ones((256, 256), bool)
+        self.joined[:128, :128] = False
+        for i, score in words.scores.items():
+            piece = words.pieces[i]
+            self.machine.add_word(piece, (len(piece), score, i))
+            code = np.frombuffer(piece.replace(MARK, " ").encode(), np.uint8)
+            self.joined[code[:-1], code[1:]] = True
+        self.machine.make_automaton()
+        self.memo = Memo(self._parts, MEMO, "<u2" if len(words.pieces) <= 65536 else "<u4")
 
     def best(self, text: str) -> list[int]:
         """Ids of the best-scoring segmentation of a marked text; ties go to the piece found first at the end position, longest first."""
@@ -94,66 +106,61 @@ class Pieces:
             end = begin
         return ids[::-1]
 
-    def unit(self, text: str) -> bytes:
-        """Ids of a marked unit; where no piece holds a line break, every path is cut at it, so the lines are taken one by one."""
-        if not self.breaks or "\n" not in text:
-            return np.array(self.best(text), "<u4").tobytes()
-        first, *rest = text.split("\n")
-        out = [np.array(self.best(first), "<u4").tobytes()]
-        for line in rest:
-            found = self.lines.get(line)
-            if found is None:
-                found = np.array([self.bytes[10], *self.best(line)], "<u4").tobytes()
-                if len(line) <= 64:
-                    if len(self.lines) >= MEMO:
-                        self.lines.clear()
-                    self.lines[line] = found
-            out.append(found)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text; a mark is put in front and spaces become marks."""
-        if not text:
-            return b""
-        text = text.replace(MARK, " ")
-        if not self.split:
-            return np.array(self.best(MARK + text.replace(" ", MARK)), "<u4").tobytes()
-        units, memo, out = text.split(" "), self.memo, []
-        marks = 0
-        for unit in units:
-            marks += 1
-            if not unit:
-                continue
-            found = memo.get(unit) if marks == 1 else None
-            if found is None:
-                found = self.older.get(unit) if marks == 1 else None
-                if found is None:
-                    found = self.unit(MARK * marks + unit)
-                if marks == 1 and len(unit) <= 64:
-                    if len(memo) >= MEMO:
-                        self.older, self.memo = memo, {}
-                        memo = self.memo
-                    memo[unit] = found
-            out.append(found)
-            marks = 0
-        if marks:
-            out.append(np.array(self.best(MARK * marks), "<u4").tobytes())
-        return b"".join(out)
-
-    def decode(self, ids: bytes) -> str:
-        """The text of ids: bytes joined, marks as spaces, the mark in front dropped."""
-        raw = self.raw
-        text = b"".join([raw[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
-
-
-_loaded: dict[str, Pieces] = {}
-
-
-def pieces(path: str) -> Pieces:
-    if path not in _loaded:
-        _loaded[path] = Pieces(path)
-    return _loaded[path]
+    def _parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.best(x.replace(" ", MARK)) for x in texts]
+        return np.array([i for x in found for i in x], np.int64), np.array(list(map(len, found)), np.int64)
+
+    def encode(self, texts: pa.Array):
+        """Yields (first row, ids of a slice of rows, bounds per row); a mark is put in front of a text and spaces become marks."""
+        for at, some in parts(texts, 1 << 20):
+            data, offsets = text_bytes(pc.replace_substring(some, MARK, " "))
+            full = offsets[1:] > offsets[:-1]
+            data = np.insert(data, offsets[:-1][full], 0x20)
+            offsets = offsets + np.append(0, np.cumsum(full))
+            starts = np.ones(len(data), bool)
+            starts[1:] = ~self.joined[data[:-1], data[1:]]
+            starts[offsets[:-1][full]] = True
+            yield at, *encode_parts(data, offsets, np.flatnonzero(starts), self.memo)
+
+
+class Decoder:
+    """The bytes of each id."""
+
+    def __init__(self, path: str):
+        raw = Vocabulary(path).raw
+        self.data = np.frombuffer(b"".join(raw), np.uint8)
+        self.length = np.array(list(map(len, raw)), np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """Texts of rows of ids: bytes joined, marks as spaces, the mark in front dropped."""
+        n = self.length[ids]
+        data = self.data[runs(self.start[ids], n)]
+        to = np.append(0, np.cumsum(n))[bounds]
+        full = np.flatnonzero(to[1:] > to[:-1])
+        lead = full[data[to[full]] == 0x20]
+        data, to = np.delete(data, to[lead]), to - np.searchsorted(lead, np.arange(len(to)))
+        cells = pa.Array.from_buffers(pa.binary(), len(to) - 1, [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data)])
+        try:
+            return cells.cast(pa.string())
+        except pa.ArrowInvalid:  # ids that spell no UTF-8
+            return pa.array([x.decode("utf-8", "replace") for x in cells.to_pylist()], pa.string())
+
+
+_encoders: dict[str, Encoder] = {}
+_decoders: dict[str, Decoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def decoder(path: str) -> Decoder:
+    if path not in _decoders:
+        _decoders[path] = Decoder(path)
+    return _decoders[path]
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
@@ -164,10 +171,10 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = pieces(model_path).encode
         for batch in batches:
-            ids = [encode(x.as_py()) for x in text_column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc_id", "ids", "n_pieces"])
+            for at, ids, bounds in encoder(model_path).encode(text_column(batch, "text")):
+                cells = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(at, len(cells)), cells, pa.array(np.diff(bounds))], names=["doc_id", "ids", "n_pieces"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(run, "doc_id long, ids binary, n_pieces long")
@@ -178,10 +185,17 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     out = encoded.select("doc_id", "ids", "n_pieces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = pieces(model_path).decode
         for batch in batches:
-            texts = [decode(x or b"") for x in column(batch, "ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "n_pieces", "text"])
+            cells = column(batch, "ids").fill_null(b"")
+            bounds = np.append(0, np.cumsum(pc.binary_length(cells).to_numpy(zero_copy_only=False)))
+            i = 0
+            while i < len(cells):
+                j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + 4 * IDS, "right")) - 1)
+                own = np.frombuffer(b"".join(cells.slice(i, j - i).to_pylist()), "<u4")
+                some = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*some.columns, decoder(model_path).decode(own, (bounds[i : j + 1] - bounds[i]) // 4)], names=["doc_id", "ids", "n_pieces", "text"])
+                i = j
+            release()
 
     return out.mapInArrow(run, "doc_id long, ids binary, n_pieces long, text string")
 
