@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -12,27 +10,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# ---------------------------------------------------------------- places
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+from ..operators.components import stars
+from ..plans.loop import checkpoint_dir
 
-    It is what ``spark.checkpoint.dir`` names.  Where that is unset, as in tests
-    on one machine, a temporary folder is made and set for this session.
-    """
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", place)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
+# ---------------------------------------------------------------- places
 
 
 def new_place(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -85,39 +71,9 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(src, dst)``: rows ``(id, component)``.
+    """Connected components of ``edges(src, dst)``: rows ``(id, component)``, each id with the smallest id that it reaches.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014) until
-    nothing changes; each id gets the smallest id that it reaches.  All steps are
-    aggregations and joins, each round is checkpointed, and only a count and a
-    checksum come to the driver.  Self-loops and repeated edges are harmless;
-    null ends are ignored; an empty table gives an empty result.
+    Self-loops and repeated edges are harmless; null ends are ignored; an empty table gives an empty result.
     """
-    spark = edges.sparkSession
-    shared_dir(spark)
-    star = (
-        edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
-        .select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
-        .distinct()
-        .checkpoint()
-    )
-    seen = None
-    while True:
-        both = star.select("a", "b").union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        star = (
-            small.select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(least.select("a", F.col("m").alias("b")))
-            .where("a <> b")
-            .distinct()
-            .checkpoint()
-        )
-        now = star.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == seen:
-            break
-        seen = now
-    found = star.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    found = stars(edges).select(F.col("a").alias("id"), F.col("b").alias("component"))
     return found.union(found.select(F.col("component").alias("id"), "component").distinct())

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, components, shared_dir, staged
+from .common import column, components, staged
 from .hashing import mix
 
 #: Tables, hashes joined in a table, further buckets that a vector enters per table.
@@ -183,7 +183,7 @@ def near_duplicates(table: DataFrame, cosine: float = 0.95) -> DataFrame:
     vector count once; equal ids with other vectors are one node.  A null vec_id links with nothing, has
     a null component and is kept.  Other columns are ignored.
     """
-    shared_dir(table.sparkSession)
+
     rows = staged(unit_vectors(table), "vectors")
     own = rows.where("v IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "key", "v").dropDuplicates(["vec_id", "key"])
     classes = staged(own.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v")), "classes")
