@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import MEMO, encoder
+from .bpe import MEMO, encoder, with_end
 from .common import column, text_column
 from .hashing import release
 
@@ -101,10 +101,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits =
     """
     with_loss = "loss_tokens" in docs.columns
     docs = docs.select("doc_id", "text", *(["loss_tokens"] if with_loss else []))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, memo).encode
         base, number = TaskContext.get().partitionId() << 33, 0
         held: list[tuple] = []
         n_held = 0
@@ -126,13 +124,15 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits =
 
         for batch in batches:
             losses = column(batch, "loss_tokens").to_pylist() if with_loss else [None] * batch.num_rows
-            for doc_id, text, loss in zip(column(batch, "doc_id").to_pylist(), text_column(batch, "text").to_pylist(), losses):
-                ids = encode(text) + end
-                held.append((doc_id, ids, loss))
-                n_held += len(ids)
-                if len(held) >= limits.block or n_held > 16 << 20:
-                    yield emit()
-            release()
+            doc_ids = column(batch, "doc_id").to_pylist()
+            for at, ids, bounds in encoder(tokenizer_path, memo).encode(text_column(batch, "text")):
+                ids, bounds = with_end(ids, bounds, end_id)
+                for i in range(len(bounds) - 1):
+                    own = ids[bounds[i] : bounds[i + 1]].tobytes()
+                    held.append((doc_ids[at + i], own, losses[at + i]))
+                    n_held += len(own)
+                    if len(held) >= limits.block or n_held > 16 << 20:
+                        yield emit()
         if held:
             yield emit()
         release()
