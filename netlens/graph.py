@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .plans.loop import saved
+from .plans.loop import dense_index, saved
 
 
 @dataclass(frozen=True)
@@ -179,9 +179,14 @@ def convergent_pairs(g: Graph, limit: int) -> DataFrame:
 
 
 def _shared_end(g: Graph, shared: str, other: str, limit: int) -> DataFrame:
-    a = g.edges.select(shared, F.col(other).alias(other + "1"))
-    b = g.edges.select(shared, F.col(other).alias(other + "2"))
-    both = a.join(b, shared).where(F.col(other + "1") < F.col(other + "2"))
+    """Edges are numbered by (shared, other) in a range sort.  Only the first ends of pairs that can be among the first ``limit`` of their vertex are joined to the vertex's edges, so a hub makes few rows."""
+    e = saved(dense_index(g.edges.select(shared, other), [shared, other], "k"))
+    hub = e.groupBy(shared).agg(F.min("k").alias("k0"), F.count("*").alias("d"))
+    ranked = e.join(hub, shared).select(shared, other, (F.col("k") - F.col("k0")).alias("r"), "d")
+    before = F.col("r") * F.col("d") - F.col("r") * (F.col("r") + 1) / 2
+    a = ranked.where(before < limit).select(shared, F.col(other).alias(other + "1"), F.col("r").alias("r1"))
+    b = ranked.select(shared, F.col(other).alias(other + "2"), F.col("r").alias("r2"))
+    both = a.join(b, shared).where(f"r1 < r2 AND r2 - r1 <= {limit}").drop("r1", "r2")
     return both.orderBy(shared, other + "1", other + "2").limit(limit)
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph, both_ways, degrees, neighbor_counts, pairs, vertex_count
+from ..graph import Graph, both_ways, degrees, neighbor_counts, vertex_count
 from ..plans.loop import batches, iterate, saved
 from .paths import levels
 
@@ -80,32 +84,99 @@ def _dependencies(moves: DataFrame, sources: DataFrame) -> tuple[DataFrame, Data
     return done, shares
 
 
+#: Edges up to which a graph is broadcast to the tasks that search from its vertices (16 bytes each); beyond, searches are joins.
+BROADCAST_EDGES = 1_000_000
+
+
+def path_shares(moves: DataFrame, sources: DataFrame, batch: int = 200) -> DataFrame:
+    """(src, dst, share, reached), saved: shortest paths from sources(id) over moves(src, dst), each split evenly among its ties.
+
+    A row with ``dst`` has the sum of paths over that edge; rows with null ``dst`` have those through a vertex between their ends and, where it
+    is a source, how many vertices it reaches (itself too).  Sources are dealt over the tasks.
+    """
+    if moves.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES:
+        return saved(_share_sums(moves, sources))
+    out = None
+    for some in batches(sources, batch):
+        done, shares = _dependencies(moves, some)
+        inner = done.groupBy("id").agg(F.sum(F.when(F.col("source") != F.col("id"), F.col("delta")).otherwise(0.0)).alias("share"))
+        count = done.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("reached"))
+        part = inner.join(count, "id", "left").select(F.col("id").alias("src"), F.lit(None).cast(moves.schema["dst"].dataType).alias("dst"), "share", "reached")
+        if shares is not None:
+            part = part.union(shares.groupBy("src", "dst").agg(F.sum("share").alias("share")).withColumn("reached", F.lit(None).cast("long")))
+        out = part if out is None else out.union(part)
+    return saved(out.groupBy("src", "dst").agg(F.sum("share").alias("share"), F.max("reached").alias("reached")))
+
+
+def _share_sums(moves: DataFrame, sources: DataFrame) -> DataFrame:
+    """path_shares() of a graph of checked size: every task has the edges and adds up over its sources."""
+    edges = moves.select("src", "dst").toArrow()  # at most BROADCAST_EDGES rows
+    names, code = np.unique(np.concatenate([edges["src"].to_numpy(), edges["dst"].to_numpy()]), return_inverse=True)
+    m = edges.num_rows
+    order = np.argsort(code[:m], kind="stable")
+    tail, head = code[:m][order], code[m:][order]
+    first = np.searchsorted(tail, np.arange(len(names) + 1))
+    kind = moves.schema["src"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on_edge, inside = np.zeros(m), np.zeros(len(names))
+        reached: dict = {}
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                start = int(np.searchsorted(names, name)) if len(names) else 0
+                if start == len(names) or names[start] != name:
+                    reached[name] = 1  # no edges
+                    continue
+                dist, paths, levels = np.full(len(names), -1), np.zeros(len(names)), []
+                dist[start], paths[start], front = 0, 1.0, np.array([start])
+                while len(front):
+                    size = first[front + 1] - first[front]
+                    out = np.repeat(first[front] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    fresh = dist[head[out]] < 0
+                    depth = len(levels) + 1
+                    front = np.unique(head[out[fresh]])
+                    out = out[fresh]
+                    dist[front] = depth
+                    np.add.at(paths, head[out], paths[tail[out]])
+                    levels.append(out)
+                behind = np.zeros(len(names))
+                for out in reversed(levels):
+                    share = paths[tail[out]] / paths[head[out]] * (1 + behind[head[out]])
+                    on_edge[out] += share
+                    np.add.at(behind, tail[out], share)
+                behind[start] = 0
+                inside += behind
+                reached[name] = int((dist >= 0).sum())
+        used, within = np.flatnonzero(on_edge), np.flatnonzero(inside)
+        ids = [*names[tail[used]].tolist(), *names[within].tolist(), *reached]
+        ends = [*names[head[used]].tolist(), *[None] * (len(within) + len(reached))]
+        shares = [*on_edge[used].tolist(), *inside[within].tolist(), *[0.0] * len(reached)]
+        counts = [*[None] * (len(used) + len(within)), *reached.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, schema[0]), pa.array(ends, schema[0]), pa.array(shares, pa.float64()), pa.array(counts, pa.int64())], names=["src", "dst", "share", "reached"])
+
+    schema = [edges.schema.field("src").type]
+    parts = int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sources.select("id").repartition(parts, "id").mapInArrow(run, f"src {kind}, dst {kind}, share double, reached long")
+    return rows.groupBy("src", "dst").agg(F.sum("share").alias("share"), F.max("reached").alias("reached"))
+
+
 def betweenness_centrality(g: Graph, sources: DataFrame | None = None, batch: int = 200) -> DataFrame:
-    """(id, value): directed, unweighted, scaled by 1/((n-1)(n-2)) where n > 2; ``sources(id)`` limits the start vertices.  State is batch times n."""
-    moves = saved(g.edges.select("src", "dst"))
-    total = None
-    for some in batches(sources if sources is not None else g.vertices.select("id"), batch):
-        done, _ = _dependencies(moves, some)
-        part = done.where("source <> id").groupBy("id").agg(F.sum("delta").alias("d"))
-        total = part if total is None else total.union(part)
+    """(id, value): directed, unweighted, scaled by 1/((n-1)(n-2)) where n > 2; ``sources(id)`` limits the start vertices."""
+    total = path_shares(saved(g.edges.select("src", "dst")), sources if sources is not None else g.vertices.select("id"), batch)
     n = g.vertices.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    sums = total.groupBy("id").agg(F.sum("d").alias("d"))
+    sums = total.where("dst IS NULL").select(F.col("src").alias("id"), F.col("share").alias("d"))
     return g.vertices.select("id").join(sums, "id", "left").select("id", (F.coalesce("d", F.lit(0.0)) * scale).alias("value"))
 
 
 def edge_betweenness(g: Graph, batch: int = 200) -> DataFrame:
     """(u, v, value): shortest paths of the undirected view through each pair, each path once."""
-    moves = saved(both_ways(g))
-    total = None
-    for some in batches(g.vertices.select("id"), batch):
-        _, shares = _dependencies(moves, some)
-        if shares is not None:
-            part = shares.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.sum("share").alias("s"))
-            total = part if total is None else total.union(part)
-    if total is None:
-        return pairs(g).withColumn("value", F.lit(0.0))
-    return total.groupBy("u", "v").agg((F.sum("s") / 2).alias("value"))
+    return _pair_shares(path_shares(saved(both_ways(g)), g.vertices.select("id"), batch))
+
+
+def _pair_shares(shares: DataFrame) -> DataFrame:
+    both = shares.where("dst IS NOT NULL")
+    return both.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg((F.sum("share") / 2).alias("value"))
 
 
 def _moved(old: DataFrame, new: DataFrame) -> float:

@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from ..graph import Graph, both_ways, degrees, neighbor_counts, pairs
 from ..plans.loop import join_spread, saved
-from .centrality import betweenness_centrality, edge_betweenness
-from .components import connected_components
+from .centrality import betweenness_centrality, path_shares
+from .components import components_of
 
 
 def label_propagation(g: Graph, max_iter: int = 50, seed: int = 42) -> DataFrame:
@@ -65,11 +65,12 @@ def girvan_newman(g: Graph, k: int = 2) -> DataFrame:
         raise ValueError("k must be at least 1")
     both = saved(both_ways(g))
     while True:
-        h = Graph(g.vertices, both.select("src", "dst", F.lit(1.0).alias("weight")))
-        comm = saved(connected_components(h))
-        if comm.agg(F.count_distinct("component")).first()[0] >= k or not both.limit(1).count():
-            return comm
-        top = edge_betweenness(h).orderBy(F.desc(F.round("value", 9)), "u", "v").first()
+        shares = path_shares(both, g.vertices.select("id"))
+        per = shares.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), F.col("dst").isNotNull().alias("pair")).agg(F.sum("share").alias("s"), F.sum(1 / F.nullif("reached", F.lit(0))).alias("part"))
+        # every vertex of a component reaches all of it, so the inverses of what they reach add up to 1
+        parts, top = per.agg(F.sum("part"), F.min(F.when(F.col("pair"), F.struct(-F.round(F.col("s") / 2, 9), "u", "v")))).first()
+        if round(parts or 0) >= k or top is None:
+            return components_of(g.vertices, both)
         both = saved(both.where(~((F.least("src", "dst") == top.u) & (F.greatest("src", "dst") == top.v))))
 
 

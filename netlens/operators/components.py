@@ -10,6 +10,10 @@ from ..graph import Graph, pairs
 from ..plans.loop import join_spread, saved
 
 
+#: Rows of a star table from which its hubs are dealt over several tasks.
+SPREAD = 20_000
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """(a, b) with b the smallest vertex of a's component, for every a that is not it.
 
@@ -17,19 +21,22 @@ def stars(edges: DataFrame) -> DataFrame:
     the driver.  A hub's edges are dealt over several tasks.  Loops and repeated edges are harmless, null ends are ignored.
     """
     star = saved(edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
-    seen = None
-    while True:
+    seen, n = None, star.count()
+    while n:
+        many = n > SPREAD
+        meet = lambda rows, low: join_spread(rows, low.drop("n"), "a", counts=low.select("a", "n")) if many else rows.join(low, "a")
         both = star.union(star.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = join_spread(both.where("b > a"), low.drop("n"), "a", counts=low.select("a", "n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = saved(large.distinct())
+        large = meet(both.where("b > a"), low).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = saved(large) if many else large
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = join_spread(large, least.drop("n"), "a", counts=least.select("a", "n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = meet(large, least).select(F.col("b").alias("a"), F.col("m").alias("b"))
         star = saved(small.union(least.select("a", "m")).where("a <> b").distinct())
-        now = star.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == seen:
-            return star
-        seen = now
+        n, code = star.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if (n, code) == seen:
+            break
+        seen = (n, code)
+    return star
 
 
 def components_of(ids: DataFrame, edges: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..graph import Graph
 from ..plans.loop import saved
@@ -13,36 +14,57 @@ from .paths import levels
 TINY = 1e-9
 
 
+def _heights(residual: DataFrame, source, sink, n: int) -> DataFrame:
+    """(id, h): distance to the sink over residual edges, else n and the distance to the source."""
+    back = saved(residual.where(F.col("cap") > TINY).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    one = residual.sparkSession.range(1)
+    down = levels(back.where(F.col("dst") != source), one.select(F.lit(sink).alias("id"))).select("id", F.col("dist").alias("h"))
+    up = levels(back, one.select(F.lit(source).alias("id"))).select("id", (F.col("dist") + n).alias("h"))
+    return saved(down.union(up).groupBy("id").agg(F.min("h").alias("h")))
+
+
 def _residual(g: Graph, source, sink) -> tuple[DataFrame, float]:
-    """(residual(src, dst, cap), value) after augmenting along shortest paths until there is none.
+    """(residual(src, dst, cap), value) of a maximum flow, by waves of pushes.
 
-    A round searches levels from the source, walks back from the sink by the predecessor of largest capacity
-    (ties: smallest id), and changes the residual table by one join.  Only one path's vertices are
-    on the driver at a time.
+    Heights are exact distances in the residual graph, found anew for every wave.  A wave goes down level by level: all vertices of a
+    height push what they hold to the next, filling edges in the order of their ends, as one join.  What is left
+    waits for the next wave, or flows back to the source.  Many paths fill in one wave; only counts and the value come to the driver.
     """
     if g.edges.where("weight < 0").limit(1).count():
         raise ValueError("negative capacity")
     back = g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("weight"))
     residual = saved(g.edges.union(back).groupBy("src", "dst").agg(F.sum("weight").alias("cap")))
-    start = g.vertices.where(F.col("id") == source).select("id")
-    value = 0.0
-    while source != sink:
-        open_ = residual.where(F.col("cap") > TINY)
-        dist = levels(open_.select("src", "dst"), start).select("id", "dist")
-        end = dist.where(F.col("id") == sink).first()
-        if end is None:
+    if source == sink:
+        return residual, 0.0
+    n = g.vertices.count()
+    # the source fills its edges
+    filled = residual.where((F.col("src") == source) & (F.col("cap") > TINY)).select("src", "dst", F.col("cap").alias("sent"))
+    residual, excess = _sent(residual, filled), saved(filled.groupBy(F.col("dst").alias("id")).agg(F.sum("sent").alias("x")))
+    while True:
+        waiting = excess.where((F.col("id") != source) & (F.col("id") != sink) & (F.col("x") > TINY))
+        if not waiting.limit(1).count():
             break
-        step = saved(open_.join(dist.select(F.col("id").alias("src"), F.col("dist").alias("ds")), "src").join(dist.select(F.col("id").alias("dst"), F.col("dist").alias("dd")), "dst").where("dd = ds + 1"))
-        path, at = [], sink
-        while at != source:
-            r = step.where(F.col("dst") == at).orderBy(F.desc("cap"), "src").first()
-            path.append((r.src, at, r.cap))
-            at = r.src
-        amount = min(c for _, _, c in path)
-        value += amount
-        delta = g.spark.createDataFrame([(u, v, -amount) for u, v, _ in path] + [(v, u, amount) for u, v, _ in path], residual.select("src", "dst", F.col("cap").alias("delta")).schema)
-        residual = saved(residual.join(F.broadcast(delta), ["src", "dst"], "left").select("src", "dst", (F.col("cap") + F.coalesce("delta", F.lit(0.0))).alias("cap")))
-    return residual, value
+        height = _heights(residual, source, sink, n)
+        top = waiting.join(height, "id").agg(F.max("h")).first()[0]
+        h, lower = height.select(F.col("id").alias("src"), "h"), height.select(F.col("id").alias("dst"), F.col("h").alias("hd"))
+        down = saved(residual.join(h, "src").join(lower, "dst").where("hd = h - 1").select("src", "dst", "h"))
+        for level in range(top, 0, -1):
+            at = down.where(F.col("h") == level).drop("h").join(residual, ["src", "dst"]).where(F.col("cap") > TINY)
+            before = F.coalesce(F.sum("cap").over(Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+            holds = excess.where((F.col("id") != source) & (F.col("id") != sink) & (F.col("x") > TINY)).withColumnRenamed("id", "src")
+            sent = at.withColumn("before", before).join(holds, "src").select("src", "dst", F.greatest(F.lit(0.0), F.least("cap", F.col("x") - F.col("before"))).alias("sent"))
+            sent = saved(sent.where(F.col("sent") > 0))
+            if sent.limit(1).count():
+                residual = _sent(residual, sent)
+                moved = sent.select(F.col("src").alias("id"), (-F.col("sent")).alias("x")).union(sent.select("dst", "sent"))
+                excess = saved(excess.union(moved).groupBy("id").agg(F.sum("x").alias("x")))
+    return residual, excess.where(F.col("id") == sink).agg(F.coalesce(F.sum("x"), F.lit(0.0))).first()[0]
+
+
+def _sent(residual: DataFrame, sent: DataFrame) -> DataFrame:
+    """The residual table after amounts sent(src, dst, sent)."""
+    delta = sent.select("src", "dst", (-F.col("sent")).alias("d")).union(sent.select("dst", "src", "sent")).groupBy("src", "dst").agg(F.sum("d").alias("d"))
+    return saved(residual.join(delta, ["src", "dst"], "left").select("src", "dst", (F.col("cap") + F.coalesce("d", F.lit(0.0))).alias("cap")))
 
 
 def max_flow(g: Graph, source, sink) -> tuple[float, DataFrame]:

@@ -14,6 +14,7 @@ from .plans.loop import dense_index
 from .sources import tables
 from .streaming import stream
 
+W = "WITH RECURSIVE "
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -65,12 +66,16 @@ def whole(spark, sf):
     return tables.all_pairs_graph(spark, sf)
 
 
+def on_both(name: str, f, all_sql: str | None = None, frequent_sql: str | None = None):
+    """Registers a query on the graph of all pairs, and as frequent_<name> on that of frequent pairs."""
+    register(name, all_sql and W + EDGES + SHAPE + all_sql)(lambda spark, sf: f(whole(spark, sf)))
+    register(f"frequent_{name}", frequent_sql and W + FREQUENT + SHAPE + frequent_sql)(lambda spark, sf: f(tables.frequent_graph(spark, sf)))
+
+
 def r6(c, name=None):
     return F.round(c, 6).alias(name or (c if isinstance(c, str) else "value"))
 
 
-W = "WITH RECURSIVE "
-
 # ---------------------------------------------------------------- activity
 
 
@@ -244,7 +249,8 @@ register("transitivity", W + EDGES + SHAPE + TRIANGLES + " SELECT round(3.0 * (S
 register("clustering", W + EDGES + SHAPE + TRIANGLES + " SELECT id, round(coalesce(t, 0) * 2.0 / greatest(k * (k - 1), 1), 6) AS value FROM nk LEFT JOIN (SELECT id, count(*) AS t FROM corner GROUP BY 1) USING (id)")(lambda spark, sf: structure.clustering(whole(spark, sf)).select("id", r6("value")))
 register("clustering_directed", W + EDGES + SHAPE + TRIANGLES + " SELECT id, round(coalesce(t, 0) * 1.0 / greatest(k * (k - 1), 1), 6) AS value FROM nk LEFT JOIN (SELECT c.id, count(*) AS t FROM corner c JOIN e ON (e.src = x AND e.dst = y) OR (e.src = y AND e.dst = x) GROUP BY 1) USING (id)")(lambda spark, sf: structure.clustering(whole(spark, sf), "directed").select("id", r6("value")))
 register("average_clustering", W + EDGES + SHAPE + TRIANGLES + " SELECT round(avg(value), 6) AS average_clustering FROM (SELECT coalesce(t, 0) * 2.0 / greatest(k * (k - 1), 1) AS value FROM nk LEFT JOIN (SELECT id, count(*) AS t FROM corner GROUP BY 1) USING (id))")(lambda spark, sf: structure.average_clustering(whole(spark, sf)).select(r6("average_clustering")))
-register("planarity_screen", W + FREQUENT + SHAPE + " SELECT NOT (n > 4 AND mu > 3 * n - 6) AS maybe_planar FROM one")(lambda spark, sf: structure.planarity_screen(tables.frequent_graph(spark, sf)))
+_PLANAR = TRIANGLES + " SELECT CASE WHEN n <= 4 THEN true WHEN mu > 3 * n - 6 THEN false WHEN n = 5 AND mu = 10 THEN false WHEN n = 6 AND mu = 9 AND (SELECT min(k) = 3 AND max(k) = 3 FROM nk) AND (SELECT count(*) FROM tri) = 0 THEN false ELSE true END AS maybe_planar FROM one"
+on_both("planarity_screen", structure.planarity_screen, _PLANAR, _PLANAR)
 
 _COMM = ", com AS (SELECT id, id % 7 AS component FROM v)"
 
@@ -256,8 +262,10 @@ def given(g):
 
 register("modularity", W + EDGES + SHAPE + _COMM + ", t AS (SELECT c.component, sum(k) AS d FROM com c JOIN nk USING (id) GROUP BY 1), l AS (SELECT a.component, count(*) AS l FROM p JOIN com a ON a.id = u JOIN com b ON b.id = w WHERE a.component = b.component GROUP BY 1) SELECT round(sum(coalesce(l, 0) * 1.0 / mu - (d / (2.0 * mu)) ** 2), 6) AS modularity FROM t LEFT JOIN l USING (component), one")(lambda spark, sf: (lambda g: communities.modularity(g, given(g)).select(r6("modularity")))(whole(spark, sf)))
 register("modularity_edges_only", W + EDGES + SHAPE + _COMM + " SELECT round(sum((1 - x.degree * y.degree / (2.0 * m)) / (2.0 * m)), 6) AS modularity FROM e JOIN com a ON a.id = src JOIN com b ON b.id = dst JOIN deg x ON x.id = src JOIN deg y ON y.id = dst, one WHERE a.component = b.component")(lambda spark, sf: (lambda g: communities.modularity(g, given(g), "edges_only").select(r6("modularity")))(whole(spark, sf)))
-register("bridging_ends", W + FREQUENT + SHAPE + _COMM + " SELECT DISTINCT src AS id FROM nb JOIN com a ON a.id = src JOIN com b ON b.id = dst WHERE a.component <> b.component")(lambda spark, sf: (lambda g: communities.bridging_ties(g, given(g)))(tables.frequent_graph(spark, sf)))
-register("bridging_counts", W + FREQUENT + SHAPE + _COMM + " SELECT v.id, count(DISTINCT b.component) AS n_communities FROM v JOIN com a USING (id) LEFT JOIN nb ON nb.src = v.id LEFT JOIN com b ON b.id = nb.dst AND b.component <> a.component GROUP BY 1")(lambda spark, sf: (lambda g: communities.bridging_ties(g, given(g), "count"))(tables.frequent_graph(spark, sf)))
+_ENDS = _COMM + " SELECT DISTINCT src AS id FROM nb JOIN com a ON a.id = src JOIN com b ON b.id = dst WHERE a.component <> b.component"
+on_both("bridging_ends", lambda g: communities.bridging_ties(g, given(g)), _ENDS, _ENDS)
+_COUNTS = _COMM + " SELECT v.id, count(DISTINCT b.component) AS n_communities FROM v JOIN com a USING (id) LEFT JOIN nb ON nb.src = v.id LEFT JOIN com b ON b.id = nb.dst AND b.component <> a.component GROUP BY 1"
+on_both("bridging_counts", lambda g: communities.bridging_ties(g, given(g), "count"), _COUNTS, _COUNTS)
 register("community_report", W + EDGES + SHAPE + _COMM + " SELECT component, count(*) AS size, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (r <= 8) AS members, greatest(count(*) - 8, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY id) AS r FROM com) GROUP BY 1 ORDER BY size DESC, component LIMIT 10")(
     lambda spark, sf: (lambda g: communities.community_report(given(g)).select("component", "size", F.array_join(F.transform("first_members", lambda x: x.cast("string")), ",").alias("members"), "more"))(whole(spark, sf))
 )
@@ -272,16 +280,21 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- traversal
 
-_SRC = "SELECT id FROM v WHERE id % 50 = 0"
+#: Searches start from every vertex whose id is divisible by 20, against the whole graph.
+_SRC = "SELECT id FROM v WHERE id % 20 = 0"
 
 
-def some(g, k=50):
+def some(g, k=20):
     return g.vertices.where(f"id % {k} = 0").select("id")
 
 
-register("bfs_distances", W + FREQUENT + SHAPE + sql_levels("e", _SRC, 14) + " SELECT source, id, dist FROM lev")(lambda spark, sf: (lambda g: paths.bfs(g, some(g)).select("source", "id", "dist"))(tables.frequent_graph(spark, sf)))
-register("bfs_order", None)(lambda spark, sf: (lambda g: paths.bfs(g, some(g)))(tables.frequent_graph(spark, sf)))
-register("reachable", W + ACYCLIC + SHAPE + sql_levels("e", _SRC, 8) + " SELECT source, id FROM lev")(lambda spark, sf: (lambda g: paths.reachable(g, some(g)))(tables.acyclic_graph(spark, sf)))
+def sql_order(n: int) -> str:
+    """Visit order: within a level by (position of the first parent, id)."""
+    out = f", q0 AS (SELECT id AS source, id, 0 AS dist, CAST(NULL AS BIGINT) AS pred, CAST(0 AS BIGINT) AS pos FROM ({_SRC}))"
+    for i in range(n):
+        out += f", n{i} AS (SELECT q.source, e.dst AS id, min(q.pos) AS ppos, arg_min(q.id, q.pos) AS pred FROM q{i} q JOIN e ON e.src = q.id WHERE q.dist = {i} AND NOT EXISTS (SELECT 1 FROM q{i} o WHERE o.source = q.source AND o.id = e.dst) GROUP BY 1, 2)"
+        out += f", q{i + 1} AS MATERIALIZED (SELECT * FROM q{i} UNION ALL SELECT n.source, n.id, {i + 1}, n.pred, c + row_number() OVER (PARTITION BY n.source ORDER BY ppos, n.id) - 1 FROM n{i} n JOIN (SELECT source, count(*) AS c FROM q{i} GROUP BY 1) k ON k.source = n.source)"
+    return out + f" SELECT source, id, dist, pred, pos FROM q{n}"
 
 
 def sql_distances(sources: str, n: int) -> str:
@@ -291,6 +304,10 @@ def sql_distances(sources: str, n: int) -> str:
     return out
 
 
+_LEV = " SELECT source, id, dist FROM lev"
+on_both("bfs_distances", lambda g: paths.bfs(g, some(g)).select("source", "id", "dist"), sql_levels("e", _SRC, 6) + _LEV, sql_levels("e", _SRC, 14) + _LEV)
+on_both("bfs_order", lambda g: paths.bfs(g, some(g)), sql_order(6), sql_order(14))
+register("reachable", W + ACYCLIC + SHAPE + sql_levels("e", _SRC, 8) + " SELECT source, id FROM lev")(lambda spark, sf: (lambda g: paths.reachable(g, some(g)))(tables.acyclic_graph(spark, sf)))
 register("shortest_distances", W + EDGES + SHAPE + sql_distances(_SRC, 8) + " SELECT source, id, dist FROM d8")(lambda spark, sf: (lambda g: paths.sssp(g, some(g)).select("source", "id", "dist"))(whole(spark, sf)))
 register("trade_distances", W + TRADE + SHAPE + sql_distances("SELECT id FROM v", 8) + " SELECT source, id, dist FROM d8")(lambda spark, sf: paths.all_pairs(tables.trade_graph(spark, sf)).select("source", "id", "dist"))
 register("shortest_path", W + EDGES + SHAPE + sql_distances("SELECT min(id) AS id FROM v", 8) + " SELECT source, id AS target, true AS reachable, dist AS distance FROM d8 WHERE id = (SELECT max(id) FROM v)")(lambda spark, sf: (lambda g, r: paths.shortest_path(g, r[0], r[1]).select("source", "target", "reachable", "distance"))(*(lambda g: (g, g.vertices.agg(F.min("id"), F.max("id")).first()))(whole(spark, sf).saved())))
@@ -302,17 +319,24 @@ def _topo(n: int = 150) -> str:
 
 
 register("topological_levels", _topo())(lambda spark, sf: paths.topological_levels(tables.acyclic_graph(spark, sf)).select("id", "level"))
-register("distance_stats", W + FREQUENT + SHAPE + sql_levels("nb", "SELECT id FROM v", 14) + " SELECT max(dist) AS max_distance, round(avg(dist), 6) AS mean_distance FROM lev WHERE dist > 0")(lambda spark, sf: paths.distance_stats(tables.frequent_graph(spark, sf)).select("max_distance", r6("mean_distance")))
+_FAR = " SELECT max(dist) AS max_distance, round(avg(dist), 6) AS mean_distance FROM lev WHERE dist > 0"
+on_both("distance_stats", lambda g: paths.distance_stats(g).select("max_distance", r6("mean_distance")), sql_levels("nb", "SELECT id FROM v", 5) + _FAR, sql_levels("nb", "SELECT id FROM v", 14) + _FAR)
 
 # ---------------------------------------------------------------- connectivity and trees
 
-register("components", W + FREQUENT + SHAPE + undirected_components() + " SELECT id, component FROM comp")(lambda spark, sf: components.connected_components(tables.frequent_graph(spark, sf)))
+on_both("components", components.connected_components, undirected_components(6) + " SELECT id, component FROM comp", undirected_components() + " SELECT id, component FROM comp")
 register("graph_info", W + EDGES + SHAPE + undirected_components(6) + " SELECT 'all' AS name, n AS vertices, m AS edges, (SELECT count(DISTINCT component) <= 1 FROM comp) AS is_connected, m = n * (n - 1) AS is_complete, m = 0 AS is_empty FROM one")(lambda spark, sf: structure.graph_info(whole(spark, sf), "all"))
-register("strong_components", W + ACYCLIC.replace("WHERE src < dst", "WHERE (src * 31 + dst * 17) % 97 = 0") + SHAPE + ", rc AS (SELECT id AS a, id AS b FROM v UNION SELECT rc.a, e.dst FROM rc JOIN e ON e.src = rc.b) SELECT x.a AS id, min(x.b) AS component FROM rc x JOIN rc y ON x.a = y.b AND x.b = y.a GROUP BY 1")(lambda spark, sf: components.scc(G.graph(whole(spark, sf).edges.where("(src * 31 + dst * 17) % 97 = 0"))))
-register("bipartite", W + FREQUENT + SHAPE + ", wk AS (SELECT id AS root, id, 0 AS par FROM v UNION SELECT wk.root, nb.dst, 1 - wk.par FROM wk JOIN nb ON nb.src = wk.id) SELECT NOT EXISTS (SELECT 1 FROM wk WHERE root = id AND par = 1) AS is_bipartite")(lambda spark, sf: components.is_bipartite(tables.frequent_graph(spark, sf)))
+_RC = ", rc AS (SELECT id AS a, id AS b FROM v UNION SELECT rc.a, e.dst FROM rc JOIN e ON e.src = rc.b) SELECT x.a AS id, min(x.b) AS component FROM rc x JOIN rc y ON x.a = y.b AND x.b = y.a GROUP BY 1"
+register("strong_components", W + EDGES + SHAPE + _RC)(lambda spark, sf: components.scc(whole(spark, sf)))
+register("repeated_strong_components", W + EDGES.replace(", e AS", ", e0 AS") + ", e AS (SELECT * FROM e0 WHERE weight >= 4)" + SHAPE + _RC)(lambda spark, sf: components.scc(G.graph(whole(spark, sf).edges.where("weight >= 4"))))
+_PARITY = ", wk AS (SELECT id AS root, id, 0 AS par FROM v UNION SELECT wk.root, nb.dst, 1 - wk.par FROM wk JOIN nb ON nb.src = wk.id) SELECT NOT EXISTS (SELECT 1 FROM wk WHERE root = id AND par = 1) AS is_bipartite"
+on_both("bipartite", components.is_bipartite, _PARITY, _PARITY)
+
 
+_ORDERED = "e AS (SELECT DISTINCT o_custkey AS src, CAST(-1 - l_suppkey AS BIGINT) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
-@register("order_graph_bipartite", "SELECT true AS is_bipartite")
+
+@register("order_graph_bipartite", W + _ORDERED + SHAPE + ", r AS (SELECT min(id) AS id FROM v), wk AS (SELECT id, 0 AS par FROM r UNION SELECT nb.dst, 1 - wk.par FROM wk JOIN nb ON nb.src = wk.id) SELECT count(*) = count(DISTINCT id) AS is_bipartite FROM wk")
 def _(spark, sf):
     lines = tables.read(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
     orders = tables.read(spark, sf, "orders").select("o_orderkey", "o_custkey")
@@ -320,12 +344,17 @@ def _(spark, sf):
     return components.is_bipartite(G.graph(e))
 
 
-register("blocks", None)(lambda spark, sf: components.biconnected(tables.frequent_graph(spark, sf)))
-register("bridges", W + FREQUENT + SHAPE + ", far AS (SELECT p.u AS bu, p.w AS bw, p.u AS id FROM p UNION SELECT f.bu, f.bw, nb.dst FROM far f JOIN nb ON nb.src = f.id WHERE NOT (nb.src = f.bu AND nb.dst = f.bw) AND NOT (nb.src = f.bw AND nb.dst = f.bu)) SELECT u, w AS v FROM p WHERE NOT EXISTS (SELECT 1 FROM far f WHERE f.bu = u AND f.bw = w AND f.id = w)")(lambda spark, sf: components.bridges(components.biconnected(tables.frequent_graph(spark, sf))))
-register("articulation_points", W + FREQUENT + SHAPE + """, st AS (SELECT src AS cut, min(dst) AS id FROM nb GROUP BY 1), far AS (SELECT cut, id FROM st UNION SELECT f.cut, nb.dst FROM far f JOIN nb ON nb.src = f.id WHERE nb.dst <> f.cut)
- SELECT DISTINCT nb.src AS id FROM nb WHERE NOT EXISTS (SELECT 1 FROM far f WHERE f.cut = nb.src AND f.id = nb.dst)""")(lambda spark, sf: components.articulation_points(components.biconnected(tables.frequent_graph(spark, sf))))
-register("spanning_forest", None)(lambda spark, sf: trees.minimum_spanning_forest(tables.frequent_graph(spark, sf)))
-register("is_tree", W + FREQUENT + SHAPE + undirected_components() + " SELECT (SELECT count(DISTINCT component) FROM comp) = 1 AND mu = n - 1 AS is_tree FROM one")(lambda spark, sf: trees.is_tree(tables.frequent_graph(spark, sf)))
+on_both("blocks", components.biconnected)
+_BRIDGES = ", far AS (SELECT p.u AS bu, p.w AS bw, p.u AS id FROM p UNION SELECT f.bu, f.bw, nb.dst FROM far f JOIN nb ON nb.src = f.id WHERE NOT (nb.src = f.bu AND nb.dst = f.bw) AND NOT (nb.src = f.bw AND nb.dst = f.bu)) SELECT u, w AS v FROM p WHERE NOT EXISTS (SELECT 1 FROM far f WHERE f.bu = u AND f.bw = w AND f.id = w)"
+on_both("bridges", lambda g: components.bridges(components.biconnected(g)), _BRIDGES, _BRIDGES)
+_CUTS = """, st AS (SELECT src AS cut, min(dst) AS id FROM nb GROUP BY 1), far AS (SELECT cut, id FROM st UNION SELECT f.cut, nb.dst FROM far f JOIN nb ON nb.src = f.id WHERE nb.dst <> f.cut)
+ SELECT DISTINCT nb.src AS id FROM nb WHERE NOT EXISTS (SELECT 1 FROM far f WHERE f.cut = nb.src AND f.id = nb.dst)"""
+on_both("articulation_points", lambda g: components.articulation_points(components.biconnected(g)), _CUTS, _CUTS)
+# a pair is in the forest if the pairs before it do not connect its ends
+_FOREST = ", w AS (SELECT least(src, dst) AS u, greatest(src, dst) AS w, min(weight) AS weight FROM e GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (ORDER BY weight, u, w) AS r FROM w), kb AS (SELECT u AS src, w AS dst, r FROM k UNION ALL SELECT w, u, r FROM k), far AS (SELECT r, u AS id FROM k UNION SELECT f.r, kb.dst FROM far f JOIN kb ON kb.src = f.id AND kb.r < f.r) SELECT u, w AS v, weight FROM k WHERE NOT EXISTS (SELECT 1 FROM far f WHERE f.r = k.r AND f.id = k.w)"
+on_both("spanning_forest", trees.minimum_spanning_forest, _FOREST, _FOREST)
+_TREE = " SELECT (SELECT count(DISTINCT component) FROM comp) = 1 AND mu = n - 1 AS is_tree FROM one"
+on_both("is_tree", trees.is_tree, undirected_components(6) + _TREE, undirected_components() + _TREE)
 
 
 @register("max_flow")
@@ -335,6 +364,20 @@ def _(spark, sf):
     return flow.max_flow(g, a, b)[1]
 
 
+def sql_flow_value() -> str:
+    """Every cut that parts the source alone, the sink alone, or one more vertex with either; the least of them is the value where no wider cut is smaller."""
+    ends = ", t AS (SELECT min(id) AS a, max(id) AS b FROM v), side AS (SELECT a AS x, a AS y FROM t UNION SELECT a, id FROM v, t WHERE id <> b UNION SELECT b, b FROM t UNION SELECT b, id FROM v, t WHERE id <> a)"
+    cut = ", cut AS (SELECT x, y, sum(weight) AS c FROM side, t, e WHERE (x = a AND src IN (x, y) AND dst NOT IN (x, y)) OR (x = b AND dst IN (x, y) AND src NOT IN (x, y)) GROUP BY 1, 2)"
+    return W + TRADE + SHAPE + ends + cut + " SELECT min(c) AS value FROM cut"
+
+
+@register("max_flow_value", sql_flow_value())
+def _(spark, sf):
+    g = tables.trade_graph(spark, sf).saved()
+    a, b = g.vertices.agg(F.min("id"), F.max("id")).first()
+    return spark.createDataFrame([(float(flow.max_flow(g, a, b)[0]),)], "value double")
+
+
 @register("min_cut")
 def _(spark, sf):
     g = tables.trade_graph(spark, sf).saved()
@@ -396,10 +439,23 @@ def sql_betweenness(depth: int) -> str:
 
 
 register("betweenness", W + EDGES + SHAPE + sql_betweenness(4) + " SELECT id, round(coalesce(d, 0) / ((n - 1) * (n - 2)), 9) AS value FROM v LEFT JOIN bt USING (id), one")(lambda spark, sf: centrality.betweenness_centrality(whole(spark, sf)).select("id", F.round("value", 9).alias("value")))
-register("edge_betweenness", None)(lambda spark, sf: centrality.edge_betweenness(tables.frequent_graph(spark, sf)))
-register("label_propagation", None)(lambda spark, sf: communities.label_propagation(tables.frequent_graph(spark, sf)))
-register("approximate_reach", None)(lambda spark, sf: centrality.approximate_reach(tables.frequent_graph(spark, sf), 4))
-register("full_analysis", None)(lambda spark, sf: report.full_analysis(tables.frequent_graph(spark, sf), "frequent"))
+def _edge_shares(depth: int) -> str:
+    """Shares of shortest paths over undirected pairs, level by level."""
+    out = sql_levels("nb", "SELECT id FROM v", depth).replace(f", lev AS (", ", lev AS MATERIALIZED (") + ", g0 AS MATERIALIZED (SELECT source, id, 1.0::DOUBLE AS sigma FROM lev WHERE dist = 0)"
+    for d in range(1, depth + 1):
+        out += f", g{d} AS MATERIALIZED (SELECT l.source, l.id, sum(g.sigma) AS sigma FROM lev l JOIN nb ON nb.dst = l.id JOIN g{d - 1} g ON g.source = l.source AND g.id = nb.src WHERE l.dist = {d} GROUP BY 1, 2)"
+    out += f", b{depth} AS MATERIALIZED (SELECT source, id, sigma, 0.0::DOUBLE AS delta FROM g{depth})"
+    for d in range(depth - 1, -1, -1):
+        out += f", s{d} AS MATERIALIZED (SELECT g.source, g.id, b.id AS dst, g.sigma / b.sigma * (1 + b.delta) AS share FROM g{d} g JOIN nb ON nb.src = g.id JOIN b{d + 1} b ON b.source = g.source AND b.id = nb.dst)"
+        out += f", b{d} AS MATERIALIZED (SELECT g.source, g.id, g.sigma, coalesce(x.delta, 0) AS delta FROM g{d} g LEFT JOIN (SELECT source, id, sum(share) AS delta FROM s{d} GROUP BY 1, 2) x ON x.source = g.source AND x.id = g.id)"
+    return out + " SELECT least(id, dst) AS u, greatest(id, dst) AS v, round(sum(share) / 2, 6) AS value FROM (" + " UNION ALL ".join(f"SELECT * FROM s{d}" for d in range(depth)) + ") GROUP BY 1, 2"
+
+
+on_both("edge_betweenness", lambda g: centrality.edge_betweenness(g).select("u", "v", r6("value")), _edge_shares(4), _edge_shares(14))
+on_both("label_propagation", communities.label_propagation)
+on_both("approximate_reach", lambda g: centrality.approximate_reach(g, 4))
+register("full_analysis")(lambda spark, sf: report.full_analysis(whole(spark, sf), "all"))
+register("frequent_full_analysis")(lambda spark, sf: report.full_analysis(tables.frequent_graph(spark, sf), "frequent"))
 
 
 @register("girvan_newman", None)
@@ -434,11 +490,11 @@ def _drained(spark, df, mode, name):
     place = f"{checkpoint_dir(spark)}/stream-{name}-{__import__('uuid').uuid4().hex}"
 
     def write(batch, number):
-        batch.write.mode("overwrite").parquet(f"{place}/out/n={number if mode == 'append' else 0}")
+        batch.write.mode("overwrite").parquet(f"{place}/out/{number if mode == 'append' else 0}")
 
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{place}/out")
+    return spark.read.schema(df.schema).parquet(f"{place}/out/*")
 
 
 _ST = "WITH s AS (SELECT event_id, user_id AS actor, CAST(json_extract_string(props, '$.k') AS BIGINT) AS target, event_type, ts FROM events)"
