@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
@@ -67,6 +68,16 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def slices(batch: pa.RecordBatch, name: str, limit: int = 2 << 20):
+    """The batch in pieces of about ``limit`` bytes of its binary column ``name``, which has no nulls."""
+    bounds = np.append(0, np.cumsum(pc.binary_length(column(batch, name)).to_numpy(zero_copy_only=False).astype(np.int64)))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + limit, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 # ---------------------------------------------------------------- components
 
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, text_column
+from .common import column, slices, text_column
 from .hashing import parts, release, text_bytes
 from .words import Memo, encode as encode_parts, runs
 
@@ -27,8 +27,6 @@ MARK = "▁"
 UNKNOWN = -1e12
 #: Parts in a Python worker's memo at most, about 35 bytes each.
 MEMO = 1_000_000
-#: Ids that are decoded at once.
-IDS = 1 << 19
 
 
 class Vocabulary:
@@ -187,14 +185,11 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = column(batch, "ids").fill_null(b"")
-            bounds = np.append(0, np.cumsum(pc.binary_length(cells).to_numpy(zero_copy_only=False)))
-            i = 0
-            while i < len(cells):
-                j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + 4 * IDS, "right")) - 1)
-                own = np.frombuffer(b"".join(cells.slice(i, j - i).to_pylist()), "<u4")
-                some = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*some.columns, decoder(model_path).decode(own, (bounds[i : j + 1] - bounds[i]) // 4)], names=["doc_id", "ids", "n_pieces", "text"])
-                i = j
+            for some in slices(batch.set_column(batch.schema.get_field_index("ids"), "ids", cells), "ids"):
+                own = column(some, "ids")
+                bounds = np.append(0, np.cumsum(pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.int64))) // 4
+                texts = decoder(model_path).decode(np.frombuffer(b"".join(own.to_pylist()), "<u4"), bounds)
+                yield pa.RecordBatch.from_arrays([*some.columns, texts], names=["doc_id", "ids", "n_pieces", "text"])
             release()
 
     return out.mapInArrow(run, "doc_id long, ids binary, n_pieces long, text string")
