@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.loop import join_spread
 from .common import column, fresh, staged, text_column
 from .hashing import EXACT, INVERSE, mix, owners, parts, powers, release, span_hashes, text_bytes, word_spans
 
@@ -62,21 +63,23 @@ def cut(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW):
 
 
 def sequences(digest: np.ndarray, first: np.ndarray, after: np.ndarray, own: np.ndarray, min_words: int):
-    """(first chunk, last chunk, digest) of the shortest sequences of at least ``min_words`` words that begin or end with each chunk, where its text has room for them."""
+    """(first chunk, last chunk, two digests) of the shortest sequences of at least ``min_words`` words that begin or end with each chunk, where its text has room for them."""
     n = np.arange(len(first))
     begin = np.append(n, np.searchsorted(first, after - min_words, "right") - 1)
     last = np.append(np.searchsorted(after, first + min_words), n)
     room = np.flatnonzero((begin >= 0) & (last < len(n)))
     room = room[own[begin[room]] == own[last[room]]]
     begin, last = np.divmod(np.unique(begin[room] * len(n) + last[room]), max(len(n), 1))
-    total = np.zeros(len(digest) + 1, np.uint64)
-    np.cumsum(mix(digest) * powers(len(digest)), out=total[1:])
-    joint = mix((total[last + 1] - total[begin]) * powers(len(digest) + 1, INVERSE)[begin] + (last + 1 - begin).astype(np.uint64))
-    return begin, last, joint
+    joint = []
+    for seed in (0, 0x5851F42D4C957F2D):
+        total = np.zeros(len(digest) + 1, np.uint64)
+        np.cumsum(mix(digest ^ np.uint64(seed)) * powers(len(digest)), out=total[1:])
+        joint.append(mix((total[last + 1] - total[begin]) * powers(len(digest) + 1, INVERSE)[begin] + (last + 1 - begin).astype(np.uint64)))
+    return begin, last, *joint
 
 
 def sequence_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """digest, doc_id, start, stop (byte offsets: first byte, start of the next chunk or end of the last word), word (number of the first one), words: the sequences of ``docs(doc_id, text)``."""
+    """digest and check (128 bits together), doc_id, start, stop (byte offsets: first byte, start of the next chunk or end of the last word), word (number of the first one), words: the sequences of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,15 +93,15 @@ def sequence_rows(docs: DataFrame, min_words: int) -> DataFrame:
                 begin = starts[first] - offsets[own]
                 same = np.append(own[1:] == own[:-1], False)
                 stop = np.where(same, np.append(begin[1:], 0), ends[after - 1] - offsets[own])
-                a, b, joint = sequences(digest, first, after, own, min_words)
+                a, b, joint, check = sequences(digest, first, after, own, min_words)
                 word = first - np.searchsorted(starts, offsets)[own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(joint.view(np.int64)), pa.array(ids[at : at + len(texts)][own[a]]), pa.array(begin[a]), pa.array(stop[b]), pa.array(word[a].astype(np.int32)), pa.array((after[b] - first[a]).astype(np.int32))],
-                    names=["digest", "doc_id", "start", "stop", "word", "words"],
+                    [pa.array(joint.view(np.int64)), pa.array(check.view(np.int64)), pa.array(ids[at : at + len(texts)][own[a]]), pa.array(begin[a]), pa.array(stop[b]), pa.array(word[a].astype(np.int32)), pa.array((after[b] - first[a]).astype(np.int32))],
+                    names=["digest", "check", "doc_id", "start", "stop", "word", "words"],
                 )
 
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "digest long, doc_id long, start long, stop long, word int, words int")
+    return docs.mapInArrow(run, "digest long, check long, doc_id long, start long, stop long, word int, words int")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -111,10 +114,12 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spans are those of all their texts together and equal places count as one.  An empty table gives no rows.
     """
     rows = sequence_rows(docs, min_words)
-    first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "start", "stop", "word", "words")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("digest", F.col("f.doc_id").alias("f_doc"), F.col("f.start").alias("f_start"), F.col("f.stop").alias("f_stop"), (F.col("f.word") + F.col("f.words")).alias("f_after"))
+    first = rows.groupBy("digest", "check").agg(F.min(F.struct("doc_id", "start", "stop", "word", "words")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("digest", F.col("check").alias("f_check"), "n", F.col("f.doc_id").alias("f_doc"), F.col("f.start").alias("f_start"), F.col("f.stop").alias("f_stop"), (F.col("f.word") + F.col("f.words")).alias("f_after"))
     first = staged(first, "repeated-sequences")
-    copies = rows.join(first, "digest").where("NOT (doc_id = f_doc AND start = f_start AND stop = f_stop)")
+    # a digest that many documents share is dealt over several tasks
+    counts = first.groupBy("digest").agg(F.sum("n").alias("n"))
+    copies = join_spread(rows, first.drop("n"), "digest", counts=counts, least=100_000).where("check = f_check AND NOT (doc_id = f_doc AND start = f_start AND stop = f_stop)")
     inside = (F.col("doc_id") == F.col("f_doc")) & (F.col("start") < F.col("f_stop"))
     copies = copies.select("doc_id", F.when(inside, F.col("f_stop")).otherwise(F.col("start")).alias("start"), "stop", F.when(inside, F.col("f_after")).otherwise(F.col("word")).alias("word"), (F.col("word") + F.col("words")).alias("after"), "f_doc").where("start < stop")
     in_order = Window.partitionBy("doc_id").orderBy("start", "stop")
