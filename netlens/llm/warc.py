@@ -2,7 +2,7 @@
 
 Archives hold one gzip member per record.  The capture index sorts the captures by reversed-host URL key (range
 partitions), cuts them into compressed blocks of BLOCK_LINES lines, and keeps a sparse directory
-with the first key, file, offset and length of every block.  A look-up searches the directory by bisection, reads
+with the first key, file, offset and length of every block.  A look-up narrows the directory by its files' statistics and bisection, reads
 the blocks of that key by range, and then each record by range.  Files carry random suffixes and count
 only once Spark has committed the table that names them.
 """
@@ -21,10 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.loop import join_spread
 from .common import column, filesystem, make_folder, new_place, staged, text_column
 
 BLOCK_LINES = 1000
-#: Repeated payloads up to which their first pages are broadcast (40 bytes each); above, pages are joined by shuffle.
+#: Repeated payloads up to which their first pages are broadcast (40 bytes each); above, pages are joined by shuffle, frequent payloads over several tasks.
 BROADCAST_PAYLOADS = 100_000
 #: WARC-Date of all records unless the caller gives one; the tables hold no capture time.
 DATE = "2000-01-01T00:00:00Z"
@@ -89,10 +90,13 @@ def write_archives(pages: DataFrame, place: str | None = None, min_revisit_bytes
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), url_key(F.col("url")).alias("key"), F.coalesce("html", F.lit("")).alias("html"))
     sha = F.unhex(F.sha1(F.encode("html", "UTF-8")))
     firsts = rows.select(sha.alias("sha"), "page_id").groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    repeated = staged(firsts.where("n > 1").select("sha", "first"), "repeated-payloads")
+    repeated = staged(firsts.where("n > 1"), "repeated-payloads")
+    first, rows = repeated.select("sha", "first"), rows.withColumn("sha", sha)
     if repeated.count() <= BROADCAST_PAYLOADS:
-        repeated = F.broadcast(repeated)
-    joined = rows.withColumn("sha", sha).join(repeated, "sha", "left").select("page_id", "url", "key", "html", "sha", "first")
+        joined = rows.join(F.broadcast(first), "sha", "left")
+    else:
+        joined = join_spread(rows, first, "sha", "left", counts=repeated.select("sha", "n"))
+    joined = joined.select("page_id", "url", "key", "html", "sha", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = filesystem(place)
@@ -173,8 +177,13 @@ def read_block(path: str, offset: int, length: int) -> list[list[str]]:
         return [x.split("\t") for x in zlib.decompress(source.read_at(length, offset), GZIP).decode().split("\n")]
 
 
-def look_up(directory: list, key: str) -> list[tuple[dict[str, str], dict[str, str], bytes]]:
-    """The records of a URL key.  ``directory`` holds the directory's rows sorted by first_key; only blocks that can hold the key are read."""
+def look_up(directory: DataFrame, key: str) -> list[tuple[dict[str, str], dict[str, str], bytes]]:
+    """The records of a URL key.
+
+    The directory's files are sorted by key, so the filter reaches their statistics and only the rows of blocks that can hold the key come to the
+    driver; blocks are searched by bisection, and only those and the records found are read, by range.
+    """
+    directory = directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key", "path", "offset").collect()
     low = bisect_left([r.last_key for r in directory], key)
     high = bisect_right([r.first_key for r in directory], key)
     found = []
