@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.loop import join_spread
 from .common import column, staged, text_column
 from .hashing import parts, text_bytes
 
@@ -25,7 +26,7 @@ UNDETERMINED = "und"
 EVIDENCE = 100.0
 #: Documents' worth of belief in the level above, for suffixes and hosts.
 SUFFIX_WEIGHT, HOST_WEIGHT = 20.0, 10.0
-#: Hosts up to which the priors are broadcast; above, they are joined by shuffle.
+#: Hosts up to which the priors are broadcast; above, they are joined by shuffle, frequent hosts over several tasks.
 BROADCAST_HOSTS = 100_000
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -71,6 +72,14 @@ def fit(docs: DataFrame, label: str, languages: list[str], sample: int = 20_000)
     return np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
 
+def languages_of(docs: DataFrame, label: str, share: float = 0.001, most: int = 64) -> list[str]:
+    """The labels of at least ``share`` of the labelled documents, the ``most`` most frequent of them at most, in order."""
+    known = docs.where(F.col(label).rlike("^[a-z]{2,3}$"))
+    counts = known.groupBy(F.col(label).alias("l")).agg(F.count("*").alias("n"))
+    least = share * (counts.agg(F.sum("n")).first()[0] or 0)
+    return sorted(r.l for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "l").limit(most).collect())
+
+
 def text_scores(texts: pa.Array, model: np.ndarray) -> np.ndarray:
     """Log likelihoods (texts x languages + 1), scaled down to EVIDENCE trigrams; the last is a uniform background.  NaN rows have no evidence."""
     code, own = trigrams(*text_bytes(texts))
@@ -106,7 +115,7 @@ def identify(table: DataFrame, model: np.ndarray, languages: list[str], carry: l
         F.coalesce(suffix, F.lit("")).alias("_suffix"),
         F.when(known.isin("", *languages), known).otherwise(F.lit("?")).alias("_declared"),
     )
-    start = np.log(np.append(np.full(len(languages), (1 - background) / len(languages)), background))
+    start = np.log(np.append(np.full(len(languages), (1 - background) / max(len(languages), 1)), background))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,24 +127,26 @@ def identify(table: DataFrame, model: np.ndarray, languages: list[str], carry: l
                 yield pa.RecordBatch.from_arrays([*keys, *[pa.array(p[:, i]) for i in range(width)]], names=["host", "suffix", "declared", *names])
 
     thin = table.select(words, "_host", "_suffix", "_declared").mapInArrow(first, "host string, suffix string, declared string, " + ", ".join(f"{x} double" for x in names))
-    sums = staged(thin.groupBy("host", "suffix", "declared").agg(*[F.sum(x).alias(x) for x in names]), "language-sums")
-    by_declared = {r.declared: np.array(r[1:]) for r in sums.groupBy("declared").agg(*[F.sum(x) for x in names]).collect()}  # at most languages + 2 rows
+    sums = staged(thin.groupBy("host", "suffix", "declared").agg(*[F.sum(x).alias(x) for x in names], F.count("*").alias("n")), "language-sums")
+    by_declared = {r.declared: np.array(r[1 : width + 1]) for r in sums.groupBy("declared").agg(*[F.sum(x) for x in names]).collect()}  # at most languages + 2 rows
     overall = sum(by_declared.values(), np.zeros(width)) + 1.0
     overall = overall / overall.sum()
     options = ["", "?", *languages]
     table_d = np.stack([by_declared.get(d, np.zeros(width)) for d in options]) + 0.5
     trust = np.log(table_d / table_d.sum(0))  # log P(declared | language)
 
-    hosts = sums.groupBy("host", "suffix").agg(*[F.sum(x).alias(x) for x in names])
+    hosts = sums.groupBy("host", "suffix").agg(*[F.sum(x).alias(x) for x in names], F.sum("n").alias("n"))
     suffixes = hosts.groupBy("suffix").agg(*[F.sum(x).alias(f"s{x}") for x in names])
     hosts = hosts.join(suffixes, "suffix")
     plus = lambda prefix: reduce(lambda a, b: a + b, [F.col(f"{prefix}{x}") for x in names])
     above = [(F.col(f"s{x}") + SUFFIX_WEIGHT * float(overall[i])) / (plus("s") + SUFFIX_WEIGHT) for i, x in enumerate(names)]
     prior = F.array(*[F.log((F.col(x) + HOST_WEIGHT * above[i]) / (plus("") + HOST_WEIGHT)) for i, x in enumerate(names)])
-    priors = staged(hosts.select(F.col("host").alias("_host"), F.col("suffix").alias("_suffix"), prior.alias("_prior")), "host-priors")
+    priors = staged(hosts.select(F.struct("host", "suffix").alias("_place"), prior.alias("_prior"), "n"), "host-priors")
+    placed = table.withColumn("_place", F.struct(F.col("_host").alias("host"), F.col("_suffix").alias("suffix"))).drop("_host", "_suffix")
     if priors.count() <= BROADCAST_HOSTS:
-        priors = F.broadcast(priors)
-    joined = table.join(priors, ["_host", "_suffix"]).drop("_host", "_suffix")
+        joined = placed.join(F.broadcast(priors.drop("n")), "_place").drop("_place")
+    else:
+        joined = join_spread(placed, priors.drop("n"), "_place", counts=priors.select("_place", "n")).drop("_place")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = {d: i for i, d in enumerate(options)}
@@ -158,13 +169,10 @@ def identify(table: DataFrame, model: np.ndarray, languages: list[str], carry: l
     return joined.mapInArrow(second, f"{kinds}, `{names_out[0]}` string, `{names_out[1]}` double")
 
 
-LANGUAGES = ["de", "en", "es", "fr"]
-
-
 def of_documents(docs: DataFrame, carry: list[str], names_out: tuple[str, str] = ("language", "confidence")) -> DataFrame:
-    """identify() for documents: source is the host, lang the declaration; there is no address."""
-    model = fit(docs, "lang", LANGUAGES)
-    return identify(docs, model, LANGUAGES, carry, "text", F.col("source"), F.lit(None).cast("string"), F.col("lang"), names_out)
+    """identify() for documents: source is the host, lang the declaration; there is no address.  Languages are those that lang names."""
+    languages = languages_of(docs, "lang")
+    return identify(docs, fit(docs, "lang", languages), languages, carry, "text", F.col("source"), F.lit(None).cast("string"), F.col("lang"), names_out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,10 +183,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for web pages: markup language, address suffix and host from the page itself; text models from documents."""
-    model = fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), "lang", LANGUAGES)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    languages = languages_of(docs, "lang")
+    model = fit(docs, "lang", languages)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     text = F.regexp_replace(F.regexp_replace("html", "(?is)<(script|style|nav)\\b.*?</\\1>|<!--.*?-->", " "), "<[^>]*>", " ")
     host = F.regexp_extract("url", "^[a-zA-Z]+://([^/:?#]+)", 1)
     suffix = F.regexp_extract(host, "([^.]+)$", 1)
     declared = F.regexp_extract("html", "(?i)<html[^>]*\\blang=[\"']?([A-Za-z-]+)", 1)
-    return identify(pages.withColumn("_plain", text), model, LANGUAGES, ["page_id"], "_plain", host, suffix, declared)
+    return identify(pages.withColumn("_plain", text), model, languages, ["page_id"], "_plain", host, suffix, declared)
