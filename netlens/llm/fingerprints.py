@@ -96,37 +96,49 @@ def _slices(texts: list[str], limit: int = 4 << 20):
         yield i, texts[i:]
 
 
+#: Code points of text in a range on average at most.
+RANGE_CHARS = 16 << 20
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """``docs(doc_id, text)`` dealt into ranges of descending doc_id, plus each range's successor.
 
     Returns part, last (true for the row borrowed from the next range), doc_id, text, sorted within
     partitions by part, last, descending doc_id (nulls last).  Only one row per range is sent twice; after the last range comes
-    the first.  Range bounds are quantiles of the ids alone; one bound and one id per range come to the driver.
+    the first.  There are as many ranges as shuffle partitions, more where texts need it (RANGE_CHARS); their bounds are quantiles of the ids, and one bound and one id per range come to the driver.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if parts is None:
+        chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS))
     ids = docs.select("doc_id")
     cuts = ids.agg(F.percentile_approx("doc_id", [(i + 1) / parts for i in range(parts - 1)], 10 * parts)).first()[0] if parts > 1 else None
     cuts = sorted(set(cuts or []), reverse=True)
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1))
-    # ranges count from the largest ids; a balanced choice over the bounds keeps the expression shallow
+    # ranges count from the largest ids; bounds are searched in two steps, by every width-th one and between those
+    width = max(1, round(len(cuts) ** 0.5))
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    above = lambda bounds: F.size(F.filter(bounds, lambda c: c >= F.col("doc_id")))
+    part = F.lit(0)
     if cuts:
-        bounds = F.array(*[F.lit(c) for c in cuts])
-        part = part.otherwise(F.size(F.filter(bounds, lambda c: c >= F.col("doc_id"))))
-    else:
-        part = part.otherwise(F.lit(0))
-    dealt = docs.withColumn("part", part.cast("long"))
-    heads = {r.part: r.h for r in ids.withColumn("part", part.cast("long")).groupBy("part").agg(F.max("doc_id").alias("h")).collect()}
+        longs = lambda values: F.array(*[F.lit(c).cast("long") for c in values])
+        passed = above(longs([g[-1] for g in groups]))
+        fine = F.element_at(F.array(*[longs(g) for g in groups], longs([]).cast("array<long>")), passed + 1)
+        part = passed * width + above(fine)
+        part = F.least(part, F.lit(len(cuts)))
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(part).cast("long")
+    dealt = docs.withColumn("part", part)
+    heads = {r.part: r.h for r in ids.withColumn("part", part).groupBy("part").agg(F.max("doc_id").alias("h")).collect()}
     order = sorted(heads)
     before = {p: order[i - 1] for i, p in enumerate(order)}  # the range that needs p's first row; the last needs the first's
     if not order:
         return dealt.select("part", F.lit(False).alias("last"), "doc_id", "text")
-    lend = F.create_map(*[x for p in order for x in (F.lit(p), F.lit(before[p]))])
-    head = F.create_map(*[x for p in order for x in (F.lit(p), F.lit(heads[p]).cast("long"))])
-    is_head = F.col("doc_id").eqNullSafe(head[F.col("part")])
+    every = range(len(cuts) + 2)
+    of_part = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), (F.col("part") + 1).cast("int"))
+    lend, head = of_part([before.get(p) for p in every]), of_part([heads.get(p) for p in every])
+    is_head = F.col("doc_id").eqNullSafe(head)
     own = F.array(F.struct(F.col("part").alias("p"), F.lit(False).alias("last")))
-    both = F.when(is_head, F.concat(own, F.array(F.struct(lend[F.col("part")].alias("p"), F.lit(True).alias("last"))))).otherwise(own)
+    both = F.when(is_head, F.concat(own, F.array(F.struct(lend.alias("p"), F.lit(True).alias("last"))))).otherwise(own)
     sent = dealt.select(F.explode(both).alias("x"), "doc_id", "text").select(F.col("x.p").alias("part"), F.col("x.last").alias("last"), "doc_id", "text")
     return sent.repartition(parts, "part").sortWithinPartitions("part", "last", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
 
