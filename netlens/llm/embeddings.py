@@ -4,12 +4,14 @@
 2. A table's hash joins ``HASHES`` cross-polytope hashes: after three rounds of random signs and a
    fast Hadamard transform, the coordinate of largest magnitude and its sign.  A class enters, in each table, its
    own bucket and the ``PROBES`` next likely ones (one hash moved to its runner-up).
-3. Every member of a bucket is compared with the bucket's first class; verified links give
-   preliminary components.
-4. In each bucket whose members are in several of them, every pair of members of different ones is compared, block
-   against block of bounded size; blocks of one component are not compared with each other.
+3. In rounds, every bucket's smallest class is compared with the others and leaves; a pair that shares several buckets is compared once.
+   Pairs are screened on vectors of one byte a component, with a strict bound of their error, and verified in double precision.
+4. Buckets that are then still in several components are worked off block against block of bounded size; blocks of one component
+   are not compared with each other.
 5. Within each component of the verified links all pairs of blocks are compared once more to count each vector's links.
    Copies count by the size of their class and are never expanded.
+
+A pair of blocks is a row of work of its own, so that one large group spreads over all tasks.
 """
 
 from __future__ import annotations
@@ -18,16 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.loop import join_spread
 from .common import column, components, staged
-from .hashing import mix
+from .hashing import mix, release
 
 #: Tables, hashes joined in a table, further buckets that a vector enters per table.
 TABLES, HASHES, PROBES = 10, 3, 4
-#: Members of a block at most on average.
-BLOCK = 512
+#: Rounds in which a bucket's smallest class is compared with the others; that settles all but larger buckets.
+ROUNDS = 3
+#: Members of a block on average at most.
+BLOCK = 1024
 #: Kind of the blocks that hold several components.
 POOL = -(2**63)
 
@@ -88,13 +94,13 @@ def _matrix(cell: pa.Array) -> np.ndarray:
 
 
 def unit_vectors(table: DataFrame) -> DataFrame:
-    """vec_id, key (MD5 of the vector's bytes) and v: the unit vector as doubles; v is null where none can be made."""
+    """vec_id, key (MD5 of the vector's bytes), v: the unit vector as doubles, and q: the same, coarse(); v is null where none can be made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
-            out, keys = [], []
+            out, keys, rough = [], [], []
             for x in column(batch, "embedding").to_pylist():
                 v = np.array([np.nan if y is None else y for y in x], np.float64) if x else np.zeros(0)
                 with np.errstate(all="ignore"):
@@ -103,10 +109,11 @@ def unit_vectors(table: DataFrame) -> DataFrame:
                     u = u / np.sqrt((u * u).sum())
                 good = len(v) > 0 and bool(np.isfinite(u).all())
                 out.append(u.tobytes() if good else None)
+                rough.append(coarse(u) if good else None)
                 keys.append(hashlib.md5((v + 0.0).tobytes()).digest() if good else None)
-            yield pa.RecordBatch.from_arrays([column(batch, "vec_id"), pa.array(keys, pa.binary()), pa.array(out, pa.binary())], names=["vec_id", "key", "v"])
+            yield pa.RecordBatch.from_arrays([column(batch, "vec_id"), pa.array(keys, pa.binary()), pa.array(rough, pa.binary()), pa.array(out, pa.binary())], names=["vec_id", "key", "q", "v"])
 
-    return table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, key binary, v binary")
+    return table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, key binary, q binary, v binary")
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
@@ -118,10 +125,11 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
             lengths = np.array([len(x) for x in cell.to_pylist()])
             for n in np.unique(lengths):
                 some = np.flatnonzero(lengths == n)
-                for at in range(0, len(some), 4096):
-                    own = some[at : at + 4096]
+                for at in range(0, len(some), 1024):
+                    own = some[at : at + 1024]
                     keys = mix(bucket_keys(_matrix(cell.take(pa.array(own)))).view(np.uint64) + np.uint64(n)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(rep[own], keys.shape[1]))], names=["bucket", "rep"])
+        release()
 
     return classes.select("rep", "v").mapInArrow(run, "bucket long, rep long")
 
@@ -163,64 +171,102 @@ def _hits(batch: pa.RecordBatch, second: str, cosine: float):
 
 
 def _block_pairs(blocks: DataFrame, skip_same_label: bool) -> DataFrame:
-    """All pairs (m1, m2) of blocks of a group, m2 null for a block with itself."""
-    kind = blocks.schema["members"].dataType
-    left = blocks.select("group", F.col("kind").alias("k1"), F.col("block").alias("b1"), F.col("members").alias("m1"))
-    right = blocks.select("group", F.col("kind").alias("k2"), F.col("block").alias("b2"), F.col("members").alias("m2"))
-    pairs = left.join(right, "group").where("k1 < k2 OR (k1 = k2 AND b1 < b2)")
-    alone = blocks.where(F.size("members") > 1)
+    """All pairs (m1, m2) of blocks(group, kind, block, members) of a group, m2 null for a block with itself; the pairs are dealt over tasks before members are fetched."""
+    names = blocks.select("group", "kind", "block", F.size("members").alias("n"))
+    left = names.select("group", F.col("kind").alias("k1"), F.col("block").alias("b1"), "n")
+    right = names.select("group", F.col("kind").alias("k2"), F.col("block").alias("b2"))
+    pairs = left.join(right, "group").where("k1 < k2 OR (k1 = k2 AND (b1 < b2 OR (b1 = b2 AND n > 1)))")
     if skip_same_label:
-        pairs, alone = pairs.where(f"k1 <> k2 OR k1 = {POOL}L"), alone.where(F.col("kind") == POOL)
-    return pairs.select("m1", "m2").union(alone.select(F.col("members").alias("m1"), F.lit(None).cast(kind).alias("m2")))
+        pairs = pairs.where(f"k1 <> k2 OR k1 = {POOL}L")
+    other = F.when((F.col("k1") == F.col("k2")) & (F.col("b1") == F.col("b2")), None).otherwise(F.col("b2"))
+    pairs = pairs.select("group", "k1", "b1", "k2", other.alias("b2")).repartition("group", "k1", "b1", "k2", "b2")
+    first = blocks.select("group", F.col("kind").alias("k1"), F.col("block").alias("b1"), F.col("members").alias("m1"))
+    second = blocks.select("group", F.col("kind").alias("k2"), F.col("block").alias("b2"), F.col("members").alias("m2"))
+    return pairs.join(first, ["group", "k1", "b1"]).join(second, ["group", "k2", "b2"], "left").select("m1", "m2")
+
+
+def coarse(v: np.ndarray) -> bytes:
+    """A unit vector as one byte a component, behind their scale and the length of the error, as 32-bit floats."""
+    scale = np.float32(np.abs(v).max() / 127 or 1)
+    q = np.round(v / scale).astype(np.int8)
+    error = np.float32(np.sqrt(((v - q * np.float64(scale)) ** 2).sum()) * 1.001 + 1e-9)
+    return scale.tobytes() + error.tobytes() + q.tobytes()
+
+
+def may_reach(a: pa.Array, b: pa.Array, cosine: float) -> np.ndarray:
+    """Whether pairs of coarse() vectors of one length can have the cosine: what their errors could add is allowed for."""
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1) for c in (a, b))
+    (s, e), (t, f) = (np.ascontiguousarray(z[:, :8]).view(np.float32).astype(float).T for z in (x, y))
+    dot = np.einsum("ij,ij->i", x[:, 8:].view(np.int8).astype(np.float32), y[:, 8:].view(np.int8).astype(np.float32))
+    return dot * s * t + e + f + e * f >= cosine - 1e-6
+
+
+def verified_pairs(pairs: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
+    """The pairs(src, dst) of vectors(rep, q, v) with the cosine; one src may be in any share of the pairs."""
+
+    def both(pairs: DataFrame, name: str) -> DataFrame:
+        side = lambda end, to: vectors.select(F.col("rep").alias(end), F.col(name).alias(to))
+        return join_spread(pairs.join(side("dst", "b"), "dst"), side("src", "a"), "src", counts=pairs.groupBy("src").agg(F.count("*").alias("n")))
+
+    def by_length(test):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b = column(batch, "a"), column(batch, "b")
+                la, lb = (np.array(pc.binary_length(x)) for x in (a, b))
+                ok = np.zeros(batch.num_rows, bool)
+                for n in np.unique(la):
+                    equal = np.flatnonzero((la == n) & (lb == n))
+                    for at in range(0, len(equal), 4096):
+                        some = pa.array(equal[at : at + 4096])
+                        ok[equal[at : at + 4096]] = test(a.take(some), b.take(some))
+                yield pa.RecordBatch.from_arrays([column(batch, "src"), column(batch, "dst")], names=["src", "dst"]).filter(pa.array(ok))
+            release()
+
+        return run
 
+    some = both(pairs, "q").mapInArrow(by_length(lambda a, b: may_reach(a, b, cosine)), "src long, dst long")
+    exact = by_length(lambda a, b: np.einsum("ij,ij->i", _matrix(a), _matrix(b)) >= cosine)
+    return staged(both(staged(some, "screened"), "v").mapInArrow(exact, "src long, dst long"), "links")
 
-def near_duplicates(table: DataFrame, cosine: float = 0.95) -> DataFrame:
+
+def near_duplicates(table: DataFrame, cosine: float = 0.95, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """Links of ``table(vec_id, embedding)``: vec_id, n_links, component_id, kept (vec_id = component_id).
 
     Two vectors link if the cosine in double precision is at least ``cosine``.
     n_links counts other vec_ids; component_id is the smallest vec_id reachable.  Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing; vectors of different length neither.  Rows with equal vec_id and equal
     vector count once; equal ids with other vectors are one node.  A null vec_id links with nothing, has
-    a null component and is kept.  Other columns are ignored.
+    a null component and is kept.  Other columns are ignored.  ``block`` and ``rounds`` change the work, not the result.
     """
-
     rows = staged(unit_vectors(table), "vectors")
-    own = rows.where("v IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "key", "v").dropDuplicates(["vec_id", "key"])
-    classes = staged(own.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v")), "classes")
-    keys = staged(bucket_rows(classes).distinct(), "buckets")
-    first = keys.groupBy("bucket").agg(F.min("rep").alias("src"), F.max("rep").alias("top")).where("src < top").drop("top")
-    shared = staged(keys.join(first, "bucket"), "shared")
-
-    vectors = classes.select("rep", "v")
-    stars = shared.where("rep <> src").select("src", "rep").distinct()
-    tried = stars.join(vectors, "rep").withColumnRenamed("v", "b").join(vectors.select(F.col("rep").alias("src"), F.col("v").alias("a")), "src")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = column(batch, "a"), column(batch, "b")
-            if batch.num_rows:
-                ok = np.zeros(batch.num_rows, bool)
-                lengths = np.array([len(x) for x in a.to_pylist()])
-                for n in np.unique(lengths):
-                    some = np.flatnonzero(lengths == n)
-                    ok[some] = np.einsum("ij,ij->i", _matrix(a.take(pa.array(some))), _matrix(b.take(pa.array(some)))) >= cosine
-                yield pa.RecordBatch.from_arrays([column(batch, "src"), column(batch, "rep")], names=["src", "dst"]).filter(pa.array(ok))
-
-    links = staged(tried.mapInArrow(verify, "src long, dst long"), "links")
-    labels = components(links)
-
-    marked = shared.select("bucket", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("label"))
-    marked = staged(marked, "marked")
-    many = marked.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("bucket")
-    per = marked.join(many, "bucket").groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    pool = per.where(F.col("n") < BLOCK).groupBy("bucket").agg(F.sum("n").alias("pool"))
+    own = rows.where("v IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "key", "q", "v").dropDuplicates(["vec_id", "key"])
+    classes = staged(own.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("q").alias("q"), F.first("v").alias("v")), "classes")
+    vectors = classes.select("rep", "q", "v")
+    open_ = staged(bucket_rows(classes).distinct(), "buckets").withColumn("label", F.col("rep"))
+    links = labels = None
+    for i in range(rounds + 1):
+        if labels is not None:
+            named = labels.select(F.col("id").alias("rep"), F.col("component").alias("label"))
+            open_ = open_.drop("label").join(named, "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
+        per = open_.groupBy("bucket").agg(F.min(F.struct("rep", "label")).alias("first"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
+        per = staged(per.select("bucket", F.col("first.rep").alias("src"), F.col("first.label").alias("src_label"), "n"), "open-buckets")
+        inside = staged(join_spread(open_, per.drop("n"), "bucket", counts=per.select("bucket", "n")), "open")
+        if i == rounds or not per.limit(1).count():
+            break
+        open_ = inside.where("rep <> src").select("bucket", "rep", "label")
+        pairs = inside.where("rep <> src AND label <> src_label").select("src", F.col("rep").alias("dst")).distinct()
+        more = verified_pairs(staged(pairs, "pairs"), vectors, cosine)
+        links = more if links is None else links.union(more)
+        labels = staged(components(links), "labels")
+
+    per = inside.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    pool = per.where(F.col("n") < block).groupBy("bucket").agg(F.sum("n").alias("pool"))
     per = per.join(pool, "bucket", "left")
-    own_block = F.col("n") >= BLOCK
     placed = (
-        marked.join(per, ["bucket", "label"])
-        .withColumn("kind", F.when(own_block, F.col("label")).otherwise(POOL))
-        .withColumn("block", F.expr(f"pmod(xxhash64(rep), CAST(ceil(CASE WHEN n >= {BLOCK} THEN n ELSE pool END / {BLOCK}) AS LONG))"))
-        .join(vectors, "rep")
+        inside.join(per, ["bucket", "label"])
+        .withColumn("kind", F.when(F.col("n") >= block, F.col("label")).otherwise(POOL))
+        .withColumn("block", F.expr(f"pmod(xxhash64(rep), CAST(ceil(CASE WHEN n >= {block} THEN n ELSE pool END / {block}) AS LONG))"))
+        .join(vectors.drop("q"), "rep")
     )
     blocks = placed.groupBy(F.col("bucket").alias("group"), "kind", "block").agg(F.collect_list(F.struct("rep", "label", "v")).alias("members"))
 
@@ -235,11 +281,12 @@ def near_duplicates(table: DataFrame, cosine: float = 0.95) -> DataFrame:
     named = own.select("vec_id", "key").join(classes.select("key", "rep"), "key").select("vec_id", "rep")
     spread = staged(named.groupBy("vec_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")), "spread")
     several = named.join(spread.where("low < high").select("vec_id"), "vec_id").select(F.col("vec_id").alias("src"), F.col("rep").alias("dst"))
-    labels = staged(components(links.union(more).union(several)), "labels")
+    edges = more.union(several)
+    labels = staged(components(edges if links is None else links.union(edges)), "labels")
 
     weighted = classes.select("rep", "weight", "v").join(labels.select(F.col("id").alias("rep"), F.col("component").alias("group")), "rep")
-    size = weighted.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    placed = weighted.join(size, "group").withColumn("block", F.expr("pmod(xxhash64(rep), blocks)")).withColumn("kind", F.lit(POOL))
+    size = labels.groupBy(F.col("component").alias("group")).agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"), F.count("*").alias("n"))
+    placed = join_spread(weighted, size.drop("n"), "group", counts=size.select("group", "n")).withColumn("block", F.expr("pmod(xxhash64(rep), blocks)")).withColumn("kind", F.lit(POOL))
     blocks = placed.groupBy("group", "kind", "block").agg(F.collect_list(F.struct("rep", "weight", "v")).alias("members"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
