@@ -47,23 +47,31 @@ def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], done:
     return state, max_iter
 
 
-def join_spread(rows: DataFrame, table: DataFrame, on: str, how: str = "inner", counts: DataFrame | None = None, least: int = 1000, most: int = 100_000) -> DataFrame:
+def hot_keys(counts: DataFrame, on: str, least: int = 1000, most: int = 100_000) -> list[tuple]:
+    """(key, number of salts) of the keys of ``counts(on, n)`` with more than ``least`` rows, four times as many as long as there are more than ``most`` such keys."""
+    conf, name = counts.sparkSession.conf, "spark.sql.limit.initialNumPartitions"
+    before, limit = conf.get(name), least
+    conf.set(name, 1 << 20)  # the bounded collect looks at all partitions in one job
+    try:
+        while len(hot := counts.where(F.col("n") > limit).select(on, "n").limit(most + 1).collect()) > most:
+            limit *= 4
+    finally:
+        conf.set(name, before)
+    return [(r[0], -(-r[1] // limit)) for r in hot]
+
+
+def join_spread(rows: DataFrame, table: DataFrame, on: str, how: str = "inner", counts: DataFrame | None = None, hot: list[tuple] | None = None, least: int = 1000, most: int = 100_000) -> DataFrame:
     """``rows`` joined (inner or left) to ``table``, which has few rows per key, where one key may hold any share of ``rows``.
 
-    Keys with more than ``least`` rows (four times as many as long as there are more than ``most`` such keys) come to the driver; their rows are dealt over as many salts
-    as they fill, and their rows of ``table`` are repeated for each.  ``counts(on, n)`` saves counting the keys; null keys
-    are spread too.  Columns: ``on``, the others of rows, the others of table.
+    The rows of hot_keys() are dealt over as many salts as they fill, and their rows of ``table`` are repeated for each.  ``counts(on, n)`` saves counting the keys,
+    ``hot`` finding the hot ones; null keys are spread too.  Columns: ``on``, the others of rows, the others of table.
     """
     spark = rows.sparkSession
     columns = [on, *[c for c in rows.columns if c != on], *[c for c in table.columns if c != on]]
-    if counts is None:
-        counts = rows.groupBy(on).agg(F.count("*").alias("n"))
-    limit = least
-    while len(hot := counts.where(F.col("n") > limit).select(on, "n").limit(most + 1).collect()) > most:
-        limit *= 4
+    if hot is None:
+        hot = hot_keys(rows.groupBy(on).agg(F.count("*").alias("n")) if counts is None else counts, on, least, most)
     if not hot:
         return rows.join(table, on, how).select(*columns)
-    hot = [(r[0], -(-r[1] // limit)) for r in hot]
     salts = F.broadcast(spark.createDataFrame(hot, StructType([StructField(on, rows.schema[on].dataType), StructField("_salts", LongType())])))
     place = F.xxhash64(*[c for c in rows.columns if c != on])
     left = rows.join(salts, on, "left").withColumn("_salt", F.pmod(place, F.when(F.col(on).isNull(), 1000).otherwise(F.coalesce("_salts", F.lit(1)))))
