@@ -1,19 +1,21 @@
 """Operator 5: near-duplicate texts by SetSketch registers.
 
-1. One pass makes, per document, the hash of its word sequence, the size of its shingle set, and
+1. One pass makes, per document, two keys and the size of its shingle set, and
    SetSketch registers: the m exponential minima over the shingles, truncated to powers of a base
    close to 1.  Minima are mergeable, and two sets agree in a register with a probability close to
    their Jaccard similarity.
-2. Documents with the same word sequence are one class.  Classes that agree in a whole band of registers
-   collide; colliding classes form groups (connected components over band buckets, on ids alone).
-3. Only documents of groups have their shingle sets made.  A group is dealt into blocks of bounded size by hash
-   and every pair of blocks is compared in one task: a joint likelihood-ratio test on the counts of
+2. Documents with equal sets are one class.  Classes that agree in a whole band of registers share a bucket.  A set so
+   small that one shingle more or less is too much enters none.
+3. Every member of a bucket is compared with the bucket's first class: a joint likelihood-ratio test on the counts of
    larger, smaller and equal registers and the exact set sizes discards pairs, the rest is
-   verified on the full sets.  Pairs already connected within the task need no further
-   proof, so a pair of blocks yields at most a spanning forest.
-4. Components over the verified links.
-
-Nothing is capped: each pair of classes that collides in a band is tested or already connected.
+   verified on the full sets.
+4. Members of buckets that are then still in several components are matched exactly: their shingles are ordered by how
+   rare they are, and sets of the wanted similarity share one of their first shingles.  Who shares one is compared with a few of them in turn (as in 3);
+   where several components are left, block with block of bounded size, in which a pair that is
+   already connected needs no proof, so that two blocks yield at most a spanning forest.
+5. Components over the verified links.
+
+Nothing is capped: each pair of classes that shares a bucket is tested or already connected.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, components, shared_dir, staged, text_column
-from .hashing import mix, owners, parts, sequence_keys, shingles, text_bytes, word_hashes
+from ..plans.loop import hot_keys, join_spread
+from .common import column, components, slices, staged, text_column
+from .hashing import mix, owners, parts, release, shingles, text_bytes, word_hashes
 
 #: Registers (prime, for the affine permutations), bands of rows; 24 bands of 5 miss a pair of
 #: similarity 0.85 with probability 8e-7, one of 0.8 with 6e-5.
@@ -35,6 +39,12 @@ REGISTERS, BANDS, ROWS = 127, 24, 5
 FILTER_BITS = 1 << 24
 #: Base and rate of the registers; 16-bit values then hold sets of up to e**62 elements.
 SKETCH_BASE, RATE, TOP = 1.001, 20.0, 65535
+#: Counters of the table that orders shingles by rarity; it is broadcast, and shingles that share a counter only share its order.
+COUNTERS = 1 << 20
+#: Rounds in which those who share a rare shingle are compared with up to CENTRES of them; that settles all but larger gatherings.
+ROUNDS, CENTRES = 2, 16
+#: Members and bytes of sets in a block on average, and members compared at once.
+BLOCK, BLOCK_BYTES, TILE = 2048, 1 << 20, 512
 
 
 def registers(hashes: np.ndarray, bounds: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -95,33 +105,35 @@ def plausible(more: np.ndarray, less: np.ndarray, same: np.ndarray, na: np.ndarr
     return (top * np.append(np.linspace(0.0, 1.0, 65)[:-1], 1.0)[best] >= similarity) | (np.max(grid, 0) - at <= slack)
 
 
+def distinct_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle hashes, ascending and once per text; bounds; two keys per text: equal sets, equal keys)."""
+    words, bounds = word_hashes(*text_bytes(texts))
+    hashes, to = shingles(words, bounds, k)
+    own = owners(to)
+    order = np.lexsort((hashes, own))
+    own, hashes = own[order], hashes[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (hashes[1:] != hashes[:-1])
+    hashes = hashes[new]
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(own[new], minlength=len(texts)))]).astype(np.int64)
+    keys = []
+    for seed in (0x1234567, 0x89ABCDEF01):
+        total = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(mix(hashes ^ np.uint64(seed)), out=total[1:])
+        keys.append(mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64))
+    return hashes, bounds, keys[0], keys[1]
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, key1, key2 (of the word sequence), n_shingles, regs (binary, null without words)."""
+    """doc_id, key1, key2 (of the set), n_shingles, regs (binary, null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in parts(text_column(batch, "text")):
-                words, bounds = word_hashes(*text_bytes(texts))
-                hashes, to = shingles(words, bounds, k)
-                key1, key2 = sequence_keys(words, bounds)
-                order = np.lexsort((hashes, owners(to)))
-                own, sorted_ = owners(to)[order], hashes[order]
-                new = np.ones(len(own), bool)
-                new[1:] = (own[1:] != own[:-1]) | (sorted_[1:] != sorted_[:-1])
-                sizes = np.bincount(own[new], minlength=len(texts)).astype(np.int64)
-                distinct = np.concatenate([[0], np.cumsum(sizes)])
-                regs = registers(sorted_[new], distinct)
-                none = sizes == 0
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        column(batch, "doc_id").slice(at, len(texts)),
-                        pa.array(key1),
-                        pa.array(key2),
-                        pa.array(sizes),
-                        pa.array([None if x else r.tobytes() for x, r in zip(none, regs)], pa.binary()),
-                    ],
-                    names=["doc_id", "key1", "key2", "n_shingles", "regs"],
-                )
+                hashes, bounds, key1, key2 = distinct_sets(texts, k)
+                regs, sizes = registers(hashes, bounds), np.diff(bounds)
+                cells = pa.array([r.tobytes() if n else None for n, r in zip(sizes, regs)], pa.binary())
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(at, len(texts)), pa.array(key1), pa.array(key2), pa.array(sizes), cells], names=["doc_id", "key1", "key2", "n_shingles", "regs"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(run, "doc_id long, key1 long, key2 long, n_shingles long, regs binary")
@@ -167,38 +179,70 @@ def shingle_sets(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
             at_bit = id_positions(column(batch, "doc_id").to_numpy(zero_copy_only=False))
             batch = batch.filter(pa.array((wanted[at_bit >> 3] >> (at_bit & 7).astype(np.uint8)) & 1 == 1))
             for at, texts in parts(text_column(batch, "text"), 1 << 20):
-                words, bounds = word_hashes(*text_bytes(texts))
-                hashes, to = shingles(words, bounds, k)
-                key1, key2 = sequence_keys(words, bounds)
-                sets = [np.unique(hashes[to[i] : to[i + 1]]).tobytes() for i in range(len(texts))]
+                hashes, bounds, key1, key2 = distinct_sets(texts, k)
+                sets = [hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(at, len(texts)), pa.array(key1), pa.array(key2), pa.array(sets, pa.binary())], names=["doc_id", "key1", "key2", "set"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key1 long, key2 long, set binary")
 
 
-def _links(a: tuple, b: tuple, similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the members of two blocks (or of one with itself)."""
-    same_block = a is b
-    (ida, ra, sa), (idb, rb, sb) = a, b
-    na, nb = np.array([len(x) // 8 for x in sa], float), np.array([len(x) // 8 for x in sb], float)
-    more, equal = np.zeros((len(na), len(nb)), np.int16), np.zeros((len(na), len(nb)), np.int16)
-    for j in range(ra.shape[1]):
-        x, y = ra[:, j, None], rb[None, :, j]
-        more += x > y
-        equal += x == y
+def _registers(cell: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(cell.to_pylist()), np.uint16).reshape(len(cell), -1)
+
+
+def similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """Whether two ascending sets have 100 * intersection >= percent * union."""
+    spot = np.searchsorted(u, v)
+    shared = int((u[np.minimum(spot, len(u) - 1)] == v).sum())
+    return 100 * shared >= percent * (len(u) + len(v) - shared)
+
+
+def likely(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether pairs of register rows may have the similarity, by set sizes and the joint likelihood."""
     m = ra.shape[1]
-    ok = np.minimum(na[:, None], nb) >= similarity * np.maximum(na[:, None], nb) * (1 - 1e-12)
+    equal = (ra == rb).sum(1)
+    ok = np.minimum(na, nb) >= similarity * np.maximum(na, nb) * (1 - 1e-12)
     # equal registers are at least Binomial(m, similarity): below 7 sigma is out without the likelihood
     ok &= equal >= m * similarity - 7 * np.sqrt(m * similarity * (1 - similarity))
-    if same_block:
-        ok &= np.triu(np.ones_like(ok), 1)
-    i, j = np.nonzero(ok)
-    if len(i):
-        e, g = equal[i, j], more[i, j]
-        keep = plausible(g, m - e - g, e, na[i], nb[j], similarity)
-        i, j, e = i[keep], j[keep], e[keep]
-        order = np.argsort(-e, kind="stable")
-        i, j = i[order], j[order]
+    at = np.flatnonzero(ok)
+    if len(at):
+        more = (ra[at] > rb[at]).sum(1)
+        ok[at] = plausible(more, m - equal[at] - more, equal[at], na[at].astype(float), nb[at].astype(float), similarity)
+    return ok
+
+
+def verified_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs(src, dst) whose sets(rep, n, regs, set) have the similarity; one src may be in any share of the pairs."""
+    percent = round(100 * similarity)
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                na, nb = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+                ok = likely(_registers(column(batch, "ra")), _registers(column(batch, "rb")), na, nb, similarity)
+                yield pa.RecordBatch.from_arrays([column(batch, "src"), column(batch, "dst")], names=["src", "dst"]).filter(pa.array(ok))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = column(batch, "sa"), column(batch, "sb")
+            ok = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([column(batch, "src"), column(batch, "dst")], names=["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+
+    hot = hot_keys(pairs.groupBy("src").agg(F.count("*").alias("n")), "src")
+
+    def both(pairs: DataFrame, **names: str) -> DataFrame:
+        """pairs with columns of sets for both ends."""
+        side = lambda end, mark: sets.select(F.col("rep").alias(end), *[F.col(c).alias(short + mark) for c, short in names.items()])
+        near = pairs.join(side("dst", "b"), "dst")
+        return join_spread(near, side("src", "a"), "src", hot=hot)
+
+    some = staged(both(pairs, n="n", regs="r").mapInArrow(screen, "src long, dst long"), "screened")
+    return staged(both(some, set="s").mapInArrow(verify, "src long, dst long"), "links")
+
+
+def _forest(a: tuple, b: tuple, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between members of different labels of two blocks (rep, label, n, regs, set), compared tile by tile."""
+    percent = round(100 * similarity)
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -206,51 +250,135 @@ def _links(a: tuple, b: tuple, similarity: float) -> list[tuple[int, int]]:
             parent[x] = x = parent.get(p, p)
         return x
 
-    out, sets = [], {}
-    for x, y in zip(i.tolist(), j.tolist()):
-        p, q = int(ida[x]), int(idb[y])
-        if (rp := root(p)) == (rq := root(q)):
-            continue
-        for side, z, s in ((0, x, sa), (1, y, sb)):
-            if (side, z) not in sets:
-                sets[side, z] = np.frombuffer(s[z], np.uint64)
-        u, v = sets[0, x], sets[1, y]
-        spot = np.searchsorted(u, v)
-        shared = int((u[np.minimum(spot, len(u) - 1)] == v).sum())
-        if 100 * shared >= round(100 * similarity) * (len(u) + len(v) - shared):
-            parent[rp] = rq
-            out.append((p, q))
+    out = []
+    m = a[3].shape[1]
+    least = m * similarity - 7 * np.sqrt(m * similarity * (1 - similarity))
+    for i in range(0, len(a[0]), TILE):
+        for j in range(0, len(b[0]), TILE):
+            one, two = slice(i, i + TILE), slice(j, j + TILE)
+            na, nb = a[2][one, None], b[2][None, two]
+            ok = (a[1][one, None] != b[1][None, two]) & (np.minimum(na, nb) >= similarity * np.maximum(na, nb) * (1 - 1e-12))
+            if not ok.any():
+                continue
+            equal = np.zeros(ok.shape, np.int16)
+            for r in range(m):
+                equal += a[3][one, r, None] == b[3][None, two, r]
+            x, y = np.nonzero(ok & (equal >= least))
+            x, y = x[order := np.argsort(-equal[x, y], kind="stable")] + i, y[order] + j
+            ok = likely(a[3][x], b[3][y], a[2][x], b[2][y], similarity)
+            for p, q in zip(x[ok].tolist(), y[ok].tolist()):
+                rp, rq = root(int(a[1][p])), root(int(b[1][q]))  # labels are already connected
+                if rp != rq and similar(np.frombuffer(a[4][p].as_py(), np.uint64), np.frombuffer(b[4][q].as_py(), np.uint64), percent):
+                    parent[rp] = rq
+                    out.append((int(a[0][p]), int(b[0][q])))
     return out
 
 
-def verified_links(blocks: DataFrame, similarity: float) -> DataFrame:
-    """``blocks(group, blocks, block, members array<struct<rep, regs, set>>)`` → links (src, dst), spanning each pair of blocks."""
-    several = blocks.where("blocks > 1")
-    left = several.select("group", F.col("block").alias("b1"), F.col("members").alias("m1"))
-    right = several.select("group", F.col("block").alias("b2"), F.col("members").alias("m2"))
-    pairs = left.join(right, "group").where("b1 < b2").select("m1", "m2")
-    alone = blocks.where(F.size("members") > 1).select(F.col("members").alias("m1"), F.lit(None).cast(blocks.schema["members"].dataType).alias("m2"))
+def linked_blocks(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (src, dst) that connect the labels of ``members(token, rep, n, first, label)`` inside each token, at least one end of them ``first``.
+
+    A token's members are dealt by hash into blocks of bounded size and number, and a pair of blocks is one row of work, so that one
+    token's pairs spread over all tasks.
+    """
+    members = staged(members, "members")
+    blocks = lambda who: F.greatest(F.ceil(F.count(who) / BLOCK), F.ceil(F.sum(F.when(who, F.col("n"))) * 8 / BLOCK_BYTES), F.lit(0)).cast("int")
+    is_first, other = F.when(F.col("first"), True), F.when(~F.col("first"), True)
+    size = staged(members.groupBy("token").agg(blocks(is_first).alias("n1"), blocks(other).alias("n2"), F.count("*").alias("n")), "block-counts")
+    placed = join_spread(members.drop("n"), size.select("token", "n1", "n2"), "token", counts=size.select("token", "n"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("first"), F.col("n1")).otherwise(F.col("n2"))).cast("int")).join(sets, "rep")
+    filled = staged(placed.groupBy("token", "first", "block").agg(F.collect_list(F.struct("rep", "label", "n", "regs", "set")).alias("members")), "blocks")
+    firsts = size.select("token", "n1", "n2", F.explode(F.sequence(F.lit(0), F.col("n1") - 1)).alias("b1"))
+    more = lambda low, n, f2: firsts.where(n > low).select("token", "b1", F.lit(f2).alias("f2"), F.explode(F.sequence(low, n - 1)).alias("b2"))
+    pairs = more(F.col("b1"), F.col("n1"), True).union(more(F.lit(0), F.col("n2"), False)).repartition("token", "b1", "f2", "b2")
+    left = filled.where("first").select("token", F.col("block").alias("b1"), F.col("members").alias("m1"))
+    right = filled.select("token", F.col("first").alias("f2"), F.col("block").alias("b2"), F.col("members").alias("m2"))
+    work = pairs.join(left, ["token", "b1"]).join(right, ["token", "f2", "b2"]).select("m1", "m2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(cell: pa.Array, r: int):
             x = cell[r].values
-            if x is None:
-                return None
-            regs = np.stack([np.frombuffer(y, np.uint16) for y in x.field("regs").to_pylist()])
-            return x.field("rep").to_numpy(zero_copy_only=False), regs, x.field("set").to_pylist()
+            numbers = [x.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "n")]
+            return *numbers, _registers(x.field("regs")), x.field("set")
 
         for batch in batches:
             found: list[tuple[int, int]] = []
             for r in range(batch.num_rows):
-                a, b = block(column(batch, "m1"), r), block(column(batch, "m2"), r)
-                found += _links(a, b or a, similarity)
+                found += _forest(block(column(batch, "m1"), r), block(column(batch, "m2"), r), similarity)
             src, dst = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+            release()
+
+    return staged(work.mapInArrow(run, "src long, dst long"), "links")
+
+
+def rare_tokens(sets: DataFrame, similarity: float) -> DataFrame:
+    """(token, rep, n, first): the rarest shingles of each of ``sets(rep, n, set)``.
+
+    Let α of the larger set's size and of 2s / (1 + s) of the smaller one's be what two sets of similarity s share at least.  Their rarest common shingle is then among
+    the first size - α + 1 of each, in any one order of all shingles.  ``first`` marks the shorter stretch, for the smaller set.
+    """
+    percent = round(100 * similarity)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for some in slices(batch, "set"):
+                own = np.frombuffer(b"".join(column(some, "set").to_pylist()), np.uint64)
+                np.add.at(total, (own % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["c", "n"])
 
-    return pairs.union(alone).mapInArrow(run, "src long, dst long")
+    often = np.zeros(COUNTERS, np.float32)
+    rows = sets.select("set").mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    often[rows["c"].to_numpy()] = rows["n"].to_numpy()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "set"):
+                own = np.frombuffer(b"".join(column(some, "set").to_pylist()), np.uint64)
+                n = pc.binary_length(column(some, "set")).to_numpy().astype(np.int64) // 8
+                row = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((own, often[(own % np.uint64(COUNTERS)).astype(np.int64)], row))
+                place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                rare = np.flatnonzero(place < (n - -(-percent * n // 100) + 1)[row])
+                of = row[rare]
+                first = place[rare] < (n - -(-2 * percent * n // (100 + percent)) + 1)[of]
+                yield pa.RecordBatch.from_arrays([pa.array(own[order[rare]].view(np.int64)), column(some, "rep").take(pa.array(of)), pa.array(n[of]), pa.array(first)], names=["token", "rep", "n", "first"])
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, block_bytes: int = 1 << 20) -> DataFrame:
+    return sets.select("rep", "set").mapInArrow(run, "token long, rep long, n long, first boolean")
+
+
+def exact_links(sets: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Links (src, dst) that, with those behind ``labels(id, component)``, connect all of ``sets(rep, n, regs, set)`` that have the similarity.
+
+    In each round a few of those who share a token are compared with the others and leave; a pair that shares several tokens is compared once.
+    """
+    tokens = staged(rare_tokens(sets, similarity), "tokens")
+    found = labels.select(F.col("id").alias("src"), F.col("component").alias("dst")).limit(0)
+    for i in range(ROUNDS + 1):
+        named = labels.select(F.col("id").alias("rep"), F.col("component").alias("label"))
+        marked = tokens.join(named, "rep", "left").select("token", "rep", "n", "first", F.coalesce("label", "rep").alias("label"))
+        lane = lambda j: F.when(F.col("first") & (F.pmod(F.xxhash64("rep"), F.lit(CENTRES)) == j), F.xxhash64("rep", F.lit(1)))
+        centres = F.array_compact(F.array(*[F.min_by(F.struct("rep", "label"), lane(j)) for j in range(CENTRES)]))
+        shared = marked.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), centres.alias("centres"), F.count("*").alias("members"))
+        shared = staged(shared.where("low < high AND size(centres) > 0"), "shared-tokens")
+        if not shared.limit(1).count():
+            break
+        open_ = join_spread(marked, shared.select("token", "centres"), "token", counts=shared.select("token", F.col("members").alias("n")))
+        if i == ROUNDS:
+            found = found.union(linked_blocks(open_.select("token", "rep", "n", "first", "label"), sets, similarity))
+            break
+        open_ = staged(open_, "open-tokens")
+        pairs = open_.select("rep", "label", F.explode("centres").alias("c")).where("label <> c.label").select(F.col("c.rep").alias("src"), F.col("rep").alias("dst"))
+        links = verified_pairs(staged(pairs.distinct(), "pairs"), sets, similarity)
+        tokens = open_.where(~F.exists("centres", lambda c: c["rep"] == F.col("rep"))).select("token", "rep", "n", "first")
+        found = found.union(links)
+        if links.limit(1).count():
+            labels = staged(components(labels.select(F.col("id").alias("src"), F.col("component").alias("dst")).union(links)), "labels")
+    return found
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """Classes of near-duplicate texts of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
     Words are runs of bytes other than white space (space, 0x09-0x0D), A-Z lower-cased, over whole
@@ -260,24 +388,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, block_
     doc_id are one node of the graph, whatever their texts.  A null doc_id gets a null
     component, links with nothing and is kept.  An empty table gives no rows.  Other columns are ignored.
     """
-    shared_dir(docs.sparkSession)
+    percent = round(100 * similarity)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = staged(sketches(docs, k), "sketches")
     own = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = staged(own.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "classes")
-    keys = band_rows(classes)
-    buckets = keys.groupBy("band").agg(F.min("rep").alias("src"), F.max("rep").alias("top")).where("src < top")
-    bonds = keys.join(buckets, "band").where("rep <> src").select("src", F.col("rep").alias("dst"))
-    groups = components(bonds).select(F.col("id").alias("rep"), F.col("component").alias("group"))
-
-    members = classes.join(groups, "rep")
-    load = members.groupBy("group").agg(F.ceil(F.sum("n") * 8 / block_bytes).cast("long").alias("blocks"))
-    placed = staged(members.join(load, "group").withColumn("block", F.expr("pmod(xxhash64(rep), blocks)")), "placed")
+    # another set has n / (n + 1) of a set of n at most
+    keys = band_rows(classes.where(f"100 * n >= {percent} * (n + 1)"))
+    buckets = keys.groupBy("band").agg(F.min("rep").alias("src"), F.max("rep").alias("top"), F.count("*").alias("n")).where("src < top")
+    bonds = staged(join_spread(keys, buckets.select("band", "src"), "band", counts=buckets.select("band", "n")).where("rep <> src"), "bonds")
+
+    members = classes.join(bonds.select("rep").union(bonds.select("src")).distinct(), "rep")
     # texts are not shuffled: a bitmap of fixed size picks the documents whose sets are made, the join drops chance hits
-    sets = shingle_sets(docs.where("doc_id IS NOT NULL"), k, id_filter(placed)).groupBy(F.col("doc_id").alias("rep"), "key1", "key2").agg(F.first("set").alias("set"))
-    whole = placed.join(sets, ["rep", "key1", "key2"])
-    blocks = staged(whole.groupBy("group", "blocks", "block").agg(F.collect_list(F.struct("rep", "regs", "set")).alias("members")), "blocks")
-    links = verified_links(blocks, similarity)
+    made = shingle_sets(docs.where("doc_id IS NOT NULL"), k, id_filter(members)).groupBy(F.col("doc_id").alias("rep"), "key1", "key2").agg(F.first("set").alias("set"))
+    sets = staged(members.join(made, ["rep", "key1", "key2"]).select("rep", "n", "regs", "set"), "sets")
+    links = verified_pairs(staged(bonds.select("src", F.col("rep").alias("dst")).distinct(), "pairs"), sets, similarity)
+    labels = staged(components(links), "labels")
+
+    named = labels.select(F.col("id").alias("rep"), F.col("component").alias("label"))
+    per = bonds.join(named, "rep", "left").groupBy("band").agg(F.first("src").alias("src"), F.min(F.coalesce("label", "rep")).alias("low"), F.max(F.coalesce("label", "rep")).alias("high"), F.count("*").alias("n"))
+    per = staged(per.join(named.select(F.col("rep").alias("src"), F.col("label").alias("own")), "src", "left").where("low < high OR low <> coalesce(own, src)"), "open-bands")
+    inside = join_spread(bonds, per.select("band"), "band", counts=per.select("band", "n"))
+    ids = staged(inside.select("rep").union(inside.select("src")).distinct(), "open")
+    if ids.limit(1).count():
+        links = links.union(exact_links(sets.join(ids, "rep"), labels, similarity))
 
     named = staged(own.select("doc_id", "key1", "key2").join(classes.select("key1", "key2", "rep"), ["key1", "key2"]).select("doc_id", "rep"), "named")
     spread = named.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
