@@ -132,7 +132,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with the spans cut out of ``text`` (and n_chars, if there, set anew); columns and rows stay as they are.
+    """``docs`` with the spans cut out of ``text`` (and n_chars, if there, set anew where there is a text); columns and rows stay as they are.
 
     Spans go by doc_id; rows that share a doc_id get each other's cuts, so ids should be unique here.
     """
@@ -145,6 +145,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = column(batch, "text").to_pylist()
+            chars = column(batch, "n_chars").to_pylist() if "n_chars" in columns else None
             for i, cuts in enumerate(column(batch, extra).to_pylist()):
                 if not cuts:
                     continue
@@ -156,7 +157,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 texts[i] = b"".join(out).decode("utf-8", "ignore")
             made = {"text": pa.array(texts, pa.string())}
             if "n_chars" in columns:
-                made["n_chars"] = pa.array([None if x is None else len(x) for x in texts], pa.int64())
+                made["n_chars"] = pa.array([n if x is None else len(x) for x, n in zip(texts, chars)], pa.int64())
             yield pa.RecordBatch.from_arrays([made.get(c, column(batch, c)) for c in columns], names=columns)
             del texts, made
             release()

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.loop import join_spread
+from ..plans.loop import hot_keys, join_spread
 from .common import column, components, staged
 from .hashing import mix, release
 
@@ -204,9 +204,11 @@ def may_reach(a: pa.Array, b: pa.Array, cosine: float) -> np.ndarray:
 def verified_pairs(pairs: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
     """The pairs(src, dst) of vectors(rep, q, v) with the cosine; one src may be in any share of the pairs."""
 
+    hot = hot_keys(pairs.groupBy("src").agg(F.count("*").alias("n")), "src")
+
     def both(pairs: DataFrame, name: str) -> DataFrame:
         side = lambda end, to: vectors.select(F.col("rep").alias(end), F.col(name).alias(to))
-        return join_spread(pairs.join(side("dst", "b"), "dst"), side("src", "a"), "src", counts=pairs.groupBy("src").agg(F.count("*").alias("n")))
+        return join_spread(pairs.join(side("dst", "b"), "dst"), side("src", "a"), "src", hot=hot)
 
     def by_length(test):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
