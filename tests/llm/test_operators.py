@@ -66,8 +66,22 @@ def test_encoder_is_the_library():
     e, t, rng = Encoder(BPE), library(), random.Random(1)
     samples = ["it's a test  x", "q,'s r,'t", "x\n\ny", "a.\nB c,", " a\n b", "tab\tx y.", "", "<|endoftext|> a", "é́ x²y", "　 z"]
     samples += ["".join(rng.choice("ab'st.,!\n \t12é二²_ 　") for _ in range(rng.randrange(30))) for _ in range(4000)]
-    for x in samples * 2:
-        assert e.encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    for limit in (2_000_000, 300):  # the small memo forgets
+        e.memo.limit = limit
+        for texts in (samples, samples[::-1], samples[:1], []):
+            found = [(at + i, ids[bounds[i] : bounds[i + 1]].tolist()) for at, ids, bounds in e.encode(pa.array(texts, pa.string())) for i in range(len(bounds) - 1)]
+            assert found == [(i, t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)]
+
+
+def test_memo_forgets_what_is_not_used():
+    from netlens.llm.words import Memo
+
+    memo = Memo(lambda x: (np.array([int(y) for y in x]), np.ones(len(x), np.int64)), 50_000)
+    for i in range(30):
+        some = ["7", "11", *map(str, range(1000 + 5000 * i, 6000 + 5000 * i))]
+        ids, start, length = memo.look_up(pa.array([x.encode() for x in some], pa.large_binary()))
+        assert ids[start].tolist() == [int(x) for x in some] and (length == 1).all()
+        assert len(memo.base.key) <= 50_000 + (1 << 15)
 
 
 def test_token_files(spark):
@@ -91,7 +105,11 @@ def test_pieces(spark):
     enc = pieces.encode(df, SP)
     back = pieces.decode(enc, SP).collect()
     assert collections.Counter((r.doc_id, r.text) for r in back) == collections.Counter((i, x or "") for i, x in rows)
-    p = pieces.Pieces(SP)
+    p = pieces.Encoder(SP)
+    names = pieces.Vocabulary(SP).pieces
+
+    def ids_of(text):
+        return next(ids.tolist() for _, ids, _ in p.encode(pa.array([text])))
 
     def brute(text):
         """Best score by trying every piece at every end."""
@@ -106,12 +124,18 @@ def test_pieces(spark):
     score = {k: v[1] for k, v in p.machine.items()}
     byte_ids = set(p.bytes.values())
     for text in ["stone river", "naïve été", "a  b", "moves under, old.", "日本 ① x"]:
-        ids = np.frombuffer(p.encode(text), "<u4").tolist()
+        ids = ids_of(text)
         marked = pieces.MARK + text.replace(" ", pieces.MARK)
         unknown = sum(1 for c in marked if c not in score and len(c.encode()) > 1)
-        total = sum(score[p.pieces[i]] for i in ids if i not in byte_ids) + pieces.UNKNOWN * unknown
+        total = sum(score[names[i]] for i in ids if i not in byte_ids) + pieces.UNKNOWN * unknown
         assert total == pytest.approx(brute(marked))
-        assert p.encode(text) == np.array(p.best(marked), "<u4").tobytes()
+        assert ids == p.best(marked)
+    rng = random.Random(6)
+    for _ in range(2000):
+        text = "".join(rng.choice("ab'sthe.,!\n \t12é二_▁") for _ in range(rng.randrange(1, 30))).replace(pieces.MARK, " ")
+        assert ids_of(text) == p.best(pieces.MARK + text.replace(" ", pieces.MARK))
+    bad = pieces.decoder(SP).decode(np.array([p.bytes[0xC3], 300]), np.array([0, 1, 1, 2]))
+    assert bad.to_pylist()[:2] == ["\ufffd", ""]
     assert pieces.encode(spark.createDataFrame([], EMPTY), SP).count() == 0
 
 
@@ -174,10 +198,11 @@ def classes(nodes, links):
     return {n: root(n) for n in nodes}
 
 
-@pytest.mark.parametrize("block", [1 << 20, 1 << 11])
-def test_minhash(spark, block):
+@pytest.mark.parametrize("block", [2048, 3])
+def test_minhash(spark, block, monkeypatch):
     df, rows = table(spark)
-    got = minhash.near_duplicates(df, 3, 0.85, block).collect()
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    got = minhash.near_duplicates(df, 3, 0.85).collect()
     assert len(got) == len(rows)
     sets = {i: shingle_set(x, 3) for i, x in rows if i is not None}
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
@@ -191,6 +216,39 @@ def test_minhash(spark, block):
     assert minhash.near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def near_copies(seed):
+    rng, rows = random.Random(seed), []
+    for _ in range(4):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([6, 12, 40, 100]))]
+        for _ in range(30):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 12))):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(400)}"
+            rows.append((len(rows) + 1, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("rounds,centres", [(3, 16), (1, 2), (0, 16)])
+def test_minhash_near_the_threshold(spark, monkeypatch, rounds, centres):
+    """Similarities on both sides of the threshold; with few rounds, most pairs are settled between blocks."""
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "CENTRES", centres)
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    rows = near_copies(rounds)
+    sets = {i: shingle_set(x, 3) for i, x in rows}
+    want = classes(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.85).collect()}
+    assert got == want and 10 < len(set(want.values())) < len(rows)
+
+
+@pytest.mark.parametrize("words,n", [(5, 60_000), (12, 20_000)])
+def test_minhash_of_many_short_texts_that_differ_in_a_word(spark, words, n):
+    same = " ".join(f"word{i}" for i in range(words - 1))
+    df = spark.range(n).selectExpr("id doc_id", f"concat('{same} ', id) text").repartition(4)
+    got = minhash.near_duplicates(df, 3, 0.85)
+    assert got.where("kept").count() == n
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
@@ -210,7 +268,8 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("block,rounds", [(1024, 3), (8, 1), (4, 0)])
+def test_embeddings(spark, block, rounds):
     rng = np.random.default_rng(1)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 48)))]
     for i in range(120):  # clusters of copies, scaled copies and near copies
@@ -218,7 +277,7 @@ def test_embeddings(spark):
         rows.append((1000 + i, (v + rng.normal(size=48) * 0.15 * (i % 4)).tolist()))
     odd = [(2000, None), (2001, []), (2002, [0.0] * 48), (2003, [float("nan")] + [1.0] * 47), (2004, [float("inf")] * 48), (2005, [None] + [1.0] * 47), (2006, [1.0] * 7), (2007, [1.0] * 7), (None, rows[0][1]), rows[3]]
     df = spark.createDataFrame([(a, b, 1, b"k") for a, b in rows + odd], "vec_id long, embedding array<double>, label int, key binary")
-    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df, block=block, rounds=rounds).collect()}
     good = {a: np.array(b) / np.linalg.norm(b) for a, b in rows + odd[6:8]}
     links = [(a, b) for a, b in itertools.combinations(good, 2) if len(good[a]) == len(good[b]) and good[a] @ good[b] >= 0.95]
     assert len(links) > 500
@@ -232,11 +291,23 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_fingerprints(spark):
+def test_coarse_vectors_lose_no_pair():
+    rng = np.random.default_rng(2)
+    for dim in (3, 48):
+        u = rng.normal(size=(2000, dim))
+        w = u + rng.normal(size=u.shape) * rng.random((2000, 1)) * 0.5
+        u, w = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (u, w))
+        exact = (u * w).sum(1)
+        may = embeddings.may_reach(*(pa.array([embeddings.coarse(x) for x in m], pa.binary()) for m in (u, w)), 0.95)
+        assert may[exact >= 0.95].all() and not may[exact < 0.85].any()
+
+
+def test_fingerprints(spark, monkeypatch):
     df, rows = table(spark)
     unique = list(dict.fromkeys(rows))
     small = spark.createDataFrame([(i, t, 0, True) for i, t in unique if i is not None], "doc_id long, text string, part int, last boolean")
-    for parts in ("1", "7"):
+    for parts, chars in (("1", 1 << 24), ("7", 1 << 24), ("3", 500)):
+        monkeypatch.setattr(fingerprints, "RANGE_CHARS", chars)
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         got = {r.doc_id: r for r in fingerprints.compare_edited(small).collect()}
         order = sorted([(i, t or "") for i, t in unique if i is not None], reverse=True)
@@ -279,9 +350,9 @@ def test_warc(spark):
         data, f = (h or "").encode(), first[h or ""]
         want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if f == i else "revisit", None if f == i else f))
     assert [tuple(r) for r in got] == want
-    found = warc.look_up(directory.orderBy("first_key").collect(), "com,example,www)/a?q")
+    found = warc.look_up(directory, "com,example,www)/a?q")
     assert sorted(x[0]["warc-record-id"] for x in found) == ["<urn:page:10>", "<urn:page:3>", "<urn:page:6>"]
-    assert not warc.look_up(directory.orderBy("first_key").collect(), "com,nowhere)/")
+    assert not warc.look_up(directory, "com,nowhere)/")
     place, none = warc.write_archives(df.limit(0))
     assert warc.read_archives(warc.write_index(none, place)).count() == 0
 
