@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.loop import hot_keys, join_spread
+from ..plans.loop import join_spread
 from .common import column, components, slices, staged, text_column
 from .hashing import mix, owners, parts, release, shingles, text_bytes, word_hashes
 
@@ -215,29 +215,21 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
     """The pairs(src, dst) whose sets(rep, n, regs, set) have the similarity; one src may be in any share of the pairs."""
     percent = round(100 * similarity)
 
-    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                na, nb = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-                ok = likely(_registers(column(batch, "ra")), _registers(column(batch, "rb")), na, nb, similarity)
-                yield pa.RecordBatch.from_arrays([column(batch, "src"), column(batch, "dst")], names=["src", "dst"]).filter(pa.array(ok))
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            na, nb = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+            ok = likely(_registers(column(batch, "ra")), _registers(column(batch, "rb")), na, nb, similarity)
             a, b = column(batch, "sa"), column(batch, "sb")
-            ok = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([column(batch, "src"), column(batch, "dst")], names=["src", "dst"]).filter(pa.array(ok, pa.bool_()))
-
-    hot = hot_keys(pairs.groupBy("src").agg(F.count("*").alias("n")), "src")
-
-    def both(pairs: DataFrame, **names: str) -> DataFrame:
-        """pairs with columns of sets for both ends."""
-        side = lambda end, mark: sets.select(F.col("rep").alias(end), *[F.col(c).alias(short + mark) for c, short in names.items()])
-        near = pairs.join(side("dst", "b"), "dst")
-        return join_spread(near, side("src", "a"), "src", hot=hot)
+            for i in np.flatnonzero(ok):
+                ok[i] = similar(np.frombuffer(a[i].as_py(), np.uint64), np.frombuffer(b[i].as_py(), np.uint64), percent)
+            yield pa.RecordBatch.from_arrays([column(batch, "src"), column(batch, "dst")], names=["src", "dst"]).filter(pa.array(ok))
+            release()
 
-    some = staged(both(pairs, n="n", regs="r").mapInArrow(screen, "src long, dst long"), "screened")
-    return staged(both(some, set="s").mapInArrow(verify, "src long, dst long"), "links")
+    side = lambda end, mark: sets.select(F.col("rep").alias(end), F.col("n").alias("n" + mark), F.col("regs").alias("r" + mark), F.col("set").alias("s" + mark))
+    both = join_spread(pairs.join(side("dst", "b"), "dst"), side("src", "a"), "src", counts=pairs.groupBy("src").agg(F.count("*").alias("n")))
+    return staged(both.mapInArrow(verify, "src long, dst long"), "links")
 
 
 def _forest(a: tuple, b: tuple, similarity: float) -> list[tuple[int, int]]:
