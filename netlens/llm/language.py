@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.loop import join_spread
 from .common import column, staged, text_column
@@ -48,36 +49,50 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (code[at] >> np.uint32(16)).astype(np.int64), own[at]
 
 
-def fit(docs: DataFrame, label: str, languages: list[str], sample: int = 20_000) -> np.ndarray:
-    """Log probabilities (languages x BUCKETS) from at most ``sample`` labelled documents, those with the smallest hash of their id."""
-    known = docs.where(F.col(label).isin(languages)).select(F.xxhash64("doc_id").alias("h"), "text", F.col(label).alias("l"))
-    cut = known.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    counts = np.ones((len(languages), BUCKETS)) * 0.5
-    if cut is not None:
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(languages), BUCKETS), np.int64)
-            place = {x: i for i, x in enumerate(languages)}
-            for batch in batches:
-                which = np.array([place[x] for x in column(batch, "l").to_pylist()], np.int64)
-                for at, texts in parts(text_column(batch, "text"), 1 << 20):
-                    code, own = trigrams(*text_bytes(texts))
-                    total += np.bincount(which[at : at + len(texts)][own] * BUCKETS + code, minlength=total.size).reshape(total.shape)
-            l, b = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(l), pa.array(b), pa.array(total[l, b])], names=["l", "b", "n"])
-
-        rows = known.where(F.col("h") <= cut).select("text", "l").mapInArrow(count, "l long, b long, n long")
-        for l, b, n in rows.groupBy("l", "b").agg(F.sum("n")).collect():  # at most languages x BUCKETS rows
-            counts[l, b] += n
+def tag_of(label: Column) -> Column:
+    """The language that a label names: what stands before its first ``-``, ``_``, ``.``, ``;``, ``,`` or white space, in lower case (``pt-BR`` and ``PT`` are ``pt``).
+
+    Null where that is empty or ``und``.  Labels may have any length and script.
+    """
+    tag = F.lower(F.regexp_extract(label, "^\\s*([^-_.;,\\s]+)", 1))
+    return F.when(~tag.isin("", UNDETERMINED), tag)
+
+
+def fit(docs: DataFrame, label: str, languages: list[str], sample: int = 20_000, least: int = 200) -> np.ndarray:
+    """Log probabilities (languages x BUCKETS) from labelled documents, of each language those with the smallest hash of their id.
+
+    A language gives at most ``sample / number of languages`` documents, or ``least`` where that is less, so that a rare one is learned from all it has.
+    """
+    known = docs.select(F.xxhash64("doc_id").alias("h"), "text", tag_of(F.col(label)).alias("l")).where(F.col("l").isNotNull())
+    most = max(least, sample // max(len(languages), 1))
+    first = known.select("l", "h").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= most)  # each task passes on so many of a language at most
+    cuts = first.groupBy("l").agg(F.max("h").alias("cut"))
+    counts = np.full((len(languages), BUCKETS), 0.5)
+    place = {x: i for i, x in enumerate(languages)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(languages), BUCKETS), np.int32)
+        for batch in batches:
+            which = np.array([place[x] for x in column(batch, "l").to_pylist()], np.int64)
+            for at, texts in parts(text_column(batch, "text"), 1 << 20):
+                code, own = trigrams(*text_bytes(texts))
+                some, n = np.unique(which[at : at + len(texts)][own] * BUCKETS + code, return_counts=True)
+                total.ravel()[some] += n.astype(np.int32)
+        l, b = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(l), pa.array(b), pa.array(total[l, b].astype(np.int64))], names=["l", "b", "n"])
+
+    rows = known.join(F.broadcast(cuts), "l").where(F.col("h") <= F.col("cut")).select("text", "l").mapInArrow(count, "l long, b long, n long")
+    found = rows.groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()  # at most languages x BUCKETS rows
+    np.add.at(counts, (found["l"].to_numpy(), found["b"].to_numpy()), found["n"].to_numpy())
     return np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
 
-def languages_of(docs: DataFrame, label: str, share: float = 0.001, most: int = 64) -> list[str]:
-    """The labels of at least ``share`` of the labelled documents, the ``most`` most frequent of them at most, in order."""
-    known = docs.where(F.col(label).rlike("^[a-z]{2,3}$"))
-    counts = known.groupBy(F.col(label).alias("l")).agg(F.count("*").alias("n"))
-    least = share * (counts.agg(F.sum("n")).first()[0] or 0)
-    return sorted(r.l for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "l").limit(most).collect())
+def languages_of(docs: DataFrame, label: str, most: int = 512) -> list[str]:
+    """All languages that the labels name (tag_of), in order; more than ``most`` (256 KB of model each) are an error, none is left out."""
+    found = sorted(r.l for r in docs.select(tag_of(F.col(label)).alias("l")).where(F.col("l").isNotNull()).distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"{label} names more than {most} languages: raise `most` (256 KB a language in every task), or clean the labels")
+    return found
 
 
 def text_scores(texts: pa.Array, model: np.ndarray) -> np.ndarray:
@@ -103,10 +118,10 @@ def identify(table: DataFrame, model: np.ndarray, languages: list[str], carry: l
 
     Returns the columns ``carry`` (any of the table's) and two more, named by ``names_out``: language (``und`` where the background explains the text best or there is no letter
     trigram at all) and confidence, the posterior probability of that language (0.0 without evidence).  Null host, suffix
-    or declaration is a value of its own.  Every row is kept; an empty table gives no rows.
+    or declaration is a value of its own; declarations are read by tag_of(), and those of no known language are one value.  Every row is kept; an empty table gives no rows.
     """
     names, width = [f"p{i}" for i in range(len(languages) + 1)], len(languages) + 1
-    known = F.coalesce(F.lower(F.regexp_extract(declared, "^([A-Za-z]{2,3})", 1)), F.lit(""))
+    known = F.coalesce(tag_of(declared), F.lit(""))
     words = f"c_{text}" if text in carry else "_text"  # a text that is carried anyway is sent once
     table = table.select(
         *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry],
@@ -170,7 +185,10 @@ def identify(table: DataFrame, model: np.ndarray, languages: list[str], carry: l
 
 
 def of_documents(docs: DataFrame, carry: list[str], names_out: tuple[str, str] = ("language", "confidence")) -> DataFrame:
-    """identify() for documents: source is the host, lang the declaration; there is no address.  Languages are those that lang names."""
+    """identify() for documents: source is the host, lang the declaration; there is no address.
+
+    Languages are all that lang names (languages_of): upper case and regions do not matter, and a language of a few documents is one too.
+    """
     languages = languages_of(docs, "lang")
     return identify(docs, fit(docs, "lang", languages), languages, carry, "text", F.col("source"), F.lit(None).cast("string"), F.col("lang"), names_out)
 
