@@ -75,14 +75,23 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """ids of texts as the library gives them for whole texts."""
+    """ids of texts as the library gives them for whole texts.
 
-    def __init__(self, path: str):
+    The string of an added token (``<|endoftext|>``) inside a text gets that token's id, as in the library; with ``plain`` it is text like any other.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = [] if plain else list(self.tokenizer.get_added_tokens_decoder().values())
+        if any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in added):
+            raise ValueError(f"{path} has added tokens that reach beyond their own letters")
+        self.special = {x.content for x in added}
+        #: the library takes the leftmost, longest added token out of a text before anything else
+        self.added = re.compile(b"|".join(re.escape(x.encode()) for x in sorted(self.special, key=len, reverse=True))) if added else None
         self.mark = self._lines([""])[0]
         self.memo = Memo(self._pieces, MEMO, "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
 
@@ -91,7 +100,7 @@ class Encoder:
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, number of each); those without white space but a space in front are joined to lines, as calls for single words are slow."""
-        plain = np.array([len(self.mark) == 1 and PLAIN.fullmatch(x) is not None for x in pieces], bool)
+        plain = np.array([len(self.mark) == 1 and PLAIN.fullmatch(x) is not None and x not in self.special for x in pieces], bool)
         ids, length = [np.zeros(0, np.int64)], np.zeros(len(pieces), np.int64)
         joined = np.flatnonzero(plain)
         for i in range(0, len(joined), 1000):
@@ -114,18 +123,32 @@ class Encoder:
         """Yields (first row, ids of a slice of rows, bounds per row) for a string array without nulls."""
         for at, some in parts(texts, 1 << 20):
             data, offsets = text_bytes(some)
-            yield at, *encode(data, offsets, piece_starts(data, offsets), self.memo)
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str, memo: int = MEMO) -> Encoder:
-    """The worker's encoder for a vocabulary file, loaded once; ``memo`` bounds the pieces of a generation."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    _encoders[path].memo.limit = memo
-    return _encoders[path]
+            yield at, *encode(data, offsets, self._starts(data, offsets), self.memo)
+
+    def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces start; an added token is one piece, and what stands before and behind it are texts of their own."""
+        found = [] if self.added is None else [m.span() for m in self.added.finditer(data)]
+        if not found:
+            return piece_starts(data, offsets)
+        low, high = np.array(found, np.int64).T
+        one = np.searchsorted(offsets, low, "right") == np.searchsorted(offsets, high, "left")
+        if not one.all():  # a match across two texts is none, and may hide another behind it
+            found = [(a + m.start(), a + m.end()) for a, b in zip(offsets[:-1], offsets[1:]) for m in self.added.finditer(data[a:b])]
+            low, high = np.array(found, np.int64).reshape(-1, 2).T
+        starts = piece_starts(data, np.sort(np.concatenate([offsets, low, high])))
+        inside = np.searchsorted(low, starts, "left") - 1  # the last token that begins before
+        return starts[(inside < 0) | (starts >= np.append(high, 0)[inside])]
+
+
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, memo: int = MEMO, plain: bool = False) -> Encoder:
+    """The worker's encoder for a vocabulary file, loaded once; ``memo`` bounds the pieces of a generation, ``plain`` reads added tokens' strings as any text."""
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = Encoder(path, plain)
+    _encoders[path, plain].memo.limit = memo
+    return _encoders[path, plain]
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

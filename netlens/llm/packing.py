@@ -92,7 +92,7 @@ def place(sizes: np.ndarray, losses: np.ndarray, limits: Limits) -> list[list[tu
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), memo: int = MEMO) -> DataFrame:
     """Pack ``docs(doc_id, text)`` into sequences.
 
-    A document is its ids by the tokenizers library for the whole text (null: empty),
+    A document is its ids by the tokenizers library for the whole text (null: empty; an added token's string gets its id),
     then ``end_id``; all its tokens bear loss, or the last ``loss_tokens`` where docs has such a long column.
     Returns one row per piece: doc_id, start, length, ids (binary, little-endian unsigned
     32-bit), doc_tokens, sequence_id (partition * 2**33 + number), offset.  Repeated and null

@@ -72,7 +72,7 @@ def write_tokens(
 ) -> tuple[str, DataFrame]:
     """Encode ``docs(doc_id, text)`` and write shards; returns (folder, manifest).
 
-    Ids are those of the tokenizers library for the whole text (null: empty), then
+    Ids are those of the tokenizers library for the whole text (null: empty; an added token's string gets its id), then
     ``end_id``.  Shards and rows ascend by doc_id, null ids first; repeated doc_ids are
     all kept, in any order among themselves.  Other columns are ignored.  The
     dictionary is trained on at most ``dictionary_documents`` documents, those with the smallest hash of their id, from each

@@ -38,7 +38,7 @@ def table(spark):
             w[rng.randrange(len(w))] = f"edit{rng.randrange(1000)}"
         texts.append(" ".join(w))
     passage = prose(rng, 60)
-    texts += [prose(rng, 70) + " " + passage + " " + prose(rng, 40), prose(rng, 33) + "\n" + passage, "ﬁ ① " + prose(rng, 30)]
+    texts += [prose(rng, 70) + " " + passage + " " + prose(rng, 40), prose(rng, 33) + "\n" + passage, "ﬁ ① " + prose(rng, 30) + "  <|endoftext|>\n<|endoftext|><|endoftext|> end"]
     rows = [(i * 3 + 1, t, "en", "h1", 1, 2, 3, "k") for i, t in enumerate(texts)]
     rows += [(None, prose(rng, 30), None, None, 0, 0, 0, "k"), (None, None, None, None, 0, 0, 0, "k"), rows[4], rows[0]]
     schema = "doc_id long, text string, lang string, source string, start long, component long, group long, digest string"
@@ -49,9 +49,7 @@ EMPTY = "doc_id long, text string, lang string, source string"
 
 
 def library():
-    t = tokenizers.Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t
+    return tokenizers.Tokenizer.from_file(BPE)
 
 
 def crc(ids):
@@ -73,6 +71,19 @@ def test_encoder_is_the_library():
             assert found == [(i, t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)]
 
 
+@pytest.mark.parametrize("plain", [False, True])
+def test_added_tokens(plain):
+    """As the untouched library has them; with ``plain``, as text."""
+    e, t, rng = Encoder(BPE, plain), library(), random.Random(7)
+    t.encode_special_tokens = plain
+    signs = ["<|endoftext|>", "<|endoftext|", "|endoftext|>", "a", "b", "'s", " ", "  ", "\n", "é", "二", ".", "1"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(14))) for _ in range(20_000)]
+    texts += ["<|endof", "text|>", "", "<|endoftext|>"]  # none across two texts
+    found = [ids[bounds[i] : bounds[i + 1]].tolist() for _, ids, bounds in e.encode(pa.array(texts)) for i in range(len(bounds) - 1)]
+    assert found == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert plain or sum(x.count(50256) for x in found) > 5000
+
+
 def test_memo_forgets_what_is_not_used():
     from netlens.llm.words import Memo
 
