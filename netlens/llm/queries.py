@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, embeddings, fingerprints, language, minhash, packing, pieces, quality, token_files, warc
+from . import alignment, chunks, embeddings, fingerprints, language, minhash, packing, pieces, quality, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_language": language.query,
     "op10_chunks": chunks.query,
+    "op11_alignment": alignment.query,
     "page_language": language.pages_query,
 }
 
