@@ -115,8 +115,8 @@ def byte_level(path: str) -> list[bytes]:
 class Windows:
     """Alignments of windows by their id tuples."""
 
-    def __init__(self, a: Spelling, b: Spelling):
-        self.a, self.b = a, b
+    def __init__(self, a: Spelling, b: Spelling, most: int):
+        self.a, self.b, self.most = a, b, most
         self.clear()
 
     def clear(self) -> None:
@@ -141,7 +141,7 @@ class Windows:
 
     def look_up(self, a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> np.ndarray:
         """The place of each window a[a_at[i]:a_at[i + 1]], b[b_at[i]:b_at[i + 1]] in the tables; equal windows are looked up once."""
-        if len(self.place) > WINDOWS:
+        if len(self.place) > self.most:
             self.clear()
         keys = []
         for seed in (0x51ED270B, 0x2545F4914F6CDD1D):
@@ -176,10 +176,10 @@ class Windows:
 class Aligner:
     """Both tokenizers, their spellings and the memo of windows."""
 
-    def __init__(self, a_path: str, b_path: str):
+    def __init__(self, a_path: str, b_path: str, windows: int = WINDOWS):
         self.a_ids, self.b_ids = bpe.encoder(a_path, PARTS, plain=True), PieceLibrary(b_path)
         self.a, self.b = Spelling(byte_level(a_path)), Spelling(self.b_ids.raw)
-        self.windows = Windows(self.a, self.b)
+        self.windows = Windows(self.a, self.b, windows)
 
     def align(self, texts: pa.Array):
         """Yields (first row, columns) for slices of a string array with nulls: n_a, n_b, n_groups, n_links per row, groups (text) and each row's distinct link codes and their numbers (two arrays with bounds)."""

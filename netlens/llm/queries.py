@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, chunks, embeddings, fingerprints, language, minhash, packing, pieces, quality, token_files, warc
+from . import alignment, chunks, embeddings, fingerprints, language, minhash, packing, phrases, pieces, quality, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language": language.query,
     "op10_chunks": chunks.query,
     "op11_alignment": alignment.query,
+    "op13_phrases": phrases.query,
     "page_language": language.pages_query,
 }
 
@@ -48,5 +49,16 @@ _PAGES = """WITH h AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce
 SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h.h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), '') AS payload_digest,
  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to FROM h JOIN f ON f.h = h.h"""
 
+_PHRASES = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p), g AS (SELECT lang, 1 AS k, unnest(w) AS phrase FROM w
+ UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL), t AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS MATERIALIZED (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND n >= 10),
+x AS (SELECT lang, k, phrase, a, 1 AS cut, w[1] AS lp, array_to_string(w[2:], ' ') AS rp FROM c UNION ALL SELECT lang, k, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE k = 3),
+s AS (SELECT x.*, l.n AS l, r.n AS r, CAST(1000000::HUGEINT * a * a // (l.n::HUGEINT * r.n) AS BIGINT) AS score FROM x JOIN f l ON l.lang = x.lang AND l.phrase = lp JOIN f r ON r.lang = x.lang AND r.phrase = rp),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+d AS (SELECT lang, part, max(a) AS longer FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part FROM c WHERE k = 3) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n, score FROM b JOIN t ON t.lang = b.lang LEFT JOIN d ON d.lang = b.lang AND d.part = phrase WHERE longer IS NULL OR 100 * longer < 50 * a QUALIFY rank <= 2000"""
+
 #: Of the other operators SQL cannot express the vocabularies, models, sketches or chunk cuts; tests/llm holds them against brute force.
-SQL: dict[str, str] = {"op2_embeddings": _VECTORS, "op5_minhash": _TEXTS, "op8_warc": _PAGES}
+SQL: dict[str, str] = {"op2_embeddings": _VECTORS, "op5_minhash": _TEXTS, "op8_warc": _PAGES, "op13_phrases": _PHRASES}
