@@ -29,12 +29,12 @@ from .common import column, filesystem, new_place, slices, staged
 from .hashing import mix, owners, parts, release, text_bytes
 from .words import Memo, encode as encode_parts, runs
 
-#: Windows in a Python worker's memo at most; then it starts anew.
-WINDOWS = 100_000
+#: Windows in a Python worker's memo at most, some 100 bytes each.
+WINDOWS = 300_000
 #: Id pairs up to which every task holds the table of counts (17 bytes each); with more, documents' pairs are joined to it by shuffle.
 HELD_PAIRS = 4_000_000
 PARTS = 500_000
-#: A pair's code is a * STRIDE + b.
+#: A pair is looked up as a * STRIDE + b.
 STRIDE = 1 << 32
 
 
@@ -113,64 +113,88 @@ def byte_level(path: str) -> list[bytes]:
 
 
 class Windows:
-    """Alignments of windows by their id tuples."""
+    """Alignments of windows by their id tuples (two 64-bit hashes of them): text of the groups, number of groups, codes of the links.
+
+    Past ``most`` windows those go that were not looked up again, and half of them stay at most.
+    """
+
+    NUMBERS = ("key", "check", "groups", "text_at", "text_size", "links_at", "links", "used")
 
     def __init__(self, a: Spelling, b: Spelling, most: int):
-        self.a, self.b, self.most = a, b, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.text: list[bytes] = []
-        self.groups, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.codes = np.zeros(0, np.int64)
-
-    def _align(self, a: np.ndarray, b: np.ndarray) -> tuple[bytes, int, np.ndarray]:
-        """(groups as text, their number, codes of the links) of one window."""
-        a_end, b_end = np.cumsum(self.a.length[a]).tolist(), np.cumsum(self.b.length[b]).tolist()
-        a, b = a.tolist(), b.tolist()
-        out, links, i, j, a0, b0 = [], [], 0, 0, 0, 0
-        while i < len(a):  # two pointers: the current tokens overlap, and the one that ends first gives way
-            links.append(a[i] * STRIDE + b[j])
-            x, y = a_end[i], b_end[j]
-            i, j = i + (x <= y), j + (y <= x)
-            if x == y:
-                out.append(",".join(map(str, a[a0:i])) + "|" + ",".join(map(str, b[b0:j])))
-                a0, b0 = i, j
-        return ";".join(out).encode(), len(out), np.array(links, np.int64)
+        self.a, self.b, self.most, self.width, self.seed = a, b, most, len(b.length), 1
+        self.rows = {x: np.zeros(0, np.uint64 if x in ("key", "check") else np.int64) for x in self.NUMBERS}
+        self.text, self.codes = np.zeros(0, np.uint8), np.zeros(0, np.int64)
+        self.digits = [Spelling([str(i).encode() + b"," for i in range(len(x.length))]) for x in (a, b)]
+
+    def _align(self, a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> dict[str, np.ndarray]:
+        """The rows of new windows; their texts and codes are put behind the others."""
+        a_end, b_end = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
+        spot = np.searchsorted(b_end, a_end)
+        last_a = b_end[spot] == a_end  # tokens that end a group
+        last_b = np.zeros(len(b), bool)
+        last_b[spot[last_a]] = True
+        low = np.searchsorted(b_end, np.append(0, a_end[:-1]), "right")
+        links = spot - low + 1
+        self.codes = np.concatenate([self.codes, np.repeat(a, links) * self.width + b[runs(low, links)]])
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        size = np.concatenate([self.digits[0].length[a], self.digits[1].length[b]])[order]
+        start = np.concatenate([self.digits[0].start[a], self.digits[1].start[b] + len(self.digits[0].data)])[order]
+        text = np.concatenate([self.digits[0].data, self.digits[1].data])[runs(start, size)]
+        ends = np.cumsum(size)
+        sign = np.where(np.concatenate([last_a, last_b]), np.repeat([ord("|"), ord(";")], [len(a), len(b)]), ord(","))[order]
+        text[ends - 1] = sign
+        ends = np.append(0, ends)
+        to = ends[a_at + b_at]  # a window's tokens lie together
+        out = {"groups": np.add.reduceat(last_a.astype(np.int64), a_at[:-1]), "text_at": to[:-1] + len(self.text), "text_size": np.diff(to), "links": np.add.reduceat(links, a_at[:-1])}
+        out["links_at"] = len(self.codes) - links.sum() + np.cumsum(out["links"]) - out["links"]
+        self.text = np.concatenate([self.text, text])
+        return out
+
+    def _keep(self) -> None:
+        own = {x: v[np.flatnonzero(self.rows["used"])[: self.most // 2]] for x, v in self.rows.items()}
+        self.text, self.codes = self.text[runs(own["text_at"], own["text_size"])], self.codes[runs(own["links_at"], own["links"])]
+        own["text_at"], own["links_at"] = np.cumsum(own["text_size"]) - own["text_size"], np.cumsum(own["links"]) - own["links"]
+        self.rows = own | {"used": np.zeros(len(own["key"]), np.int64)}
 
     def look_up(self, a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> np.ndarray:
-        """The place of each window a[a_at[i]:a_at[i + 1]], b[b_at[i]:b_at[i + 1]] in the tables; equal windows are looked up once."""
-        if len(self.place) > self.most:
-            self.clear()
+        """The row of each window a[a_at[i]:a_at[i + 1]], b[b_at[i]:b_at[i + 1]]; equal windows are aligned once.  Rows hold until the next call."""
+        if len(self.rows["key"]) > self.most:
+            self._keep()
         keys = []
-        for seed in (0x51ED270B, 0x2545F4914F6CDD1D):
+        for seed in (self.seed * 0x51ED270B, self.seed * 0x2545F491 + 1):
             total = np.zeros(len(a_at) - 1, np.uint64)
             for ids, at in ((a, a_at), (b, b_at)):
-                where = (np.arange(len(ids)) - np.repeat(at[:-1], np.diff(at))).astype(np.uint64)
-                total = mix(total + np.add.reduceat(mix((ids.astype(np.uint64) << np.uint64(32)) + where + np.uint64(seed)), at[:-1]) + np.diff(at).astype(np.uint64))
+                n = np.diff(at)
+                where = (np.arange(len(ids)) - np.repeat(at[:-1], n)).astype(np.uint64)
+                total = mix(total + np.add.reduceat(mix((ids.astype(np.uint64) << np.uint64(32)) + where + np.uint64(seed)), at[:-1]) + n.astype(np.uint64))
             keys.append(total)
-        order = np.lexsort(keys)
-        new = np.ones(len(order), bool)
-        new[1:] = (keys[0][order[1:]] != keys[0][order[:-1]]) | (keys[1][order[1:]] != keys[1][order[:-1]])
+        order = np.argsort(keys[0])
+        key, check = keys[0][order], keys[1][order]
+        new = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]))
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
-        first = order[new]
-        raw_a, raw_b, spots, fresh = a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), [], []
-        for x0, x1, y0, y1 in zip(a_at[first].tolist(), a_at[first + 1].tolist(), b_at[first].tolist(), b_at[first + 1].tolist()):
-            key = raw_a[4 * x0 : 4 * x1] + b"\xff\xff\xff\xff" + raw_b[4 * y0 : 4 * y1]
-            spot = self.place.get(key)
-            if spot is None:
-                spot = self.place[key] = len(self.text)
-                text, n, codes = self._align(a[x0:x1], b[y0:y1])
-                self.text.append(text)
-                fresh.append((n, codes))
-            spots.append(spot)
-        if fresh:
-            self.groups = np.append(self.groups, [n for n, _ in fresh])
-            self.length = np.append(self.length, [len(c) for _, c in fresh])
-            self.codes = np.concatenate([self.codes, *[c for _, c in fresh]])
-        return np.array(spots, np.int64)[which]
+        first, key, check = order[new], key[new], check[new]
+
+        def find() -> tuple[np.ndarray, np.ndarray]:
+            at = np.searchsorted(self.rows["key"], key)
+            at[at == len(self.rows["key"])] = 0
+            return at, (self.rows["key"][at] == key) & (self.rows["check"][at] == check) if len(self.rows["key"]) else np.zeros(len(key), bool)
+
+        at, hit = find()
+        self.rows["used"][at[hit]] = 1
+        lost = np.flatnonzero(~hit & np.append(True, key[1:] != key[:-1]))
+        if len(lost):
+            rows, (a_n, b_n) = first[lost], (np.diff(a_at)[first[lost]], np.diff(b_at)[first[lost]])
+            out = self._align(a[runs(a_at[rows], a_n)], np.append(0, np.cumsum(a_n)), b[runs(b_at[rows], b_n)], np.append(0, np.cumsum(b_n)))
+            out |= {"key": key[lost], "check": check[lost], "used": np.zeros(len(lost), np.int64)}
+            to = np.searchsorted(self.rows["key"], key[lost])
+            self.rows = {x: np.insert(self.rows[x], to, out[x]) for x in self.NUMBERS}
+            at, hit = find()
+        if not hit.all():  # two windows with one key: start anew with other hashes
+            self.seed, self.rows = self.seed + 2, {x: v[:0] for x, v in self.rows.items()}
+            return self.look_up(a, a_at, b, b_at)
+        return at[which]
 
 
 class Aligner:
@@ -210,20 +234,18 @@ class Aligner:
                 window = self.windows.look_up(a, a_at, b, b_at)
                 w_to = np.searchsorted(a_at, a_to)
                 w_row = owners(w_to)
-                length = self.windows.length[window]
-                n_groups = np.bincount(w_row, self.windows.groups[window], n).astype(np.int64)
-                n_links = np.bincount(w_row, length, n).astype(np.int64)
-                names = self.windows.text
-                strings = [b";".join([names[k] for k in window[x:y].tolist()]) for x, y in zip(w_to[:-1], w_to[1:])]
-                start = np.cumsum(self.windows.length) - self.windows.length
-                codes = self.windows.codes[runs(start[window], length)]
-                row = np.repeat(w_row, length)
-                order = np.lexsort((codes, row))
-                codes, row = codes[order], row[order]
-                new = np.ones(len(codes), bool)
-                new[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
-                first = np.flatnonzero(new)
-                codes, often, row = codes[first], np.diff(np.append(first, len(codes))), row[first]
+                known = {x: v[window] for x, v in self.windows.rows.items()}
+                n_groups = np.bincount(w_row, known["groups"], n).astype(np.int64)
+                n_links = np.bincount(w_row, known["links"], n).astype(np.int64)
+                raw = self.windows.text[runs(known["text_at"], known["text_size"])].tobytes()
+                to = np.append(0, np.cumsum(known["text_size"]))[w_to].tolist()
+                strings = [raw[x : max(x, y - 1)] for x, y in zip(to[:-1], to[1:])]
+                codes = self.windows.codes[runs(known["links_at"], known["links"])]
+                space = len(self.a.length) * len(self.b.length)
+                codes = np.sort(np.repeat(w_row, known["links"]) * space + codes)
+                first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+                often = np.diff(np.append(first, len(codes)))
+                row, codes = np.divmod(codes[first], space)
                 bounds = np.searchsorted(row, np.arange(n + 1))
             yield at, n_a, n_b, n_groups, n_links, strings, codes, often, bounds
 
@@ -253,12 +275,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, digest: bool = False) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 33
+        uid, width = TaskContext.get().partitionId() << 33, len(aligner(a_path, b_path).b.length)
         for batch in batches:
             for at, n_a, n_b, n_groups, n_links, strings, codes, often, bounds in aligner(a_path, b_path).align(column(batch, "text")):
                 groups = [hashlib.sha256(x).hexdigest() if x else "" for x in strings] if digest else [x.decode() for x in strings]
                 n = len(n_a)
-                ids = [_cells(x.astype("<u4"), bounds) for x in (codes // STRIDE, codes % STRIDE, often)]
+                ids = [_cells(x.astype("<u4"), bounds) for x in (*np.divmod(codes, width), often)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(uid, uid + n)), column(batch, "doc_id").slice(at, n), *[pa.array(x.astype(np.int64)) for x in (n_a, n_b, n_groups, n_links)], pa.array(groups, pa.string()), *ids],
                     names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "a", "b", "often"],
