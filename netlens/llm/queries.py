@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, chunks, embeddings, fingerprints, language, minhash, packing, phrases, pieces, quality, token_files, warc
+from . import alignment, chunks, embeddings, fingerprints, language, minhash, mixing, packing, phrases, pieces, quality, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language": language.query,
     "op10_chunks": chunks.query,
     "op11_alignment": alignment.query,
+    "op12_mixing": mixing.query,
     "op13_phrases": phrases.query,
     "page_language": language.pages_query,
 }
