@@ -25,11 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.dataset as ds
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.loop import join_spread
-from .common import column, components, slices, staged, text_column
+from .common import column, components, filesystem, new_place, slices, staged, text_column
 from .hashing import mix, owners, parts, release, shingles, text_bytes, word_hashes
 
 #: Registers (prime, for the affine permutations), bands of rows; 24 bands of 5 miss a pair of
@@ -43,8 +45,8 @@ SKETCH_BASE, RATE, TOP = 1.001, 20.0, 65535
 COUNTERS = 1 << 20
 #: Rounds in which those who share a rare shingle are compared with up to CENTRES of them; that settles all but larger gatherings.
 ROUNDS, CENTRES = 2, 16
-#: Members and bytes of sets in a block on average, and members compared at once.
-BLOCK, BLOCK_BYTES, TILE = 2048, 1 << 20, 512
+#: Members and bytes of sets in a block at most (a larger set is a block of its own), and members compared at once.
+BLOCK, BLOCK_BYTES, TILE = 2048, 8 << 20, 512
 
 
 def registers(hashes: np.ndarray, bounds: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -267,40 +269,58 @@ def _forest(a: tuple, b: tuple, similarity: float) -> list[tuple[int, int]]:
 
 
 def linked_blocks(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (src, dst) that connect the labels of ``members(token, rep, n, first, label)`` inside each token, at least one end of them ``first``.
+    """Links (src, dst) that connect the labels of ``members(token, rep, first, label)`` inside each token, at least one end of them ``first``.
 
-    A token's members are dealt by hash into blocks of bounded size and number, and a pair of blocks is one row of work, so that one
-    token's pairs spread over all tasks.
+    Members who share tokens, directly or over others, lie together in one order of all, which is cut into blocks of bounded size: each set is written once, whatever the number of its tokens.
+    Two blocks are compared once if they meet in any token; a pair of blocks is one row of work, and its task reads both from the shared folder.
     """
-    members = staged(members, "members")
-    blocks = lambda who: F.greatest(F.ceil(F.count(who) / BLOCK), F.ceil(F.sum(F.when(who, F.col("n"))) * 8 / BLOCK_BYTES), F.lit(0)).cast("int")
-    is_first, other = F.when(F.col("first"), True), F.when(~F.col("first"), True)
-    size = staged(members.groupBy("token").agg(blocks(is_first).alias("n1"), blocks(other).alias("n2"), F.count("*").alias("n")), "block-counts")
-    placed = join_spread(members.drop("n"), size.select("token", "n1", "n2"), "token", counts=size.select("token", "n"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("first"), F.col("n1")).otherwise(F.col("n2"))).cast("int")).join(sets, "rep")
-    filled = staged(placed.groupBy("token", "first", "block").agg(F.collect_list(F.struct("rep", "label", "n", "regs", "set")).alias("members")), "blocks")
-    firsts = size.select("token", "n1", "n2", F.explode(F.sequence(F.lit(0), F.col("n1") - 1)).alias("b1"))
-    more = lambda low, n, f2: firsts.where(n > low).select("token", "b1", F.lit(f2).alias("f2"), F.explode(F.sequence(low, n - 1)).alias("b2"))
-    pairs = more(F.col("b1"), F.col("n1"), True).union(more(F.lit(0), F.col("n2"), False)).repartition("token", "b1", "f2", "b2")
-    left = filled.where("first").select("token", F.col("block").alias("b1"), F.col("members").alias("m1"))
-    right = filled.select("token", F.col("first").alias("f2"), F.col("block").alias("b2"), F.col("members").alias("m2"))
-    work = pairs.join(left, ["token", "b1"]).join(right, ["token", "f2", "b2"]).select("m1", "m2")
+    spark, most, most_bytes = members.sparkSession, BLOCK, BLOCK_BYTES
+    members = staged(members.select("token", "rep", "first", "label"), "members")
+    low = staged(members.groupBy("token").agg(F.min("rep").alias("low"), F.count("*").alias("n")), "token-heads")
+    tied = join_spread(members.select("token", "rep"), low.select("token", "low"), "token", counts=low.select("token", "n"))
+    near = components(tied.where("rep <> low").select(F.col("rep").alias("src"), F.col("low").alias("dst")).distinct())
+    reps = members.groupBy("rep").agg(F.min("token").alias("key"), F.min("label").alias("label")).join(near.withColumnRenamed("id", "rep"), "rep", "left")
+    ordered = reps.join(sets.select("rep", "n"), "rep").select(F.coalesce("component", "rep").alias("component"), "key", "rep", "label", "n")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            out = []
+            for n in column(batch, "n").to_pylist():
+                if held and (held >= most or size + 8 * n > most_bytes):
+                    block, held, size = block + 1, 0, 0
+                held, size = held + 1, size + 8 * n
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([column(batch, "rep"), column(batch, "label"), pa.array(out, pa.int64())], names=["rep", "label", "block"])
+
+    ordered = ordered.repartitionByRange("component", "key", "rep").sortWithinPartitions("component", "key", "rep")
+    placed = staged(ordered.mapInArrow(number, "rep long, label long, block long"), "placed")
+    place = new_place(spark, "blocks")
+    placed.join(sets, "rep").repartition("block").write.partitionBy("block").parquet(place)
+    # tokens that meet in the same blocks count once
+    met = members.join(placed.select("rep", "block"), "rep").groupBy("token", "block").agg(F.max("first").alias("first"))
+    met = met.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("block", "first"))).alias("own")).select("own").distinct()
+    met = met.select("own", F.explode(F.filter("own", lambda x: x["first"])).alias("x")).select("x", F.explode("own").alias("y"))
+    pairs = met.select(F.least("x.block", "y.block").alias("b1"), F.greatest("x.block", "y.block").alias("b2")).distinct()
+    parts_ = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(cell: pa.Array, r: int):
-            x = cell[r].values
-            numbers = [x.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "n")]
-            return *numbers, _registers(x.field("regs")), x.field("set")
+        where, path = filesystem(place)
+
+        def block(k: int):
+            x = ds.dataset(f"{path}/block={k}", filesystem=where, format="parquet").to_table(columns=["rep", "label", "n", "regs", "set"]).combine_chunks()
+            one = {c: x[c].combine_chunks() for c in x.column_names}
+            return *(one[c].to_numpy(zero_copy_only=False) for c in ("rep", "label", "n")), _registers(one["regs"]), one["set"]
 
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for r in range(batch.num_rows):
-                found += _forest(block(column(batch, "m1"), r), block(column(batch, "m2"), r), similarity)
-            src, dst = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+            for b1, b2 in zip(column(batch, "b1").to_pylist(), column(batch, "b2").to_pylist()):
+                left = block(b1)
+                found = _forest(left, left if b1 == b2 else block(b2), similarity)
+                src, dst = zip(*found) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
             release()
 
-    return staged(work.mapInArrow(run, "src long, dst long"), "links")
+    return staged(pairs.repartition(parts_, "b1", "b2").mapInArrow(run, "src long, dst long"), "links")
 
 
 def rare_tokens(sets: DataFrame, similarity: float) -> DataFrame:
@@ -358,7 +378,7 @@ def exact_links(sets: DataFrame, labels: DataFrame, similarity: float) -> DataFr
             break
         open_ = join_spread(marked, shared.select("token", "centres"), "token", counts=shared.select("token", F.col("members").alias("n")))
         if i == ROUNDS:
-            found = found.union(linked_blocks(open_.select("token", "rep", "n", "first", "label"), sets, similarity))
+            found = found.union(linked_blocks(open_.select("token", "rep", "first", "label"), sets, similarity))
             break
         open_ = staged(open_, "open-tokens")
         pairs = open_.select("rep", "label", F.explode("centres").alias("c")).where("label <> c.label").select(F.col("c.rep").alias("src"), F.col("rep").alias("dst"))
