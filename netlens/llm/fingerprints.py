@@ -14,10 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import column, text_column
+from .common import column, new_place, text_column
 from .hashing import EXACT, mix, owners, shingles, span_hashes, text_bytes, word_hashes
 
 LANES, STRONG = 128, 4
@@ -96,51 +98,26 @@ def _slices(texts: list[str], limit: int = 4 << 20):
         yield i, texts[i:]
 
 
-#: Code points of text in a range on average at most.
-RANGE_CHARS = 16 << 20
+RESULT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+KINDS = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
-def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """``docs(doc_id, text)`` dealt into ranges of descending doc_id, plus each range's successor.
-
-    Returns part, last (true for the row borrowed from the next range), doc_id, text, sorted within
-    partitions by part, last, descending doc_id (nulls last).  Only one row per range is sent twice; after the last range comes
-    the first.  There are as many ranges as shuffle partitions, more where texts need it (RANGE_CHARS); their bounds are quantiles of the ids, and one bound and one id per range come to the driver.
-    """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    if parts is None:
-        chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS))
-    ids = docs.select("doc_id")
-    cuts = ids.agg(F.percentile_approx("doc_id", [(i + 1) / parts for i in range(parts - 1)], 10 * parts)).first()[0] if parts > 1 else None
-    cuts = sorted(set(cuts or []), reverse=True)
-    # ranges count from the largest ids; bounds are searched in two steps, by every width-th one and between those
-    width = max(1, round(len(cuts) ** 0.5))
-    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    above = lambda bounds: F.size(F.filter(bounds, lambda c: c >= F.col("doc_id")))
-    part = F.lit(0)
-    if cuts:
-        longs = lambda values: F.array(*[F.lit(c).cast("long") for c in values])
-        passed = above(longs([g[-1] for g in groups]))
-        fine = F.element_at(F.array(*[longs(g) for g in groups], longs([]).cast("array<long>")), passed + 1)
-        part = passed * width + above(fine)
-        part = F.least(part, F.lit(len(cuts)))
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(part).cast("long")
-    dealt = docs.withColumn("part", part)
-    heads = {r.part: r.h for r in ids.withColumn("part", part).groupBy("part").agg(F.max("doc_id").alias("h")).collect()}
-    order = sorted(heads)
-    before = {p: order[i - 1] for i, p in enumerate(order)}  # the range that needs p's first row; the last needs the first's
-    if not order:
-        return dealt.select("part", F.lit(False).alias("last"), "doc_id", "text")
-    every = range(len(cuts) + 2)
-    of_part = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), (F.col("part") + 1).cast("int"))
-    lend, head = of_part([before.get(p) for p in every]), of_part([heads.get(p) for p in every])
-    is_head = F.col("doc_id").eqNullSafe(head)
-    own = F.array(F.struct(F.col("part").alias("p"), F.lit(False).alias("last")))
-    both = F.when(is_head, F.concat(own, F.array(F.struct(lend.alias("p"), F.lit(True).alias("last"))))).otherwise(own)
-    sent = dealt.select(F.explode(both).alias("x"), "doc_id", "text").select(F.col("x.p").alias("part"), F.col("x.last").alias("last"), "doc_id", "text")
-    return sent.repartition(parts, "part").sortWithinPartitions("part", "last", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+def _compared(texts: list[str], pairs: list[tuple[int, int]], ids: list) -> list[pa.Array]:
+    """The columns of RESULT for texts and their successors, pairs of places in ``texts``."""
+    edits = [(texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[j][: len(texts[i]) // 2]).encode() for i, j in pairs]
+    strong, narrow = vectors([x.encode() for x in texts] + edits)
+    a, b = np.array([i for i, _ in pairs], np.int64), np.array([j for _, j in pairs], np.int64)
+    e = np.arange(len(texts), len(texts) + len(edits))
+    prints = fingerprint_bytes(strong, narrow)
+    return [
+        pa.array([ids[i] for i in a], pa.int64()),
+        pa.array([len(texts[i]) for i in a], pa.int64()),
+        pa.array([hashlib.sha256(x).digest() for x in edits], pa.binary()),
+        pa.array([prints[i] for i in a], pa.binary()),
+        pa.array([prints[i] for i in e], pa.binary()),
+        pa.array(likeness(strong[a], narrow[a], strong[e], narrow[e]), pa.float64()),
+        pa.array(likeness(strong[a], narrow[a], strong[b], narrow[b]), pa.float64()),
+    ]
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
@@ -149,49 +126,56 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     The edit replaces the last floor(n_chars / 2) code points by the first as many (or all) of the next document's text; after the last document
     comes the first.  Null text counts as empty, null ids come last, rows with equal ids follow one
     another in the order of their texts' hashes.  A lone document is its own successor.
+
+    A range sort deals the documents out, and each partition compares its rows in order.  Its last row's successor is the next partition's first: every
+    partition keeps those two rows, and they meet by a join on the partitions' numbers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # rows (part, last, doc_id, text) of which all but the last have their successor
-        size = 0
-
-        def emit(rows: list[tuple]) -> pa.RecordBatch:
-            """All rows but the last of each part, whose successors are in ``rows``."""
-            texts = [r[3].encode() for r in rows]
-            pairs = [(i, i + 1) for i in range(len(rows) - 1) if rows[i][0] == rows[i + 1][0] and not rows[i][1]]
-            edits, chars = [], []
-            for i, j in pairs:
-                n = len(rows[i][3])
-                chars.append(n)
-                edits.append((rows[i][3][: n - n // 2] + rows[j][3][: n // 2]).encode())
-            strong, narrow = vectors(texts + edits)
-            a, b = np.array([i for i, _ in pairs], np.int64), np.array([j for _, j in pairs], np.int64)
-            e = np.arange(len(rows), len(rows) + len(edits))
-            prints = fingerprint_bytes(strong, narrow)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([rows[i][2] for i in a], pa.int64()),
-                    pa.array(chars, pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in edits], pa.string()),
-                    pa.array([prints[i].hex() for i in a], pa.string()),
-                    pa.array([prints[i].hex() for i in e], pa.string()),
-                    pa.array(likeness(strong[a], narrow[a], strong[e], narrow[e]), pa.float64()),
-                    pa.array(likeness(strong[a], narrow[a], strong[b], narrow[b]), pa.float64()),
-                ],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
+        part = TaskContext.get().partitionId()
+        ids, texts, first, size = [], [], None, 0
+        edge = [pa.int64(), pa.string(), pa.string()]
+        names = [*RESULT, "part", "first_text", "last_text"]
 
+        def emit() -> pa.RecordBatch:
+            n = len(texts) - 1
+            return pa.RecordBatch.from_arrays([*_compared(texts, [(i, i + 1) for i in range(n)], ids), *[pa.nulls(n, kind) for kind in edge]], names=names)
+
+        for batch in batches:
+            for doc_id, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist()):
+                first = text if first is None else first
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text)
+                if size > 2 << 20 and len(texts) > 1:
+                    yield emit()
+                    ids, texts, size = ids[-1:], texts[-1:], len(texts[-1])
+        if len(texts) > 1:
+            yield emit()
+        if texts:
+            nothing = [pa.nulls(1, f) for f in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[-1:], pa.int64()), *nothing, pa.array([part]), pa.array([first], pa.string()), pa.array(texts[-1:], pa.string())], names=names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(column(batch, c).to_pylist() for c in ("part", "last", "doc_id", "text"))):
-                held.append(row)
-                size += len(row[3])
-                if size > 2 << 20 and len(held) > 1:
-                    yield emit(held)
-                    held, size = held[-1:], len(held[-1][3])
-        if len(held) > 1:
-            yield emit(held)
-
-    return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+            for doc_id, text, after in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "last_text", "after"))):
+                yield pa.RecordBatch.from_arrays(_compared([text, after], [(0, 1)], [doc_id]), names=RESULT)
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    order = [F.desc_nulls_last("doc_id"), F.xxhash64("text")]
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = ordered.mapInArrow(run, KINDS + ", part long, first_text string, last_text string")
+    place = new_place(docs.sparkSession, "prints")
+    found.write.option("compression", "zstd").parquet(place)
+    found = docs.sparkSession.read.schema(found.schema).parquet(place)
+    edges = found.where("part IS NOT NULL")
+    parts = edges.select("part")  # a number per partition
+    after = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy(F.lit(0))))
+    ends = edges.select("part", "doc_id", "last_text").join(parts.select("part", after.alias("next")), "part")
+    ends = ends.join(edges.select(F.col("part").alias("next"), F.col("first_text").alias("after")), "next").select("doc_id", "last_text", "after")
+    out = found.where("part IS NULL").select(*RESULT).union(ends.mapInArrow(meet, KINDS))
+    text = lambda name: F.lower(F.hex(name)).alias(name)
+    return out.select("doc_id", "n_chars", text("edited_sha256"), text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
