@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..graph import Graph, pairs
-from ..plans.loop import join_spread, saved
+from ..plans.loop import dense_index, join_spread, saved
 
 
 #: Rows of a star table from which its hubs are dealt over several tasks.
@@ -55,24 +54,49 @@ def is_connected(g: Graph) -> DataFrame:
     return connected_components(g).agg((F.count_distinct("component") <= 1).alias("is_connected"))
 
 
+def _ends_of_chains(inner: DataFrame, n: int) -> DataFrame:
+    """(id, to, low) for ``inner(id, to)``: ``to`` followed until it is no id of the table, in log n rounds; on a circle ``to`` stays an id, and low is the circle's smallest."""
+    f = saved(inner.select("id", "to", F.col("id").alias("low")))
+    for _ in range(max(n, 1).bit_length() + 1):
+        far = f.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
+        f = saved(f.join(far, "to", "left").select("id", F.coalesce("to2", "to").alias("to"), F.least("low", F.coalesce("low2", "low")).alias("low"), F.col("to2").isNotNull().alias("went")))
+        if not f.where("went").limit(1).count():
+            break
+        f = f.drop("went")
+    return f.select("id", "to", "low")
+
+
 def scc(g: Graph) -> DataFrame:
     """(id, component): strong components, named by their smallest member.
 
-    Rounds: vertices without in- or out-edges among the rest are components of their own; of the others, the
-    largest id that reaches a vertex is its colour; what reaches a colour's root inside the colour is one component.
+    Rounds: vertices without in- or out-edges among the rest are components of their own.  Where at least a quarter of the rest has one edge in and one out, chains of them
+    become edges: a chain belongs to a component if both its ends do, and a circle is one.  Of the others, the largest id that
+    reaches a vertex is its colour; what reaches a colour's root inside the colour is one component.
     """
     ids = saved(g.vertices.select("id"))
     edges = saved(g.edges.select("src", "dst"))
-    found = []
+    found, chains = [], []
     while ids.limit(1).count():
-        while True:  # trim
-            keep = edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
-            lone = saved(ids.join(keep, "id", "left_anti"))
-            if not lone.limit(1).count():
+        while True:  # trim and fold
+            into, out = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("i"), F.min("src").alias("a")), edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("o"), F.min("dst").alias("z"))
+            shape = saved(ids.join(into, "id", "left").join(out, "id", "left"))
+            total, lone, thin = shape.agg(F.count("*"), F.count(F.when(F.col("i").isNull() | F.col("o").isNull(), 1)), F.count(F.when((F.col("i") == 1) & (F.col("o") == 1), 1))).first()
+            if thin and 4 * thin >= total:
+                inner = shape.where("i = 1 AND o = 1")
+                back, on = _ends_of_chains(inner.select("id", F.col("a").alias("to")), thin), _ends_of_chains(inner.select("id", F.col("z").alias("to")), thin)
+                both = saved(back.join(on.select("id", F.col("to").alias("z")), "id").join(inner.select(F.col("id").alias("to"), F.lit(True).alias("circle")), "to", "left").select("id", F.col("to").alias("a"), "z", "low", "circle"))
+                found.append(both.where("circle").select("id", F.col("low").alias("root")))
+                chains.append(both.where("circle IS NULL").select("id", "a", "z"))
+                rest = edges.join(both.select(F.col("id").alias("src")), "src", "left_anti").join(both.select(F.col("id").alias("dst")), "dst", "left_anti")
+                edges = saved(rest.union(chains[-1].select(F.col("a").alias("src"), F.col("z").alias("dst"))).where("src <> dst").distinct())
+                ids = saved(ids.join(both.select("id"), "id", "left_anti"))
+                continue
+            if not lone:
                 break
-            found.append(lone.select("id", F.col("id").alias("root")))
-            ids = saved(ids.join(lone, "id", "left_anti"))
-            edges = saved(edges.join(lone, edges.src == lone.id, "left_anti").join(lone, edges.dst == lone.id, "left_anti"))
+            gone = shape.where("i IS NULL OR o IS NULL").select("id")
+            found.append(gone.select("id", F.col("id").alias("root")))
+            ids = saved(ids.join(gone, "id", "left_anti"))
+            edges = saved(edges.join(gone, edges.src == gone.id, "left_anti").join(gone, edges.dst == gone.id, "left_anti"))
         if not ids.limit(1).count():
             break
         color = saved(ids.select("id", F.col("id").alias("color")))
@@ -101,6 +125,9 @@ def scc(g: Graph) -> DataFrame:
     for part in found:
         out = out.union(part)
     out = saved(out)
+    for part in reversed(chains):
+        a, z = out.select(F.col("id").alias("a"), F.col("root").alias("ra")), out.select(F.col("id").alias("z"), F.col("root").alias("rz"))
+        out = saved(out.union(part.join(a, "a").join(z, "z").select("id", F.when(F.col("ra") == F.col("rz"), F.col("ra")).otherwise(F.col("id")))))
     return out.join(out.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
 
 
@@ -123,48 +150,92 @@ def spanning_levels(p: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
         seen = saved(seen.union(front))
 
 
+def _ranked(e: DataFrame, n: int) -> DataFrame:
+    """``e(k, to)`` with d, the number of steps from k to the end of its list: list ranking by pointer jumping, log n rounds (Wyllie 1979)."""
+    e = saved(e.withColumn("d", F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("long")))
+    for _ in range(max(n, 1).bit_length() + 1):
+        far = e.where("d > 0").select(F.col("k").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"))
+        if not e.where("to IS NOT NULL").limit(1).count():
+            break
+        e = saved(e.join(far, "to", "left").select("k", F.col("to2").alias("to"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")))
+    return e.select("k", "d")
+
+
+def euler_tour(forest: DataFrame, home: DataFrame) -> DataFrame:
+    """(id, pred, first, last) of the trees of ``forest(u, v)``, rooted at the smallest member: a vertex's subtree are those with ``first`` between its first and last.
+
+    Every tree is walked around: behind an edge that enters a vertex comes the one that leaves to the next neighbour.  Neighbours are in one range order
+    of all edges, so no vertex's edges are gathered, and places in the walk come from list ranking; rounds go with the logarithm of the size, whatever the depth.
+    ``home(id, component)`` holds the vertices and their trees.  Isolated ones have a first and a last too.
+    """
+    both = forest.select(F.col("u").alias("src"), F.col("v").alias("dst")).union(forest.select("v", "u"))
+    e = saved(dense_index(both, ["src", "dst"], "k"))
+    n = e.count()
+    ends = saved(e.groupBy("src").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n")))
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("k").alias("t"))
+    spread = e.join(back, ["src", "dst"]).select(F.col("dst").alias("at"), "src", "k", "t")
+    walk = join_spread(spread, ends.select(F.col("src").alias("at"), "lo", "hi"), "at", counts=ends.select(F.col("src").alias("at"), "n"))
+    walk = walk.select("k", F.when(F.col("t") < F.col("hi"), F.col("t") + 1).otherwise(F.col("lo")).alias("to"))
+    start = home.where("id = component").join(ends, F.col("id") == F.col("src")).select(F.col("lo").alias("to"), F.lit(True).alias("begins"))
+    walk = walk.join(start, "to", "left").select("k", F.when(F.col("begins").isNull(), F.col("to")).alias("to"))
+    rank = _ranked(walk, n)
+    tree = home.select(F.col("id").alias("src"), "component")
+    placed = e.join(rank, "k").join(tree, "src").select("component", (-F.col("d")).alias("step"), "src", "dst")
+    placed = saved(dense_index(placed, ["component", "step"], "p").select("component", "src", "dst", (2 * F.col("p") + 1).alias("p")))
+    up = placed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("p").alias("q"))
+    down = placed.join(up, ["src", "dst"]).where("p < q").select(F.col("dst").alias("id"), F.col("src").alias("pred"), F.col("p").alias("first"), F.col("q").alias("last"))
+    roots = placed.groupBy("component").agg((F.min("p") - 1).alias("first"), (F.max("p") + 1).alias("last"))
+    own = home.where("id = component").join(roots, "component", "left").select("id", F.lit(None).cast(home.schema["id"].dataType).alias("pred"), F.coalesce("first", F.lit(-1)).cast("long").alias("first"), F.coalesce("last", F.lit(-1)).cast("long").alias("last"))
+    return saved(down.union(own))
+
+
+def _subtree_extremes(tour: DataFrame, values: DataFrame) -> DataFrame:
+    """(id, low, high) of ``values(id, lo, hi)`` over each subtree of an euler_tour(): least lo and greatest hi between its first and last.
+
+    Extremes over stretches of 1, 2, 4, ... places are doubled by joins; a subtree is covered by two stretches of one length.  Roots have no row.
+    """
+    inner = tour.where("pred IS NOT NULL").select("id", ((F.col("first") - 1) / 2).cast("long").alias("a"), ((F.col("last") - 1) / 2).cast("long").alias("z"))
+    inner = saved(inner.withColumn("j", F.floor(F.log2((F.col("z") - F.col("a") + 1).cast("double")) + 1e-12).cast("int")))
+    level = saved(inner.join(values, "id").select(F.col("a").alias("p"), "lo", "hi").union(inner.select(F.col("z").alias("p"), F.lit(None).cast("long"), F.lit(None).cast("long"))))
+    most, out, j = inner.agg(F.max("j")).first()[0], None, 0
+    while most is not None and j <= most:
+        one, two = level.select(F.col("p").alias("a"), F.col("lo").alias("l1"), F.col("hi").alias("h1")), level.select(F.col("p").alias("b"), F.col("lo").alias("l2"), F.col("hi").alias("h2"))
+        own = inner.where(F.col("j") == j).withColumn("b", F.col("z") - (1 << j) + 1).join(one, "a").join(two, "b").select("id", F.least("l1", "l2").alias("low"), F.greatest("h1", "h2").alias("high"))
+        out = own if out is None else out.union(own)
+        after = level.select((F.col("p") - (1 << j)).alias("p"), F.col("lo").alias("l2"), F.col("hi").alias("h2"))
+        level = saved(level.join(after, "p", "left").select("p", F.least("lo", "l2").alias("lo"), F.greatest("hi", "h2").alias("hi")))
+        j += 1
+    return saved(out) if out is not None else values.select("id", F.col("lo").alias("low"), F.col("hi").alias("high")).limit(0)
+
+
 def biconnected(g: Graph) -> DataFrame:
     """(u, v, block): the block of every undirected pair u < v, named by its smallest member pair's child end.
 
-    Tarjan and Vishkin (1985): a breadth-first forest, preorder numbers and subtree sizes by level, the range of
-    preorder numbers that each subtree reaches by other edges, and components of an auxiliary graph on tree edges.
+    Tarjan and Vishkin (1985): a spanning forest, its Euler tour, the range of places in the tour that each subtree reaches by other
+    edges, and components of an auxiliary graph on tree edges.  All rounds go with the logarithm of the size, not with a tree's depth or a vertex's degree.
     """
+    from .trees import minimum_spanning_forest
+
     p = saved(pairs(g))
-    comp = components_of(g.vertices, p.select(F.col("u").alias("src"), F.col("v").alias("dst")))
-    tree, depth = spanning_levels(p, comp.where("id = component").select("id"))
-    size = saved(tree.select("id", "dist", "pred", F.lit(1).alias("size")))
-    for level in range(depth, 0, -1):  # sizes bottom-up
-        up = size.where(F.col("dist") == level).groupBy(F.col("pred").alias("id")).agg(F.sum("size").alias("more"))
-        size = saved(size.join(up, "id", "left").select("id", "dist", "pred", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
-    roots = size.where("dist = 0")
-    order = Window.partitionBy("pred").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    # preorder within a tree; numbers of different trees are compared only inside one tree
-    pre = saved(roots.select("id", "dist", "pred", "size", F.lit(0).cast("long").alias("pre"), F.col("id").alias("tree")))
-    level = pre
-    for d in range(1, depth + 1):
-        kids = size.where(F.col("dist") == d).withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
-        level = saved(kids.join(level.select(F.col("id").alias("pred"), F.col("pre").alias("top"), "tree"), "pred").select("id", "dist", "pred", "size", (F.col("top") + 1 + F.col("before")).alias("pre"), "tree"))
-        pre = pre.union(level)
-    pre = saved(pre)
-    at = lambda name: pre.select(F.col("id").alias(name), F.col("pre").alias(f"pre_{name}"), F.col("pred").alias(f"pred_{name}"), F.col("size").alias(f"size_{name}"))
+    home = saved(components_of(g.vertices, p.select(F.col("u").alias("src"), F.col("v").alias("dst"))))
+    even = p.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(1.0).alias("weight"))
+    pre = euler_tour(minimum_spanning_forest(Graph(g.vertices, even)).select("u", "v"), home)
+    at = lambda name: pre.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("first", "last", "pred")])
     e = p.join(at("u"), "u").join(at("v"), "v")
     is_tree = F.coalesce(F.col("pred_u") == F.col("v"), F.lit(False)) | F.coalesce(F.col("pred_v") == F.col("u"), F.lit(False))
     e = saved(e.withColumn("tree", is_tree))
     rest = e.where("NOT tree")
-    ends = rest.select(F.col("u").alias("id"), F.col("pre_v").alias("x")).union(rest.select("v", "pre_u"))
-    reach = ends.groupBy("id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    low = saved(pre.join(reach, "id", "left").select("id", "dist", "pred", "pre", "size", F.least("pre", F.coalesce("lo", "pre")).alias("low"), F.greatest("pre", F.coalesce("hi", "pre")).alias("high")))
-    for d in range(depth, 0, -1):
-        up = low.where(F.col("dist") == d).groupBy(F.col("pred").alias("id")).agg(F.min("low").alias("l"), F.max("high").alias("h"))
-        low = saved(low.join(up, "id", "left").select("id", "dist", "pred", "pre", "size", F.least("low", F.coalesce("l", "low")).alias("low"), F.greatest("high", F.coalesce("h", "high")).alias("high")))
+    ends = rest.select(F.col("u").alias("id"), F.col("first_v").alias("x")).union(rest.select("v", "first_u")).union(pre.select("id", "first"))
+    low = _subtree_extremes(pre, ends.groupBy("id").agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
     # tree edges are named by their lower end; other edges join the edges of their ends where neither is the other's ancestor
-    apart = rest.where("NOT (pre_u <= pre_v AND pre_v < pre_u + size_u) AND NOT (pre_v <= pre_u AND pre_u < pre_v + size_v)")
+    apart = rest.where("NOT first_v BETWEEN first_u AND last_u AND NOT first_u BETWEEN first_v AND last_v")
     aux = apart.select(F.col("u").alias("src"), F.col("v").alias("dst"))
-    parent = low.select(F.col("id").alias("pid"), F.col("pre").alias("ppre"), F.col("size").alias("psize"), F.col("pred").alias("ppred"))
-    leaves = low.join(parent, low.pred == parent.pid).where("ppred IS NOT NULL AND (low < ppre OR high >= ppre + psize)")
+    parent = pre.select(F.col("id").alias("pid"), F.col("first").alias("pfirst"), F.col("last").alias("plast"), F.col("pred").alias("ppred"))
+    child = pre.select("id", "pred").join(low, "id")
+    leaves = child.join(parent, child.pred == parent.pid).where("ppred IS NOT NULL AND (low < pfirst OR high > plast)")
     aux = aux.union(leaves.select(F.col("id").alias("src"), F.col("pid").alias("dst")))
     blocks = saved(components_of(pre.where("pred IS NOT NULL").select("id"), aux))
-    lower = F.when(F.col("tree"), F.when(F.coalesce(F.col("pred_u") == F.col("v"), F.lit(False)), F.col("u")).otherwise(F.col("v"))).otherwise(F.when(F.col("pre_u") > F.col("pre_v"), F.col("u")).otherwise(F.col("v")))
+    lower = F.when(F.col("tree"), F.when(F.coalesce(F.col("pred_u") == F.col("v"), F.lit(False)), F.col("u")).otherwise(F.col("v"))).otherwise(F.when(F.col("first_u") > F.col("first_v"), F.col("u")).otherwise(F.col("v")))
     return e.withColumn("id", lower).join(blocks, "id").select("u", "v", F.col("component").alias("block"))
 
 
