@@ -74,56 +74,112 @@ def path_to(tree: DataFrame, targets: DataFrame) -> DataFrame:
     return on.groupBy("source", "target").agg(chain.alias("path"))
 
 
-def bellman_ford(g: Graph, sources: DataFrame, bound: DataFrame | None = None) -> tuple[DataFrame, bool]:
-    """((source, id, dist, pred), negative_cycle): shortest weighted distances from sources(id).
+def bellman_ford(g: Graph, sources: DataFrame) -> tuple[DataFrame, bool]:
+    """((source, id, dist, pred), negative_cycle): shortest weighted distances from sources(id), of any sign.
 
-    Only vertices whose distance has changed are relaxed again.  A change in round n means a negative cycle
-    reachable from a source.  ``bound(source, id, best, h)``-like pruning is in shortest_path.
+    Only vertices whose distance has changed are relaxed again, and a round writes only what it has improved; the improvements are folded into one table when
+    there are eight of them.  A change in round n means a negative cycle reachable from a source.
     """
     n = g.vertices.count()
     edges = saved(g.edges)
     kind = g.vertices.schema["id"].dataType
-    state = saved(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("dist"), F.lit(None).cast(kind).alias("pred")))
-    front = state.select("source", "id", "dist")
+    front = saved(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("dist"), F.lit(None).cast(kind).alias("pred")))
+    newest = F.min_by(F.struct("dist", "pred"), F.col("dist")).alias("b")  # distances only fall
+    known, later = front, 0
     for _ in range(n):
         offers = edges.join(front.select("source", F.col("id").alias("src"), "dist"), "src").groupBy("source", F.col("dst").alias("id")).agg(F.min(F.struct((F.col("dist") + F.col("weight")).alias("d"), F.col("src").alias("p"))).alias("o"))
-        if bound is not None:
-            offers = bound(offers, state)
-        merged = state.join(offers, ["source", "id"], "full")
-        better = F.col("o").isNotNull() & (F.col("dist").isNull() | (F.col("o.d") < F.col("dist")))
-        state = saved(merged.select("source", "id", F.when(better, F.col("o.d")).otherwise(F.col("dist")).alias("dist"), F.when(better, F.col("o.p")).otherwise(F.col("pred")).alias("pred"), better.alias("changed")))
-        front = state.where("changed").select("source", "id", "dist")
+        now = known.groupBy("source", "id").agg(F.min("dist").alias("dist"))
+        front = saved(offers.join(now, ["source", "id"], "left").where("dist IS NULL OR o.d < dist").select("source", "id", F.col("o.d").alias("dist"), F.col("o.p").alias("pred")))
         if not front.limit(1).count():
-            return state.drop("changed"), False
-        state = state.drop("changed")
-    return state, True
+            return known.groupBy("source", "id").agg(newest).select("source", "id", "b.*"), False
+        known, later = known.unionByName(front), later + 1
+        if later == 8:
+            known, later = saved(known.groupBy("source", "id").agg(newest).select("source", "id", "b.*")), 0
+    return known.groupBy("source", "id").agg(newest).select("source", "id", "b.*"), True
+
+
+def _bucket_width(edges: DataFrame) -> float:
+    """The least weight above 0, or an eighth of the mean where that is more: then few offers are made twice, and few buckets are empty."""
+    least, mean = edges.where("weight > 0").agg(F.min("weight"), F.avg("weight")).first()
+    return max(least, mean / 8) if least else 1.0
+
+
+def delta_stepping(g: Graph, sources: DataFrame, width: float | None = None, target=None, heuristic: DataFrame | None = None) -> DataFrame:
+    """(source, id, dist, pred) for non-negative weights, by buckets of ``width`` of the distance (Meyer and Sanders 2003).
+
+    Only the bucket with the least open distance is joined to the edges: to the light ones (up to ``width``) until no offer falls into it any more, then, all its vertices at once, to
+    the heavy ones.  What it holds is then settled, and leaves the table of open offers.  pred is the smallest of the vertices on a shortest path just before
+    (among positive weights).  With ``target``, offers that cannot beat its distance (``heuristic(id, h)`` being lower bounds of the way left) are dropped,
+    and the search ends when it is settled.
+    """
+    kind = g.vertices.schema["id"].dataType
+    edges = saved(g.edges.select("src", "dst", "weight"))
+    width = width or _bucket_width(edges)
+    every = edges.where("weight > 0").agg(F.min("weight")).first()[0]
+    zero = edges.where("weight = 0").limit(1).count() > 0
+    light, heavy = edges.where(F.col("weight") <= width), edges.where(F.col("weight") > width)
+    once = not zero and (every is None or every >= width)  # no light edge stays inside a bucket
+    opened = saved(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("dist"), F.lit(None).cast(kind).alias("pred")))
+    settled = opened.limit(0)
+    best = F.min(F.struct("dist", "pred")).alias("b")
+    way = opened.select("id", F.lit(0.0).alias("h")).limit(0) if heuristic is None else heuristic.select("id", "h")
+
+    def offers(rows: DataFrame, over: DataFrame) -> DataFrame:
+        return over.join(rows.select("source", F.col("id").alias("src"), "dist"), "src").select("source", F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("pred"))
+
+    def merged(old: DataFrame, new: DataFrame, done: DataFrame) -> DataFrame:
+        """The least offer of each vertex that is not settled."""
+        own = new.groupBy("source", "id").agg(best).select("source", "id", "b.*").join(done, ["source", "id"], "left_anti")
+        out = old.unionByName(own).groupBy("source", "id").agg(best).select("source", "id", "b.*")
+        if target is not None:
+            goal = out.where(F.col("id") == target).select("source", F.col("dist").alias("goal"))
+            out = out.join(goal, "source", "left").join(way, "id", "left")
+            out = out.where(F.col("goal").isNull() | (F.col("id") == target) | (F.col("dist") + F.coalesce("h", F.lit(0.0)) < F.col("goal"))).select("source", "id", "dist", "pred")
+        return saved(out)
+
+    rounds = 0
+    while (low := opened.agg(F.min("dist")).first()[0]) is not None:
+        top = (low // width + 1) * width
+        top = top if top > low else low + width
+        if once:
+            inside = opened.where(F.col("dist") < top)
+            new, rest = offers(inside, edges), opened.where(F.col("dist") >= top)
+        else:
+            todo = inside = opened.where(F.col("dist") < top)
+            while True:
+                before = opened
+                opened = merged(before, offers(todo, light), settled.select("source", "id"))
+                inside = opened.where(F.col("dist") < top)
+                todo = saved(inside.join(before.where(F.col("dist") < top).select("source", "id", F.col("dist").alias("was")), ["source", "id"], "left").where("was IS NULL OR dist < was").select("source", "id", "dist", "pred"))
+                if not todo.limit(1).count():
+                    break
+            new, rest = offers(inside, heavy), opened.where(F.col("dist") >= top)
+        settled = settled.unionByName(inside)
+        rounds += 1
+        if rounds % 8 == 0:
+            settled = saved(settled)  # the list of parts stays short
+        if target is not None and inside.where(F.col("id") == target).limit(1).count():
+            break
+        opened = merged(rest, new, settled.select("source", "id"))
+    return settled
 
 
 def sssp(g: Graph, sources: DataFrame) -> DataFrame:
     """(source, id, dist, pred) for non-negative weights; a negative weight raises ValueError."""
     if g.edges.where("weight < 0").limit(1).count():
         raise ValueError("negative weights: use bellman_ford")
-    return bellman_ford(g, sources)[0]
+    return delta_stepping(g, sources)
 
 
 def shortest_path(g: Graph, source, target, heuristic: DataFrame | None = None) -> DataFrame:
     """One row source, target, reachable, distance, path.  Offers that cannot beat the target's distance are pruned;
-    heuristic(id, h) holds lower bounds of the way left (default 0)."""
+    heuristic(id, h) holds lower bounds of the way left (default 0).  Of several shortest paths it is that of the smallest vertex before each, from the target back."""
     spark = g.spark
     start = g.vertices.where(F.col("id") == source).select("id")
     goal = g.vertices.where(F.col("id") == target).select("id")
-
-    def bound(offers: DataFrame, state: DataFrame) -> DataFrame:
-        best = state.where(F.col("id") == target).select("source", F.col("dist").alias("best"))
-        out = offers.join(best, "source", "left")
-        if heuristic is not None:
-            out = out.join(heuristic.select("id", "h"), "id", "left")
-        h = F.coalesce("h", F.lit(0.0)) if heuristic is not None else F.lit(0.0)
-        return out.where(F.col("best").isNull() | (F.col("o.d") + h < F.col("best"))).select("source", "id", "o")
-
     if g.edges.where("weight < 0").limit(1).count():
         raise ValueError("negative weights: use bellman_ford")
-    tree = saved(bellman_ford(g, start, bound)[0])
+    tree = saved(delta_stepping(g, start, target=target, heuristic=heuristic))
     found = tree.where(F.col("id") == target).select("source", F.col("dist").alias("distance"))
     one = spark.range(1).select(F.lit(source).alias("source"), F.lit(target).alias("target"))
     return one.join(found, "source", "left").join(path_to(tree, goal).drop("target"), "source", "left").select("source", "target", F.col("distance").isNotNull().alias("reachable"), "distance", "path")
@@ -132,32 +188,73 @@ def shortest_path(g: Graph, source, target, heuristic: DataFrame | None = None)
 def all_pairs(g: Graph, sources: DataFrame | None = None, batch: int = 1000) -> DataFrame:
     """(source, id, dist, pred) for all sources, in batches; the diagonal is 0; a negative cycle raises ValueError."""
     out = None
+    below = g.edges.where("weight < 0").limit(1).count() > 0
     for some in batches(sources if sources is not None else g.vertices.select("id"), batch):
-        part, cycle = bellman_ford(g, some)
+        part, cycle = bellman_ford(g, some) if below else (delta_stepping(g, some), False)
         if cycle:
             raise ValueError("negative cycle")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _followed(f: DataFrame, n: int) -> DataFrame | None:
+    """``f(id, to, b, w)``, level(id) = max(b, level(to) + w), with each ``to`` followed until it has no row of its own; None if some go round in a circle.
+
+    Each round doubles the steps that a row has taken, so a chain of n vertices takes log n rounds.
+    """
+    for _ in range(max(n, 1).bit_length() + 1):
+        far = f.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("b").alias("b2"), F.col("w").alias("w2"))
+        f = saved(f.join(far, "to", "left").select("id", F.coalesce("to2", "to").alias("to"), F.greatest("b", F.coalesce(F.col("b2") + F.col("w"), "b")).alias("b"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"), F.col("to2").isNotNull().alias("went")))
+        if not f.where("went").limit(1).count():
+            return f.drop("went")
+        f = f.drop("went")
+    return None
+
+
 def topological_levels(g: Graph) -> DataFrame | None:
-    """(id, level, pos): rounds in which vertices have no predecessor left, and the order by (level, id); None if there is a cycle."""
-    ids, edges = saved(g.vertices.select("id")), saved(g.edges.select("src", "dst"))
-    done, level = None, 0
+    """(id, level, pos): rounds in which vertices have no predecessor left, and the order by (level, id); None if there is a cycle.
+
+    Vertices without predecessors take their level and leave.  Where at least a quarter of the rest has one predecessor left, those are folded: each is its predecessor's level
+    plus a length, or a known level if that is more, and such functions compose; so paths and trees of any depth go in a logarithm of rounds.
+    """
+    edges = saved(g.edges.select("src", "dst", F.lit(1).cast("long").alias("w")))
+    # the vertices left, the least level that they have by what is done, and how many predecessors are left
+    count = lambda rows: saved(rows.join(edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", "b", F.coalesce("n", F.lit(0)).alias("n")))
+    left = count(g.vertices.select("id", F.lit(0).cast("long").alias("b")))
+    done, folded, rounds = left.select("id", F.col("b").alias("level")).limit(0), [], 0
     while True:
-        free = saved(ids.join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
-        if not free.limit(1).count():
+        total, free, single = left.agg(F.count("*"), F.count(F.when(F.col("n") == 0, 1)), F.count(F.when(F.col("n") == 1, 1))).first()
+        if not total:
             break
-        part = free.select("id", F.lit(level).alias("level"))
-        done = part if done is None else done.union(part)
-        ids = saved(ids.join(free, "id", "left_anti"))
-        edges = saved(edges.join(free.withColumnRenamed("id", "src"), "src", "left_anti"))
-        level += 1
-    if ids.limit(1).count():
-        return None
-    if done is None:
-        done = g.vertices.select("id", F.lit(0).alias("level"))
-    return dense_index(done, ["level", "id"], "pos")
+        if not free and not single:
+            return None
+        if not free or 4 * single >= total:
+            f = edges.join(left.where("n = 1").select(F.col("id").alias("dst"), "b"), "dst").select(F.col("dst").alias("id"), F.col("src").alias("to"), "b", "w") if single else None
+            f = _followed(saved(f), single) if f is not None else None
+            if f is None:
+                return None
+            folded.append(f)
+            over = f.select(F.col("id").alias("src"), "to", "b", F.col("w").alias("w1"))
+            moved = edges.join(f.select(F.col("id").alias("dst")), "dst", "left_anti").join(over, "src", "left")
+            moved = saved(moved.select(F.coalesce("to", "src").alias("src"), "dst", (F.col("w") + F.coalesce("w1", F.lit(0))).alias("w"), (F.col("b") + F.col("w")).alias("c")))
+            edges = saved(moved.groupBy("src", "dst").agg(F.max("w").alias("w")))
+            least = moved.groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("c"))
+            rest = left.join(f.select("id"), "id", "left_anti")
+        else:
+            gone = left.where("n = 0")
+            done = done.union(gone.select("id", "b"))
+            least = edges.join(gone.select(F.col("id").alias("src"), "b"), "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.col("b") + F.col("w")).alias("c"))
+            edges = saved(edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti"))
+            rest = left.where("n > 0")
+        rest = rest.select("id", "b").join(least, "id", "left").select("id", F.greatest("b", F.coalesce("c", "b")).alias("b"))
+        left, rounds = count(rest), rounds + 1
+        if rounds % 16 == 0:
+            done = saved(done)  # the list of parts stays short
+    for f in reversed(folded):
+        done = saved(done)
+        at = done.select(F.col("id").alias("to"), "level")
+        done = done.union(f.join(at, "to").select("id", F.greatest("b", F.col("level") + F.col("w"))))
+    return dense_index(done.select("id", F.col("level").cast("int").alias("level")), ["level", "id"], "pos")
 
 
 def has_cycle(g: Graph, directed: bool = True) -> bool:
