@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph, both_ways, degrees, neighbor_counts, vertex_count
-from ..plans.loop import batches, iterate, saved
+from ..plans import files
+from ..plans.loop import batches, dense_index, iterate, saved
 from .paths import levels
 
 
@@ -84,17 +87,17 @@ def _dependencies(moves: DataFrame, sources: DataFrame) -> tuple[DataFrame, Data
     return done, shares
 
 
-#: Edges up to which a graph is broadcast to the tasks that search from its vertices (16 bytes each); beyond, searches are joins.
+#: Edges up to which every task that searches from vertices reads the whole edge table (16 bytes each); beyond, searches are joins.
 BROADCAST_EDGES = 1_000_000
 
 
-def path_shares(moves: DataFrame, sources: DataFrame, batch: int = 200) -> DataFrame:
+def path_shares(moves: DataFrame, sources: DataFrame, batch: int = 200, few: bool = False) -> DataFrame:
     """(src, dst, share, reached), saved: shortest paths from sources(id) over moves(src, dst), each split evenly among its ties.
 
     A row with ``dst`` has the sum of paths over that edge; rows with null ``dst`` have those through a vertex between their ends and, where it
-    is a source, how many vertices it reaches (itself too).  Sources are dealt over the tasks.
+    is a source, how many vertices it reaches (itself too).  Sources are dealt over the tasks.  ``few`` tells that the edges are known to be within BROADCAST_EDGES.
     """
-    if moves.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES:
+    if few or moves.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES:
         return saved(_share_sums(moves, sources))
     out = None
     for some in batches(sources, batch):
@@ -109,16 +112,17 @@ def path_shares(moves: DataFrame, sources: DataFrame, batch: int = 200) -> DataF
 
 
 def _share_sums(moves: DataFrame, sources: DataFrame) -> DataFrame:
-    """path_shares() of a graph of checked size: every task has the edges and adds up over its sources."""
-    edges = moves.select("src", "dst").toArrow()  # at most BROADCAST_EDGES rows
-    names, code = np.unique(np.concatenate([edges["src"].to_numpy(), edges["dst"].to_numpy()]), return_inverse=True)
-    m = edges.num_rows
-    order = np.argsort(code[:m], kind="stable")
-    tail, head = code[:m][order], code[m:][order]
-    first = np.searchsorted(tail, np.arange(len(names) + 1))
+    """path_shares() of a graph of checked size: every task reads the edges (at most BROADCAST_EDGES rows) from the shared folder and adds up over its sources."""
+    place = files.written(moves.select("src", "dst"), "edges")
     kind = moves.schema["src"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = files.read(place)
+        names, code = np.unique(np.concatenate([edges["src"].to_numpy(), edges["dst"].to_numpy()]), return_inverse=True)
+        m, id_type = edges.num_rows, edges.schema.field("src").type
+        order = np.argsort(code[:m], kind="stable")
+        tail, head = code[:m][order], code[m:][order]
+        first = np.searchsorted(tail, np.arange(len(names) + 1))
         on_edge, inside = np.zeros(m), np.zeros(len(names))
         reached: dict = {}
         for batch in batches:
@@ -152,9 +156,8 @@ def _share_sums(moves: DataFrame, sources: DataFrame) -> DataFrame:
         ends = [*names[head[used]].tolist(), *[None] * (len(within) + len(reached))]
         shares = [*on_edge[used].tolist(), *inside[within].tolist(), *[0.0] * len(reached)]
         counts = [*[None] * (len(used) + len(within)), *reached.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, schema[0]), pa.array(ends, schema[0]), pa.array(shares, pa.float64()), pa.array(counts, pa.int64())], names=["src", "dst", "share", "reached"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(ends, id_type), pa.array(shares, pa.float64()), pa.array(counts, pa.int64())], names=["src", "dst", "share", "reached"])
 
-    schema = [edges.schema.field("src").type]
     parts = int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = sources.select("id").repartition(parts, "id").mapInArrow(run, f"src {kind}, dst {kind}, share double, reached long")
     return rows.groupBy("src", "dst").agg(F.sum("share").alias("share"), F.max("reached").alias("reached"))
@@ -169,6 +172,66 @@ def betweenness_centrality(g: Graph, sources: DataFrame | None = None, batch: in
     return g.vertices.select("id").join(sums, "id", "left").select("id", (F.coalesce("d", F.lit(0.0)) * scale).alias("value"))
 
 
+def _pair_parts(moves: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair, id, part): the part of the shortest paths from s to t that pass id, for pairs(pair, s, t) and vertices between their ends.
+
+    Paths are counted forward, level by level; a pair whose t is found goes no further; parts are handed back over the levels from t.
+    """
+    front = saved(pairs.select("pair", F.col("s").alias("id"), F.lit(1.0).alias("sigma"), "t"))
+    seen, by_level, parts = front.select("pair", "id"), [front], []
+    while True:
+        step = moves.join(front.where("id <> t").withColumnRenamed("id", "src"), "src").groupBy("pair", F.col("dst").alias("id"), "t").agg(F.sum("sigma").alias("sigma"))
+        new = saved(step.join(seen, ["pair", "id"], "left_anti").select("pair", "id", "sigma", "t"))
+        if not new.limit(1).count():
+            break
+        found = new.where("id = t").select("pair")
+        # of a pair that is found, only t itself matters on its level
+        front = new.join(found, "pair", "left_anti").unionByName(new.where("id = t"))
+        seen = saved(seen.union(new.select("pair", "id")))
+        by_level.append(front)
+    low = None
+    for up, at in zip(by_level[-2::-1], by_level[:0:-1]):
+        low = at.where("id = t").select("pair", "id", "sigma", F.lit(1.0).alias("part")).unionByName(low) if low is not None else at.where("id = t").select("pair", "id", "sigma", F.lit(1.0).alias("part"))
+        sent = moves.join(low.withColumnRenamed("id", "dst"), "dst").select("pair", F.col("src").alias("id"), (F.col("part") / F.col("sigma")).alias("each")).groupBy("pair", "id").agg(F.sum("each").alias("each"))
+        low = saved(up.join(sent, ["pair", "id"]).select("pair", "id", "sigma", (F.col("each") * F.col("sigma")).alias("part")))
+        parts.append(low.select("pair", "id", "part"))
+    parts = parts[:-1]  # the last level is that of s
+    out = pairs.select("pair", F.col("s").alias("id"), F.lit(0.0).alias("part")).limit(0)
+    for some in parts:
+        out = out.union(some)
+    return out
+
+
+def sampled_betweenness(g: Graph, epsilon: float = 0.05, delta: float = 0.1, seed: int = 1, first: int = 200) -> DataFrame:
+    """(id, value, epsilon, delta, samples): betweenness from sampled pairs of vertices; with probability 1 - delta every value is within epsilon of betweenness_centrality().
+
+    A pair gives each vertex the part of its shortest paths that pass it.  The sample is doubled until the empirical Bernstein bound (Maurer and Pontil 2009), with the
+    risk divided among the vertices and the rounds, is below epsilon for all vertices.  Searches are joins, so the graph may have any size.
+    """
+    n = g.vertices.count()
+    named = lambda value, r: g.vertices.select("id", value.alias("value"), F.lit(epsilon).alias("epsilon"), F.lit(delta).alias("delta"), F.lit(r).cast("long").alias("samples"))
+    if n < 3:
+        return named(F.lit(0.0), 0)
+    number = saved(dense_index(g.vertices.select("id"), ["id"], "k"))
+    moves = saved(g.edges.select("src", "dst"))
+    scale, totals, r, size = n / (n - 2), None, 0, first
+    for k in itertools.count(1):
+        at = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n))
+        ends = g.spark.range(r, r + size).select(F.col("id").alias("pair"), at.alias("a"), F.pmod(at + 1 + F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(n - 1)), F.lit(n)).alias("b"))
+        ends = ends.join(number.select(F.col("k").alias("a"), F.col("id").alias("s")), "a").join(number.select(F.col("k").alias("b"), F.col("id").alias("t")), "b").select("pair", "s", "t")
+        sums = _pair_parts(moves, saved(ends)).groupBy("id").agg(F.sum("part").alias("s"), F.sum(F.col("part") * F.col("part")).alias("q"))
+        totals = saved(sums if totals is None else totals.union(sums).groupBy("id").agg(F.sum("s").alias("s"), F.sum("q").alias("q")))
+        r += size
+        risk = math.log(4 * n * k * (k + 1) / delta)
+        spread = F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * F.col("s") / r) / (r - 1))
+        worst = totals.agg(F.max(F.sqrt(spread * (2 * risk / r)))).first()[0] or 0.0
+        if scale * (worst + 7 * risk / (3 * (r - 1))) <= epsilon:
+            break
+        size = r
+    sums = totals.select("id", (F.col("s") / r * scale).alias("v"))
+    return named(F.lit(0.0), r).drop("value").join(sums, "id", "left").select("id", F.coalesce("v", F.lit(0.0)).alias("value"), "epsilon", "delta", "samples")
+
+
 def edge_betweenness(g: Graph, batch: int = 200) -> DataFrame:
     """(u, v, value): shortest paths of the undirected view through each pair, each path once."""
     return _pair_shares(path_shares(saved(both_ways(g)), g.vertices.select("id"), batch))

@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from ..graph import Graph, both_ways, degrees, neighbor_counts, pairs
 from ..plans.loop import join_spread, saved
-from .centrality import betweenness_centrality, path_shares
+from .centrality import BROADCAST_EDGES, betweenness_centrality, path_shares
 from .components import components_of
+from .paths import levels
 
 
 def label_propagation(g: Graph, max_iter: int = 50, seed: int = 42) -> DataFrame:
@@ -60,18 +61,57 @@ def modularity(g: Graph, comm: DataFrame, variant: str = "newman") -> DataFrame:
 
 
 def girvan_newman(g: Graph, k: int = 2) -> DataFrame:
-    """(id, component) once there are at least k components, or no pairs: the pair of highest betweenness goes, ties to the smallest (u, v).  k < 1 raises ValueError."""
+    """(id, component) once there are at least k components, or no pairs: the pair of highest betweenness goes, ties to the smallest (u, v).  k < 1 raises ValueError.
+
+    Betweenness is known for every component, and the leading pair of each is kept.  Taking a pair away changes its own component alone: only from that one's
+    vertices paths are searched again.  It has come apart when an end of the pair does not reach all of it, and a search from that end parts it.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
-    both = saved(both_ways(g))
-    while True:
-        shares = path_shares(both, g.vertices.select("id"))
-        per = shares.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), F.col("dst").isNotNull().alias("pair")).agg(F.sum("share").alias("s"), F.sum(1 / F.nullif("reached", F.lit(0))).alias("part"))
-        # every vertex of a component reaches all of it, so the inverses of what they reach add up to 1
-        parts, top = per.agg(F.sum("part"), F.min(F.when(F.col("pair"), F.struct(-F.round(F.col("s") / 2, 9), "u", "v")))).first()
-        if round(parts or 0) >= k or top is None:
-            return components_of(g.vertices, both)
-        both = saved(both.where(~((F.least("src", "dst") == top.u) & (F.greatest("src", "dst") == top.v))))
+    both = both_ways(g)
+    home = saved(components_of(g.vertices, both))
+    both = saved(both.join(home.withColumnRenamed("id", "src"), "src").select("src", "dst", "component"))
+    few = both.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES
+    n = home.agg(F.count_distinct("component")).first()[0]
+    part = F.min(F.when(F.col("dst").isNotNull(), F.struct((-F.round(F.col("share"), 9)).alias("s"), F.col("src").alias("u"), F.col("dst").alias("v"))))
+
+    def paired(shares: DataFrame) -> DataFrame:
+        """Both directions of a pair together, u < v; rows of vertices as they are."""
+        up = F.col("dst").isNull() | (F.col("src") < F.col("dst"))
+        return shares.groupBy(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("dst")).agg((F.sum("share") / 2).alias("share"), F.max("reached").alias("reached"))
+
+    def leading(shares: DataFrame, where: DataFrame) -> DataFrame:
+        """(component, top) of the components of where(id, component) that have pairs."""
+        return shares.join(where.withColumnRenamed("id", "src"), "src").groupBy("component").agg(part.alias("top")).where("top IS NOT NULL")
+
+    tops = saved(leading(paired(path_shares(both.select("src", "dst"), home.select("id"), few=few)), home))
+    changed: dict = {}  # edges and vertices of the components that lost a pair, by name: one a round at most
+    while n < k:
+        best = tops.agg(F.min(F.struct("top.s", "top.u", "top.v", "component"))).first()[0]
+        if best is None:
+            break
+        name, u, v = best.component, best.u, best.v
+        edges, ids = changed.pop(name, None) or (both.where(F.col("component") == name).select("src", "dst"), home.where(F.col("component") == name).select("id"))
+        edges = saved(edges.where(~(F.col("src").isin(u, v) & F.col("dst").isin(u, v))))
+        shares = saved(paired(path_shares(edges, ids, few=few)))
+        reached, size = shares.agg(F.max(F.when((F.col("src") == u) & F.col("dst").isNull(), F.col("reached"))), F.count(F.when(F.col("reached").isNotNull(), 1))).first()
+        if reached == size:
+            changed[name], where = (edges, ids), ids.select("id", F.lit(name).alias("component"))
+        else:
+            side = levels(edges, ids.where(F.col("id") == u)).select("id")
+            sides = [saved(side), saved(ids.join(side, "id", "left_anti"))]
+            where = None
+            for some in sides:
+                own = some.agg(F.min("id")).first()[0]
+                changed[own] = (edges.join(some.withColumnRenamed("id", "src"), "src", "left_semi"), some)
+                labelled = some.select("id", F.lit(own).alias("component"))
+                where = labelled if where is None else where.union(labelled)
+            n += 1
+        tops = saved(tops.where(F.col("component") != name).union(leading(shares, where)))
+    moved = home.limit(0)
+    for name, (_, ids) in changed.items():
+        moved = moved.union(ids.select("id", F.lit(name).alias("component")))
+    return home.join(moved, "id", "left_anti").union(moved)
 
 
 def bridging_ties(g: Graph, comm: DataFrame, variant: str = "edges") -> DataFrame:
@@ -100,20 +140,32 @@ def community_report(comm: DataFrame, top: int = 10, members: int = 8) -> DataFr
     return first.select("component", "size", "first_members", F.greatest(F.col("size") - members, F.lit(0)).alias("more"))
 
 
+def color_refinement(g: Graph, rounds: int = 3) -> DataFrame:
+    """(id, c): a 64-bit colour of each vertex after ``rounds`` of refinement from its degrees; equal colours stand for equal ways to see the neighbourhood.
+
+    A neighbourhood is folded into sums of the 32-bit halves of two hashes of its colours, for in- and out-neighbours apart: a multiset's hash of fixed size,
+    added up before the shuffle, so that a hub costs no more than any vertex.
+    """
+    edges = saved(g.edges.select("src", "dst"))
+    color = saved(degrees(g).select("id", F.xxhash64("in_degree", "out_degree").alias("c")))
+
+    def seen(of: str, at: str, name: str) -> DataFrame:
+        """(id, name): the sums over the neighbours ``of`` of each vertex ``at``."""
+        hashes = [F.xxhash64("c", F.lit(i)) for i in (1, 2)]
+        halves = [half for h in hashes for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+        near = edges.join(color.withColumnRenamed("id", of), of)
+        return near.groupBy(F.col(at).alias("id")).agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(halves)]).select("id", F.struct("s0", "s1", "s2", "s3").alias(name))
+
+    for _ in range(rounds):
+        out, into = seen("dst", "src", "o"), seen("src", "dst", "i")
+        color = saved(color.join(out, "id", "left").join(into, "id", "left").select("id", F.xxhash64("c", "o", "i").alias("c")))
+    return color
+
+
 def wl_compare(a: Graph, b: Graph, rounds: int = 3) -> str:
     """``different`` where vertex counts, edge counts, degrees or colour refinement tell the graphs apart, else ``not distinguished``."""
     if a.vertices.count() != b.vertices.count() or a.edges.count() != b.edges.count():
         return "different"
-
-    def histogram(g: Graph) -> DataFrame:
-        edges = saved(g.edges.select("src", "dst"))
-        color = saved(degrees(g).select("id", F.xxhash64("in_degree", "out_degree").alias("c")))
-        for _ in range(rounds):
-            out = edges.join(color.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("c")).alias("o"))
-            into = edges.join(color.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_list("c")).alias("i"))
-            color = saved(color.join(out, "id", "left").join(into, "id", "left").select("id", F.xxhash64("c", "o", "i").alias("c")))
-        return color.groupBy("c").agg(F.count("*").alias("n"))
-
-    x, y = histogram(a), histogram(b).withColumnRenamed("n", "k")
+    x, y = (color_refinement(g, rounds).groupBy("c").agg(F.count("*").alias(n)) for g, n in ((a, "n"), (b, "k")))
     odd = x.join(y, "c", "full").where("n IS NULL OR k IS NULL OR n <> k").limit(1).count()
     return "different" if odd else "not distinguished"
