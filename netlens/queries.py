@@ -305,12 +305,23 @@ def sql_distances(sources: str, n: int) -> str:
 
 
 _LEV = " SELECT source, id, dist FROM lev"
-on_both("bfs_distances", lambda g: paths.bfs(g, some(g)).select("source", "id", "dist"), sql_levels("e", _SRC, 6) + _LEV, sql_levels("e", _SRC, 14) + _LEV)
+on_both("bfs_distances", lambda g: paths.levels(g.edges.select("src", "dst"), some(g)), sql_levels("e", _SRC, 6) + _LEV, sql_levels("e", _SRC, 14) + _LEV)
 on_both("bfs_order", lambda g: paths.bfs(g, some(g)), sql_order(6), sql_order(14))
 register("reachable", W + ACYCLIC + SHAPE + sql_levels("e", _SRC, 8) + " SELECT source, id FROM lev")(lambda spark, sf: (lambda g: paths.reachable(g, some(g)))(tables.acyclic_graph(spark, sf)))
 register("shortest_distances", W + EDGES + SHAPE + sql_distances(_SRC, 8) + " SELECT source, id, dist FROM d8")(lambda spark, sf: (lambda g: paths.sssp(g, some(g)).select("source", "id", "dist"))(whole(spark, sf)))
 register("trade_distances", W + TRADE + SHAPE + sql_distances("SELECT id FROM v", 8) + " SELECT source, id, dist FROM d8")(lambda spark, sf: paths.all_pairs(tables.trade_graph(spark, sf)).select("source", "id", "dist"))
-register("shortest_path", W + EDGES + SHAPE + sql_distances("SELECT min(id) AS id FROM v", 8) + " SELECT source, id AS target, true AS reachable, dist AS distance FROM d8 WHERE id = (SELECT max(id) FROM v)")(lambda spark, sf: (lambda g, r: paths.shortest_path(g, r[0], r[1]).select("source", "target", "reachable", "distance"))(*(lambda g: (g, g.vertices.agg(F.min("id"), F.max("id")).first()))(whole(spark, sf).saved())))
+_PATH = """, prd AS (SELECT d.id, min(e.src) AS pred FROM d8 d JOIN e ON e.dst = d.id JOIN d8 f ON f.id = e.src AND f.dist + e.weight = d.dist GROUP BY 1),
+ bk AS (SELECT max(id) AS id, CAST(max(id) AS VARCHAR) AS path FROM v UNION ALL SELECT p.pred, p.pred || ',' || bk.path FROM bk JOIN prd p ON p.id = bk.id WHERE bk.id <> (SELECT min(id) FROM v))
+ SELECT source, d.id AS target, true AS reachable, dist AS distance, path FROM d8 d JOIN bk ON bk.id = d.source WHERE d.id = (SELECT max(id) FROM v)"""
+
+
+def first_to_last(g):
+    """The path from the smallest id to the largest, its vertices as text."""
+    a, b = g.vertices.agg(F.min("id"), F.max("id")).first()
+    return paths.shortest_path(g, a, b).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ","))
+
+
+register("shortest_path", W + EDGES + SHAPE + sql_distances("SELECT min(id) AS id FROM v", 8) + _PATH)(lambda spark, sf: first_to_last(whole(spark, sf).saved()))
 register("bellman_ford", W + ACYCLIC.replace("SELECT * FROM e0 WHERE", "SELECT src, dst, weight - 3 AS weight FROM e0 WHERE weight <> 3 AND") + SHAPE + sql_distances("SELECT min(id) AS id FROM v", 60) + " SELECT source, id, dist FROM d60")(lambda spark, sf: (lambda g: paths.bellman_ford(g, g.vertices.agg(F.min("id").alias("id")))[0].select("source", "id", "dist"))(G.graph(tables.acyclic_graph(spark, sf).edges.select("src", "dst", (F.col("weight") - 3).alias("weight")))))
 
 
@@ -344,7 +355,23 @@ def _(spark, sf):
     return components.is_bipartite(G.graph(e))
 
 
-on_both("blocks", components.biconnected)
+def sql_blocks(n: int) -> str:
+    """Two pairs are in one block if no single vertex x parts them: they lie in the same components of the graph without x, for every x."""
+    out = ", m0 AS MATERIALIZED (SELECT x.id AS x, v.id, v.id AS c FROM v x JOIN v ON v.id <> x.id)"
+    for i in range(n):
+        out += f", m{i + 1} AS MATERIALIZED (SELECT m.x, m.id, least(m.c, coalesce(min(k.c), m.c)) AS c FROM m{i} m LEFT JOIN nb ON nb.src = m.id LEFT JOIN m{i} k ON k.x = m.x AND k.id = nb.dst GROUP BY m.x, m.id, m.c)"
+    out += f", sig AS (SELECT u, w, list(m.c ORDER BY m.x) AS s FROM p JOIN m{n} m ON m.id = CASE WHEN m.x = u THEN w ELSE u END GROUP BY 1, 2)"
+    return out + " SELECT u, w AS v, (min((u, w)) OVER (PARTITION BY s))[1] AS block_u, (min((u, w)) OVER (PARTITION BY s))[2] AS block_v FROM sig"
+
+
+def named_blocks(g):
+    """Each pair with the smallest pair of its block."""
+    b = components.biconnected(g)
+    first = b.groupBy("block").agg(F.min(F.struct("u", "v")).alias("f"))
+    return b.join(first, "block").select("u", "v", F.col("f.u").alias("block_u"), F.col("f.v").alias("block_v"))
+
+
+on_both("blocks", named_blocks, sql_blocks(6), sql_blocks(14))
 _BRIDGES = ", far AS (SELECT p.u AS bu, p.w AS bw, p.u AS id FROM p UNION SELECT f.bu, f.bw, nb.dst FROM far f JOIN nb ON nb.src = f.id WHERE NOT (nb.src = f.bu AND nb.dst = f.bw) AND NOT (nb.src = f.bw AND nb.dst = f.bu)) SELECT u, w AS v FROM p WHERE NOT EXISTS (SELECT 1 FROM far f WHERE f.bu = u AND f.bw = w AND f.id = w)"
 on_both("bridges", lambda g: components.bridges(components.biconnected(g)), _BRIDGES, _BRIDGES)
 _CUTS = """, st AS (SELECT src AS cut, min(dst) AS id FROM nb GROUP BY 1), far AS (SELECT cut, id FROM st UNION SELECT f.cut, nb.dst FROM far f JOIN nb ON nb.src = f.id WHERE nb.dst <> f.cut)
@@ -364,25 +391,45 @@ def _(spark, sf):
     return flow.max_flow(g, a, b)[1]
 
 
-def sql_flow_value() -> str:
-    """Every cut that parts the source alone, the sink alone, or one more vertex with either; the least of them is the value where no wider cut is smaller."""
-    ends = ", t AS (SELECT min(id) AS a, max(id) AS b FROM v), side AS (SELECT a AS x, a AS y FROM t UNION SELECT a, id FROM v, t WHERE id <> b UNION SELECT b, b FROM t UNION SELECT b, id FROM v, t WHERE id <> a)"
-    cut = ", cut AS (SELECT x, y, sum(weight) AS c FROM side, t, e WHERE (x = a AND src IN (x, y) AND dst NOT IN (x, y)) OR (x = b AND dst IN (x, y) AND src NOT IN (x, y)) GROUP BY 1, 2)"
-    return W + TRADE + SHAPE + ends + cut + " SELECT min(c) AS value FROM cut"
+_CUT = """, t AS (SELECT min(id) AS a, max(id) AS b FROM v), side AS (SELECT a AS x, a AS y FROM t UNION SELECT a, id FROM v, t WHERE id <> b UNION SELECT b, b FROM t UNION SELECT b, id FROM v, t WHERE id <> a),
+ cut AS (SELECT x, y, sum(weight) AS c FROM side, t, e WHERE (x = a AND src IN (x, y) AND dst NOT IN (x, y)) OR (x = b AND dst IN (x, y) AND src NOT IN (x, y)) GROUP BY 1, 2), best AS (SELECT min(c) AS value FROM cut)"""
+
+
+def ends(g):
+    return g.vertices.agg(F.min("id"), F.max("id")).first()
 
 
-@register("max_flow_value", sql_flow_value())
+# Every cut that parts the source alone, the sink alone, or one more vertex with either; the least of them is the value where no wider cut is smaller.
+@register("max_flow_value", W + TRADE + SHAPE + _CUT + " SELECT value FROM best")
 def _(spark, sf):
     g = tables.trade_graph(spark, sf).saved()
-    a, b = g.vertices.agg(F.min("id"), F.max("id")).first()
-    return spark.createDataFrame([(float(flow.max_flow(g, a, b)[0]),)], "value double")
+    return spark.createDataFrame([(float(flow.max_flow(g, *ends(g))[0]),)], "value double")
 
 
 @register("min_cut")
 def _(spark, sf):
     g = tables.trade_graph(spark, sf).saved()
-    a, b = g.vertices.agg(F.min("id"), F.max("id")).first()
-    return flow.min_cut(g, a, b)[1]
+    return flow.min_cut(g, *ends(g))[1]
+
+
+@register("flow_balance", W + EDGES + SHAPE + _CUT + " SELECT id, round(CASE id WHEN a THEN -value WHEN b THEN value ELSE 0.0 END, 6) AS balance, CAST(0 AS BIGINT) AS overfull FROM v, t, best")
+def _(spark, sf):
+    """Of a maximum flow over all pairs: what comes in less what goes out, and edges with more flow than weight, at each vertex."""
+    g = whole(spark, sf).saved()
+    used = flow.max_flow(g, *ends(g))[1].join(g.edges, ["src", "dst"])
+    over = (F.col("flow") > F.col("weight") + 1e-9).cast("long")
+    per = used.select(F.col("src").alias("id"), (-F.col("flow")).alias("x"), over.alias("o")).union(used.select("dst", "flow", F.lit(0).cast("long"))).groupBy("id").agg(F.sum("x").alias("x"), F.sum("o").alias("o"))
+    zero = F.lit(0).cast("long")
+    return g.vertices.select("id").join(per, "id", "left").select("id", (F.round(F.coalesce("x", F.lit(0.0)), 6) + 0.0).alias("balance"), F.coalesce("o", zero).alias("overfull"))
+
+
+@register("cut_capacity", W + EDGES + SHAPE + _CUT + " SELECT value, value AS across FROM best")
+def _(spark, sf):
+    """Of a minimum cut over all pairs: its value, and the weight of the edges from the source's side to the other."""
+    g = whole(spark, sf).saved()
+    value, side = flow.min_cut(g, *ends(g))
+    a, b = side.select(F.col("id").alias("src"), F.col("source_side").alias("sa")), side.select(F.col("id").alias("dst"), F.col("source_side").alias("sb"))
+    return g.edges.join(a, "src").join(b, "dst").where("sa AND NOT sb").agg(F.lit(float(value)).alias("value"), F.sum("weight").alias("across"))
 
 
 # ---------------------------------------------------------------- centralities
@@ -451,8 +498,29 @@ def _edge_shares(depth: int) -> str:
     return out + " SELECT least(id, dst) AS u, greatest(id, dst) AS v, round(sum(share) / 2, 6) AS value FROM (" + " UNION ALL ".join(f"SELECT * FROM s{d}" for d in range(depth)) + ") GROUP BY 1, 2"
 
 
+@register("approximate_betweenness", W + EDGES + SHAPE + " SELECT id, true AS within FROM v")
+def _(spark, sf):
+    """Whether the sampled value of each vertex is as close to the exact one as it says."""
+    g = whole(spark, sf).saved()
+    exact = centrality.betweenness_centrality(g).withColumnRenamed("value", "exact")
+    return centrality.sampled_betweenness(g, 0.05).join(exact, "id").select("id", (F.abs(F.col("value") - F.col("exact")) <= F.col("epsilon")).alias("within"))
+
+
 on_both("edge_betweenness", lambda g: centrality.edge_betweenness(g).select("u", "v", r6("value")), _edge_shares(4), _edge_shares(14))
 on_both("label_propagation", communities.label_propagation)
+
+
+def sql_colors(rounds: int) -> str:
+    """Colour refinement with lists of neighbours' colours in full."""
+    out = ", c0 AS MATERIALIZED (SELECT id, dense_rank() OVER (ORDER BY in_degree, out_degree) AS c FROM deg)"
+    for i in range(rounds):
+        near = lambda at, of: f"SELECT {at} AS id, list_sort(list(c)) AS l FROM e JOIN c{i} ON c{i}.id = {of} GROUP BY 1"  # noqa: B023, E731
+        out += f", c{i + 1} AS MATERIALIZED (SELECT c{i}.id, dense_rank() OVER (ORDER BY c, o.l, n.l) AS c FROM c{i} LEFT JOIN ({near('src', 'dst')}) o ON o.id = c{i}.id LEFT JOIN ({near('dst', 'src')}) n ON n.id = c{i}.id)"
+    return out + f" SELECT size, count(*) AS classes FROM (SELECT count(*) AS size FROM c{rounds} GROUP BY c) GROUP BY 1"
+
+
+for _n in (0, 1, 3):
+    on_both(f"color_classes_{_n}", lambda g, n=_n: communities.color_refinement(g, n).groupBy("c").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("classes")), sql_colors(_n), sql_colors(_n))
 on_both("approximate_reach", lambda g: centrality.approximate_reach(g, 4))
 register("full_analysis")(lambda spark, sf: report.full_analysis(whole(spark, sf), "all"))
 register("frequent_full_analysis")(lambda spark, sf: report.full_analysis(tables.frequent_graph(spark, sf), "frequent"))
@@ -464,6 +532,11 @@ def _(spark, sf):
     return communities.girvan_newman(g, components.connected_components(g).agg(F.count_distinct("component")).first()[0] + 1)
 
 
+@register("girvan_newman_all", None)
+def _(spark, sf):
+    return communities.girvan_newman(whole(spark, sf), 2)
+
+
 @register("compare_graphs", None)
 def _(spark, sf):
     a, b = tables.all_pairs_graph(spark, sf), tables.frequent_graph(spark, sf)
