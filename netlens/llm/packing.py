@@ -94,13 +94,14 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits =
 
     A document is its ids by the tokenizers library for the whole text (null: empty; an added token's string gets its id),
     then ``end_id``; all its tokens bear loss, or the last ``loss_tokens`` where docs has such a long column.
+    Where docs has a string column ``prompt``, an item is the ids of its prompt, those of its text and ``end_id``, each encoded by itself, and what follows the prompt bears loss.
     Returns one row per piece: doc_id, start, length, ids (binary, little-endian unsigned
     32-bit), doc_tokens, sequence_id (partition * 2**33 + number), offset.  Repeated and null
-    doc_ids are packed as any row; an empty table gives no rows; other columns are ignored.
+    doc_ids (of any type) are packed as any row; an empty table gives no rows; other columns are ignored.
     ``memo`` bounds the encoder's memory per Python worker.
     """
-    with_loss = "loss_tokens" in docs.columns
-    docs = docs.select("doc_id", "text", *(["loss_tokens"] if with_loss else []))
+    with_loss, with_prompt = "loss_tokens" in docs.columns, "prompt" in docs.columns
+    docs = docs.select("doc_id", "text", *(["loss_tokens"] if with_loss else []), *(["prompt"] if with_prompt else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, number = TaskContext.get().partitionId() << 33, 0
@@ -119,16 +120,23 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits =
                     offset += n
                 number += 1
             held, n_held = [], 0
-            kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
+            kinds = [id_kind] + [pa.int64()] * 2 + [pa.binary()] + [pa.int64()] * 3
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
             losses = column(batch, "loss_tokens").to_pylist() if with_loss else [None] * batch.num_rows
-            doc_ids = column(batch, "doc_id").to_pylist()
+            doc_ids, id_kind = column(batch, "doc_id").to_pylist(), column(batch, "doc_id").type
+            fronts: list[bytes] = []
+            if with_prompt:
+                for _, ids, bounds in encoder(tokenizer_path, memo).encode(text_column(batch, "prompt")):
+                    fronts += [ids[a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
             for at, ids, bounds in encoder(tokenizer_path, memo).encode(text_column(batch, "text")):
                 ids, bounds = with_end(ids, bounds, end_id)
                 for i in range(len(bounds) - 1):
                     own = ids[bounds[i] : bounds[i + 1]].tobytes()
+                    if with_prompt:
+                        losses[at + i] = len(own) // 4
+                        own = fronts[at + i] + own
                     held.append((doc_ids[at + i], own, losses[at + i]))
                     n_held += len(own)
                     if len(held) >= limits.block or n_held > 16 << 20:
@@ -137,7 +145,36 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits =
             yield emit()
         release()
 
-    return docs.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+
+
+#: Limits of instruction data, where all three bind: replies of few tokens fill a sequence's segments, long ones its loss-bearing tokens.
+INSTRUCTION = Limits(tokens=2048, segments=12, loss=1024, block=1024, cut=False)
+
+
+def instruction_items(turns: DataFrame) -> DataFrame:
+    """(doc_id: struct of conv_id and turn, prompt, text) of ``turns(conv_id, turn, role, text)``: each turn in exactly one item.
+
+    A turn of ``assistant`` bears loss and takes the turn before it as its prompt, unless that is the assistant's too; any other turn that gets no reply is an item that is all
+    prompt (only its end id bears loss).  Null texts are empty; of several rows with one conv_id and turn, the one with the smallest text is the prompt.
+    """
+    turns = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    mine = F.col("role") == "assistant"
+    asked = turns.where(~mine).groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("prompt"))
+    replied = turns.where(mine).select("conv_id", (F.col("turn") - 1).alias("turn")).distinct()
+    key = F.struct("conv_id", "turn").alias("doc_id")
+    replies = turns.where(mine).join(asked, ["conv_id", "turn"], "left").select(key, F.coalesce("prompt", F.lit("")).alias("prompt"), "text")
+    others = turns.where(~mine).join(replied, ["conv_id", "turn"], "left_anti").select(key, F.col("text").alias("prompt"), F.lit("").alias("text"))
+    return replies.union(others)
+
+
+def conversations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations packed as instruction data: a row per piece of an item."""
+    import public_tokenizers
+
+    items = instruction_items(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    packed = pack(items, public_tokenizers.path("byte_bpe_50k.json"), limits=INSTRUCTION)
+    return packed.select("doc_id.conv_id", "doc_id.turn", "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("doc_tokens").alias("item_tokens"), "sequence_id", "offset")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

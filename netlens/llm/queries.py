@@ -19,6 +19,7 @@ QUERIES = {
     "op12_mixing": mixing.query,
     "op13_phrases": phrases.query,
     "page_language": language.pages_query,
+    "packed_conversations": packing.conversations_query,
 }
 
 
