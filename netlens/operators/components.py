@@ -202,8 +202,9 @@ def _subtree_extremes(tour: DataFrame, values: DataFrame) -> DataFrame:
         one, two = level.select(F.col("p").alias("a"), F.col("lo").alias("l1"), F.col("hi").alias("h1")), level.select(F.col("p").alias("b"), F.col("lo").alias("l2"), F.col("hi").alias("h2"))
         own = inner.where(F.col("j") == j).withColumn("b", F.col("z") - (1 << j) + 1).join(one, "a").join(two, "b").select("id", F.least("l1", "l2").alias("low"), F.greatest("h1", "h2").alias("high"))
         out = own if out is None else out.union(own)
-        after = level.select((F.col("p") - (1 << j)).alias("p"), F.col("lo").alias("l2"), F.col("hi").alias("h2"))
-        level = saved(level.join(after, "p", "left").select("p", F.least("lo", "l2").alias("lo"), F.greatest("hi", "h2").alias("hi")))
+        # by a grouping: joins of a table with itself, round after round, would double what the optimizer knows of its columns
+        both = level.union(level.select(F.col("p") - (1 << j), "lo", "hi").where(F.col("p") >= (1 << j)))
+        level = saved(both.groupBy("p").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
         j += 1
     return saved(out) if out is not None else values.select("id", F.col("lo").alias("low"), F.col("hi").alias("high")).limit(0)
 
@@ -216,10 +217,10 @@ def biconnected(g: Graph) -> DataFrame:
     """
     from .trees import minimum_spanning_forest
 
-    p = saved(pairs(g))
-    home = saved(components_of(g.vertices, p.select(F.col("u").alias("src"), F.col("v").alias("dst"))))
+    p, ids = saved(pairs(g)), saved(g.vertices.select("id"))
+    home = saved(components_of(ids, p.select(F.col("u").alias("src"), F.col("v").alias("dst"))))
     even = p.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(1.0).alias("weight"))
-    pre = euler_tour(minimum_spanning_forest(Graph(g.vertices, even)).select("u", "v"), home)
+    pre = euler_tour(minimum_spanning_forest(Graph(ids, even)).select("u", "v"), home)
     at = lambda name: pre.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("first", "last", "pred")])
     e = p.join(at("u"), "u").join(at("v"), "v")
     is_tree = F.coalesce(F.col("pred_u") == F.col("v"), F.lit(False)) | F.coalesce(F.col("pred_v") == F.col("u"), F.lit(False))
