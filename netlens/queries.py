@@ -360,7 +360,7 @@ def sql_blocks(n: int) -> str:
     out = ", m0 AS MATERIALIZED (SELECT x.id AS x, v.id, v.id AS c FROM v x JOIN v ON v.id <> x.id)"
     for i in range(n):
         out += f", m{i + 1} AS MATERIALIZED (SELECT m.x, m.id, least(m.c, coalesce(min(k.c), m.c)) AS c FROM m{i} m LEFT JOIN nb ON nb.src = m.id LEFT JOIN m{i} k ON k.x = m.x AND k.id = nb.dst GROUP BY m.x, m.id, m.c)"
-    out += f", sig AS (SELECT u, w, list(m.c ORDER BY m.x) AS s FROM p JOIN m{n} m ON m.id = CASE WHEN m.x = u THEN w ELSE u END GROUP BY 1, 2)"
+    out += f", side AS (SELECT u, w, m.x, m.c FROM p JOIN m{n} m ON m.id = u UNION ALL SELECT u, w, m.x, m.c FROM p JOIN m{n} m ON m.id = w AND m.x = u), sig AS MATERIALIZED (SELECT u, w, string_agg(c || '', ',' ORDER BY x) AS s FROM side GROUP BY 1, 2)"
     return out + " SELECT u, w AS v, (min((u, w)) OVER (PARTITION BY s))[1] AS block_u, (min((u, w)) OVER (PARTITION BY s))[2] AS block_v FROM sig"
 
 
