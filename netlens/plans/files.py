@@ -19,7 +19,12 @@ def written(df: DataFrame, name: str) -> str:
     return place
 
 
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """(file system, path in it) of a URI or an absolute local path."""
+    return (fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+
+
 def read(place: str) -> pa.Table:
     """The table of a folder that written() made, inside a task."""
-    where, path = (fs.LocalFileSystem(), "/" + place[5:].lstrip("/")) if place.startswith("file:") else fs.FileSystem.from_uri(place)
+    where, path = filesystem(place)
     return ds.dataset(path, filesystem=where, format="parquet").to_table()

@@ -111,8 +111,7 @@ def test_streams_equal_batches(spark, tmp_path):
     q.awaitTermination()
     batch = spark.read.schema(schema).option("multiLine", True).json(str(tmp_path / "x_part_*.json"))
     want = {tuple(r) for r in build.weighted_graph(batch).edges.collect()}
-    last = max(int(p.name) for p in (tmp_path / "weights").iterdir())
-    assert {tuple(r) for r in spark.read.parquet(f"{out}/{last}").select("src", "dst", "weight").collect()} == want
+    assert {tuple(r) for r in stream.merged_weights(spark, out).collect()} == want
     once = stream.stream_dedupe(source, delay="1000 days").writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     once.awaitTermination()
     assert spark.table("once").count() == 40
