@@ -182,5 +182,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    packed = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    packed = pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
