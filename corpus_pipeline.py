@@ -66,7 +66,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text is its end id alone; null and repeated ids are packed as any row.
     """
     # workers outlive a stage, so the memo stays small beside what the other stages hold
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), memo=100_000)
+    return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), memo=100_000)
 
 
 STAGES = [
