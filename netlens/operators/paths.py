@@ -120,7 +120,7 @@ def delta_stepping(g: Graph, sources: DataFrame, width: float | None = None, tar
     light, heavy = edges.where(F.col("weight") <= width), edges.where(F.col("weight") > width)
     once = not zero and (every is None or every >= width)  # no light edge stays inside a bucket
     opened = saved(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("dist"), F.lit(None).cast(kind).alias("pred")))
-    settled = opened.limit(0)
+    settled = None
     best = F.min(F.struct("dist", "pred")).alias("b")
     way = opened.select("id", F.lit(0.0).alias("h")).limit(0) if heuristic is None else heuristic.select("id", "h")
 
@@ -129,7 +129,8 @@ def delta_stepping(g: Graph, sources: DataFrame, width: float | None = None, tar
 
     def merged(old: DataFrame, new: DataFrame, done: DataFrame) -> DataFrame:
         """The least offer of each vertex that is not settled."""
-        own = new.groupBy("source", "id").agg(best).select("source", "id", "b.*").join(done, ["source", "id"], "left_anti")
+        own = new.groupBy("source", "id").agg(best).select("source", "id", "b.*")
+        own = own if done is None else own.join(done.select("source", "id"), ["source", "id"], "left_anti")
         out = old.unionByName(own).groupBy("source", "id").agg(best).select("source", "id", "b.*")
         if target is not None:
             goal = out.where(F.col("id") == target).select("source", F.col("dist").alias("goal"))
@@ -148,20 +149,20 @@ def delta_stepping(g: Graph, sources: DataFrame, width: float | None = None, tar
             todo = inside = opened.where(F.col("dist") < top)
             while True:
                 before = opened
-                opened = merged(before, offers(todo, light), settled.select("source", "id"))
+                opened = merged(before, offers(todo, light), settled)
                 inside = opened.where(F.col("dist") < top)
                 todo = saved(inside.join(before.where(F.col("dist") < top).select("source", "id", F.col("dist").alias("was")), ["source", "id"], "left").where("was IS NULL OR dist < was").select("source", "id", "dist", "pred"))
                 if not todo.limit(1).count():
                     break
             new, rest = offers(inside, heavy), opened.where(F.col("dist") >= top)
-        settled = settled.unionByName(inside)
+        settled = inside if settled is None else settled.unionByName(inside)
         rounds += 1
         if rounds % 8 == 0:
             settled = saved(settled)  # the list of parts stays short
         if target is not None and inside.where(F.col("id") == target).limit(1).count():
             break
-        opened = merged(rest, new, settled.select("source", "id"))
-    return settled
+        opened = merged(rest, new, settled)
+    return opened if settled is None else settled
 
 
 def sssp(g: Graph, sources: DataFrame) -> DataFrame:
@@ -221,7 +222,7 @@ def topological_levels(g: Graph) -> DataFrame | None:
     # the vertices left, the least level that they have by what is done, and how many predecessors are left
     count = lambda rows: saved(rows.join(edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", "b", F.coalesce("n", F.lit(0)).alias("n")))
     left = count(g.vertices.select("id", F.lit(0).cast("long").alias("b")))
-    done, folded, rounds = left.select("id", F.col("b").alias("level")).limit(0), [], 0
+    done, folded, rounds = None, [], 0
     while True:
         total, free, single = left.agg(F.count("*"), F.count(F.when(F.col("n") == 0, 1)), F.count(F.when(F.col("n") == 1, 1))).first()
         if not total:
@@ -242,14 +243,16 @@ def topological_levels(g: Graph) -> DataFrame | None:
             rest = left.join(f.select("id"), "id", "left_anti")
         else:
             gone = left.where("n = 0")
-            done = done.union(gone.select("id", "b"))
+            now = gone.select("id", F.col("b").alias("level"))
+            done = now if done is None else done.union(now)
             least = edges.join(gone.select(F.col("id").alias("src"), "b"), "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.col("b") + F.col("w")).alias("c"))
             edges = saved(edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti"))
             rest = left.where("n > 0")
         rest = rest.select("id", "b").join(least, "id", "left").select("id", F.greatest("b", F.coalesce("c", "b")).alias("b"))
         left, rounds = count(rest), rounds + 1
-        if rounds % 16 == 0:
+        if rounds % 16 == 0 and done is not None:
             done = saved(done)  # the list of parts stays short
+    done = left.select("id", F.col("b").alias("level")) if done is None else done  # no vertices
     for f in reversed(folded):
         done = saved(done)
         at = done.select(F.col("id").alias("to"), "level")
