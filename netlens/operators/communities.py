@@ -108,9 +108,13 @@ def girvan_newman(g: Graph, k: int = 2) -> DataFrame:
                 where = labelled if where is None else where.union(labelled)
             n += 1
         tops = saved(tops.where(F.col("component") != name).union(leading(shares, where)))
-    moved = home.limit(0)
+    if not changed:
+        return home
+    moved = None
     for name, (_, ids) in changed.items():
-        moved = moved.union(ids.select("id", F.lit(name).alias("component")))
+        own = ids.select("id", F.lit(name).alias("component"))
+        moved = own if moved is None else moved.union(own)
+    moved = saved(moved)
     return home.join(moved, "id", "left_anti").union(moved)
 
 
