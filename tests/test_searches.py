@@ -66,3 +66,18 @@ def test_jobs_do_not_go_with_the_levels(spark):
 def test_components_enough_need_no_search(spark, sparse, monkeypatch):
     monkeypatch.setattr(communities, "path_shares", None)
     assert {r.component for r in communities.girvan_newman(sparse, 2).collect()} >= {0}
+
+
+@pytest.mark.parametrize("step", [1 << 20, 3])
+def test_triangles_in_tasks_equal_joins(spark, monkeypatch, step):
+    """Random pairs and a hub; no row per pair of a vertex's pairs is shuffled."""
+    rng = random.Random(7)
+    edges = {(rng.randrange(25), rng.randrange(25)) for _ in range(160)} | {(30, i) for i in range(25)}
+    g = G.graph(spark.createDataFrame(sorted(e for e in edges if e[0] != e[1]), "src long, dst long"), spark.createDataFrame([(i,) for i in range(33)], "id long")).saved()
+    found = lambda: [rows(f(g)) for f in (structure.triangles, structure.triangle_counts, structure.clustering, lambda g: structure.clustering(g, "directed"), structure.transitivity)]
+    monkeypatch.setattr(searches, "STEP", step)
+    tasks = found()
+    near = {frozenset(e) for e in edges if e[0] != e[1]}
+    assert tasks[0] == [(sum(frozenset(x) in near and frozenset(y) in near and frozenset(z) in near for a in range(31) for b in range(a) for c in range(b) for x, y, z in [((a, b), (a, c), (b, c))]),)]
+    monkeypatch.setattr(searches, "EDGES", 0)
+    assert tasks == found()
