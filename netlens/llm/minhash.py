@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.loop import join_spread
 from .common import column, components, filesystem, new_place, slices, staged, text_column
@@ -45,7 +45,7 @@ SKETCH_BASE, RATE, TOP = 1.001, 20.0, 65535
 COUNTERS = 1 << 20
 #: Rounds in which those who share a rare shingle are compared with up to CENTRES of them; that settles all but larger gatherings.
 ROUNDS, CENTRES = 2, 16
-#: Members and bytes of sets in a block at most (a larger set is a block of its own), and members compared at once.
+#: Members and bytes of sets in a block at most (and the bytes of one more set), and members compared at once.
 BLOCK, BLOCK_BYTES, TILE = 2048, 8 << 20, 512
 
 
@@ -282,19 +282,16 @@ def linked_blocks(members: DataFrame, sets: DataFrame, similarity: float) -> Dat
     reps = members.groupBy("rep").agg(F.min("token").alias("key"), F.min("label").alias("label")).join(near.withColumnRenamed("id", "rep"), "rep", "left")
     ordered = reps.join(sets.select("rep", "n"), "rep").select(F.coalesce("component", "rep").alias("component"), "key", "rep", "label", "n")
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, size = TaskContext.get().partitionId() << 32, 0, 0
-        for batch in batches:
-            out = []
-            for n in column(batch, "n").to_pylist():
-                if held and (held >= most or size + 8 * n > most_bytes):
-                    block, held, size = block + 1, 0, 0
-                held, size = held + 1, size + 8 * n
-                out.append(block)
-            yield pa.RecordBatch.from_arrays([column(batch, "rep"), column(batch, "label"), pa.array(out, pa.int64())], names=["rep", "label", "block"])
-
-    ordered = ordered.repartitionByRange("component", "key", "rep").sortWithinPartitions("component", "key", "rep")
-    placed = staged(ordered.mapInArrow(number, "rep long, label long, block long"), "placed")
+    # blocks go on across partitions, so their number goes with the members and their bytes alone
+    order = ["component", "key", "rep"]
+    ordered = staged(ordered.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ordered")
+    upto = Window.partitionBy("part").orderBy(*order)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ordered.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n").alias("held"))  # a row a partition
+    base = base.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("held"))
+    at = ordered.withColumn("i", F.row_number().over(upto) - 1).withColumn("b", F.sum("n").over(upto) - F.col("n")).join(F.broadcast(base), "part")
+    block = F.floor((F.col("rows") + F.col("i")) / most) + F.floor(8 * (F.col("held") + F.col("b")) / most_bytes)  # both only grow, so equal sums are equal parts
+    placed = staged(at.select("rep", "label", block.cast("long").alias("block")), "placed")
     place = new_place(spark, "blocks")
     placed.join(sets, "rep").repartition("block").write.partitionBy("block").parquet(place)
     # tokens that meet in the same blocks count once

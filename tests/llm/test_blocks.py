@@ -37,3 +37,31 @@ def test_long_near_copies_below_the_similarity(spark, monkeypatch, words, n):
     new = [x for x in os.listdir(top) if x not in before]
     written = {kind: sum(size(f"{top}/{x}") for x in new if x.startswith(kind)) for kind in ("sets-", "blocks-")}
     assert written["blocks-"] > 0 and written["blocks-"] <= 1.5 * written["sets-"]
+
+
+def test_blocks_do_not_go_with_the_partitions(spark, monkeypatch):
+    """Few members are one block, whatever the partitions that order them; each partition began blocks of its own, and all met all."""
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in rng.sample(range(400), 8):
+            w[k] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    rows.append((60, rows[7][1] + " tail of it"))
+    top = re.sub("^file:/+", "/", checkpoint_dir(spark))
+    before = set(os.listdir(top))
+    names = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.85).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got[60] == got[7]
+    blocks = [b for x in os.listdir(top) if x not in before and x.startswith("blocks-") for b in os.listdir(f"{top}/{x}") if b.startswith("block=")]
+    assert len(blocks) == 1
