@@ -7,6 +7,7 @@ import pytest
 from netlens import graph as G
 from netlens.operators import centrality, communities, paths, structure
 from netlens.plans import searches
+from netlens.plans.loop import dense_index
 
 
 def rows(df):
@@ -81,3 +82,20 @@ def test_triangles_in_tasks_equal_joins(spark, monkeypatch, step):
     assert tasks[0] == [(sum(frozenset(x) in near and frozenset(y) in near and frozenset(z) in near for a in range(31) for b in range(a) for c in range(b) for x, y, z in [((a, b), (a, c), (b, c))]),)]
     monkeypatch.setattr(searches, "EDGES", 0)
     assert tasks == found()
+
+
+@pytest.mark.parametrize("part", [100_000, 30])
+def test_labels_in_tasks_equal_joins(spark, sparse, monkeypatch, part):
+    """The rounds shuffle nothing, and a round is three small jobs."""
+    monkeypatch.setattr(communities, "PART", part)
+    joins = rows(communities._labels_by_joins(sparse.vertices.select("id"), G.both_ways(sparse), 50, 42))
+    names = {r.k: r.id for r in dense_index(sparse.vertices.select("id"), ["id"], "k").collect()}
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"labels-{part}", "")
+    tasks = [(i, names[l]) for i, l in rows(communities._labels_in_tasks(sparse.vertices.select("id"), G.both_ways(sparse), 50, 42))]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks == joins and len(tracker.getJobIdsForGroup(f"labels-{part}")) < 60
+    found = rows(communities.label_propagation(sparse))
+    monkeypatch.setattr(searches, "VERTICES", 0)
+    assert found == rows(communities.label_propagation(sparse))
+    assert not communities.label_propagation(G.graph(sparse.edges.limit(0))).count()
