@@ -5,7 +5,7 @@ import random
 import pytest
 
 from netlens import graph as G
-from netlens.operators import centrality, communities, paths, structure
+from netlens.operators import centrality, communities, paths, structure, trees
 from netlens.plans import searches
 from netlens.plans.loop import dense_index
 
@@ -99,3 +99,22 @@ def test_labels_in_tasks_equal_joins(spark, sparse, monkeypatch, part):
     monkeypatch.setattr(searches, "VERTICES", 0)
     assert found == rows(communities.label_propagation(sparse))
     assert not communities.label_propagation(G.graph(sparse.edges.limit(0))).count()
+
+
+def test_forest_rounds_work_on_what_is_left(spark, monkeypatch):
+    """A grid of distinct weights against Kruskal; a round after the first looks at no more pairs than components have between them."""
+    rng = random.Random(3)
+    edges = [(10 * i + j, 10 * x + y, float(rng.randrange(1, 9))) for i in range(10) for j in range(10) for x, y in ((i + 1, j), (i, j + 1)) if x < 10 and y < 10]
+    edges += [(200, 201, 1.0), (201, 202, 1.0), (200, 202, 1.0)]
+    home, want = {v: v for e in edges for v in e[:2]}, []
+    for w, u, v in sorted((w, u, v) for u, v, w in edges):
+        if home[u] != home[v]:
+            want.append((u, v, w))
+            old, new = home[u], home[v]
+            home = {k: new if c == old else c for k, c in home.items()}
+    sizes, keep = [], trees.saved
+    monkeypatch.setattr(trees, "saved", lambda df: (out := keep(df)) and sizes.append(out.count() if set(df.columns) == {"a", "b", "e"} else 0) or out)
+    got = trees.minimum_spanning_forest(G.graph(spark.createDataFrame(edges, "src long, dst long, weight double")))
+    assert rows(got) == sorted(want, key=repr)
+    left = [n for n in sizes if n]
+    assert left and left[0] < len(edges) * 0.7 and left == sorted(left, reverse=True)
