@@ -3,7 +3,7 @@
 import random
 
 from netlens.graph import graph
-from netlens.operators import centrality
+from netlens.operators import centrality, paths
 
 
 def shuffled(spark):
@@ -30,3 +30,22 @@ def test_reach_moves_no_sketches(spark):
             off.append(got[v, i] / len(ball) - 1)
             ball = ball.union(*(near[x] for x in ball))
     assert len(got) == 5 * n and abs(sum(off) / len(off)) < 0.02
+
+
+def test_levels_of_a_dense_graph_take_a_round_per_part(spark, monkeypatch):
+    rng = random.Random(2)
+    n, edges = 300, sorted({tuple(sorted(rng.sample(range(300), 2))) for _ in range(9000)})
+    level = [0] * n
+    for a, b in edges:
+        level[b] = max(level[b], level[a] + 1)
+    assert max(level) > 50
+    monkeypatch.setattr(paths, "PEELED", 2000)  # four parts
+    saves, keep = [], paths.saved
+    monkeypatch.setattr(paths, "saved", lambda df: saves.append(1) or keep(df))
+    g = graph(spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src long, dst long, weight double"), spark.range(n)).saved()
+    assert {r.id: r.level for r in paths.topological_levels(g).collect()} == dict(enumerate(level))
+    assert len(saves) < 30
+    # parts that wait for each other
+    monkeypatch.setattr(paths, "PEELED", 4)
+    path = graph(spark.createDataFrame([(0, 5, 1.0), (5, 1, 1.0), (1, 6, 1.0), (6, 2, 1.0), (0, 2, 1.0), (5, 6, 1.0), (0, 7, 1.0), (3, 7, 1.0)], "src long, dst long, weight double"), spark.range(9)).saved()
+    assert {r.id: r.level for r in paths.topological_levels(path).collect()} == {0: 0, 5: 1, 1: 2, 6: 3, 2: 4, 3: 0, 7: 1, 4: 0, 8: 0}
