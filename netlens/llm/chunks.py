@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans import files
 from ..plans.loop import join_spread
 from .common import column, fresh, staged, text_column
 from .hashing import EXACT, INVERSE, mix, owners, parts, powers, release, span_hashes, text_bytes, word_spans
@@ -24,6 +25,8 @@ from .hashing import EXACT, INVERSE, mix, owners, parts, powers, release, span_h
 #: Cuts are minima of so many word starts; a passage of 51 words then holds whole chunks of
 #: at least 51 - 2 * (WINDOW - 1) words less those within 32 bytes of its start.
 WINDOW, MIN_WORDS = 10, 20
+#: Leading bits of a digest by which a bitmap (32 MB) tells those that may repeat; a fuller one only lets more through.
+FILTER = 28
 #: Values of the bytes; 0 is neutral, so that texts can be set apart by zero bytes.
 GEAR = (mix(np.arange(256, dtype=np.uint64) + np.uint64(31)) >> np.uint64(32)).astype(np.uint32)
 GEAR[0] = 0
@@ -78,10 +81,26 @@ def sequences(digest: np.ndarray, first: np.ndarray, after: np.ndarray, own: np.
     return begin, last, *joint
 
 
-def sequence_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """digest and check (128 bits together), doc_id, start, stop (byte offsets: first byte, start of the next chunk or end of the last word), word (number of the first one), words: the sequences of ``docs(doc_id, text)``."""
+def _repeated(docs: DataFrame, min_words: int) -> str:
+    """Folder (k, bits) of a bitmap of the leading FILTER bits of the digests that occur more than once: only digests are shuffled."""
+    digests = sequence_rows(docs, min_words).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    place = F.shiftrightunsigned("digest", 64 - FILTER)
+    return files.written(digests.groupBy(F.shiftright(place, 15).alias("k")).agg(F.bitmap_construct_agg(place % 32768).alias("bits")), "repeated")
+
+
+def _bitmap(place: str) -> np.ndarray:
+    """The bytes of a bitmap that _repeated() wrote."""
+    rows, out = files.read(place), np.zeros((1 << FILTER - 15, 4096), np.uint8)
+    for k, bits in zip(rows["k"].to_pylist(), rows["bits"]):
+        out[k] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return out.reshape(-1)
+
+
+def sequence_rows(docs: DataFrame, min_words: int, repeated: str | None = None) -> DataFrame:
+    """digest and check (128 bits together), doc_id, start, stop (byte offsets: first byte, start of the next chunk or end of the last word), word (number of the first one), words: the sequences of ``docs(doc_id, text)``, or those of them that a bitmap by _repeated() holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _bitmap(repeated) if repeated else None
         for batch in batches:
             ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)
             for at, texts in parts(text_column(batch, "text"), 1 << 20):
@@ -94,6 +113,10 @@ def sequence_rows(docs: DataFrame, min_words: int) -> DataFrame:
                 same = np.append(own[1:] == own[:-1], False)
                 stop = np.where(same, np.append(begin[1:], 0), ends[after - 1] - offsets[own])
                 a, b, joint, check = sequences(digest, first, after, own, min_words)
+                if held is not None:
+                    bit = joint >> np.uint64(64 - FILTER)
+                    may = np.flatnonzero(held[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                    a, b, joint, check = a[may], b[may], joint[may], check[may]
                 word = first - np.searchsorted(starts, offsets)[own]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(joint.view(np.int64)), pa.array(check.view(np.int64)), pa.array(ids[at : at + len(texts)][own[a]]), pa.array(begin[a]), pa.array(stop[b]), pa.array(word[a].astype(np.int32)), pa.array((after[b] - first[a]).astype(np.int32))],
@@ -113,7 +136,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     chunk.  Null, empty and short texts have no spans, null doc_ids are ignored; of rows with equal doc_id the
     spans are those of all their texts together and equal places count as one.  An empty table gives no rows.
     """
-    rows = sequence_rows(docs, min_words)
+    # most sequences occur once: a bitmap of fixed size keeps them from the shuffles of whole rows
+    rows = sequence_rows(docs, min_words, _repeated(docs, min_words))
     first = rows.groupBy("digest", "check").agg(F.min(F.struct("doc_id", "start", "stop", "word", "words")).alias("f"), F.count("*").alias("n")).where("n > 1")
     first = first.select("digest", F.col("check").alias("f_check"), "n", F.col("f.doc_id").alias("f_doc"), F.col("f.start").alias("f_start"), F.col("f.stop").alias("f_stop"), (F.col("f.word") + F.col("f.words")).alias("f_after"))
     first = staged(first, "repeated-sequences")
