@@ -3,7 +3,7 @@
 import random
 
 from netlens.graph import graph
-from netlens.operators import centrality, paths
+from netlens.operators import centrality, components, paths
 
 
 def shuffled(spark):
@@ -49,3 +49,33 @@ def test_levels_of_a_dense_graph_take_a_round_per_part(spark, monkeypatch):
     monkeypatch.setattr(paths, "PEELED", 4)
     path = graph(spark.createDataFrame([(0, 5, 1.0), (5, 1, 1.0), (1, 6, 1.0), (6, 2, 1.0), (0, 2, 1.0), (5, 6, 1.0), (0, 7, 1.0), (3, 7, 1.0)], "src long, dst long, weight double"), spark.range(9)).saved()
     assert {r.id: r.level for r in paths.topological_levels(path).collect()} == {0: 0, 5: 1, 1: 2, 6: 3, 2: 4, 3: 0, 7: 1, 4: 0, 8: 0}
+
+
+def test_subtree_extremes_in_tasks_save_once(spark, monkeypatch):
+    rng = random.Random(4)
+    n, kids = 300, [[] for _ in range(300)]
+    pred = [None] + [rng.randrange(max(0, v - 4), v) for v in range(1, n)]
+    for v in range(1, n):
+        kids[pred[v]].append(v)
+    first, last, at, stack = [0] * n, [0] * n, 0, [(0, True)]
+    while stack:  # an edge down and up takes a place each
+        v, enters = stack.pop()
+        if v and enters:
+            first[v] = 2 * at + 1
+        elif v:
+            last[v] = 2 * at + 1
+        at += bool(v)
+        if enters:
+            stack.append((v, False))
+            stack.extend((k, True) for k in kids[v])
+    last[0] = 2 * at
+    values = [(v, rng.randrange(1000), rng.randrange(1000)) for v in range(n)]
+    low, high = [x[1] for x in values], [x[2] for x in values]
+    for v in range(n - 1, 0, -1):
+        low[pred[v]], high[pred[v]] = min(low[pred[v]], low[v]), max(high[pred[v]], high[v])
+    tour = spark.createDataFrame([(v, pred[v], first[v], last[v]) for v in range(n)], "id long, pred long, first long, last long")
+    saves, keep = [], components.saved
+    monkeypatch.setattr(components, "saved", lambda df: saves.append(1) or keep(df))
+    got = components._subtree_extremes(tour, spark.createDataFrame(values, "id long, lo long, hi long"))
+    assert sorted(map(tuple, got.collect())) == [(v, low[v], high[v]) for v in range(1, n)]
+    assert len(saves) == 2
