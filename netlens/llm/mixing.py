@@ -8,7 +8,7 @@ correction of the weights, learned online bit by bit, refines them within a stre
 
 Learning is spread over the cluster: words are counted by a grouping; every task counts bits in its own tables, which are added block by block; the weights
 come from counts of what the predictors said of training bits, each bit predicted from all other occurrences (its own is taken out of the counts).  Everything
-comes from all training texts.  Tables have as many slots as the training tokens ask for, up to a stated bound.
+comes from all training texts, weights too: symbols that recur in their contexts are counted once with their number.  Tables have as many slots as the training tokens ask for, up to a stated bound.
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ WORDS, SLOTS = 1 << 18, 1 << 22
 BLOCK = 1 << 15
 #: Symbols over which the online correction of the weights lasts, and its rate.
 STRETCH, RATE = 256, 0.01
-#: One in so many symbols of every training text serves to fit the GATES x 4 weights.
-FIT_EACH = 8
 #: Added to counts before their logit.
 PRIOR = 0.2
 #: Steps of the three logits in the counts that weights are fitted on; a tree's branches are nearly even, so its logits are small.
@@ -44,7 +42,7 @@ GATES, INPUTS = 32, 3
 #: Weights where nothing was seen, and how many bits' worth of belief they have.
 DEFAULT, BELIEF = np.array([0.6, 0.2, 0.2, 0.0]), 20.0
 #: Bits of stretches that are scored side by side, and bits looked up at once.
-EVENTS, PORTION = 1 << 21, 1 << 16
+EVENTS, PORTION = 1 << 21, 1 << 14
 CHECK = byte_table(True, 2)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -148,7 +146,8 @@ class Codes:
         high = np.uint32(33 - self.slots.bit_length())
         # contexts are well mixed, so the high bits of a product will do; bytes have the tables' last third
         slots = [((x ^ turn) * np.uint32(0x9E3779B1)) >> high for x in (one, two)]
-        return *(np.where(spelt, (x >> np.uint32(1)) + np.uint32(self.slots), x) for x in slots), spelt
+        half = spelt.view(np.uint8)
+        return *((x >> half) + half * np.uint32(self.slots) for x in slots), spelt
 
 
 def stir(x: np.ndarray) -> np.ndarray:
@@ -170,6 +169,17 @@ def portions(codes: Codes, symbols: np.ndarray):
         i = j
 
 
+def distinct(symbols: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, their contexts, how often) of symbols whose contexts are ``one`` and ``two``: equal ones together (those whose hashes meet may stand several times)."""
+    key = two.astype(np.uint64) << np.uint64(32) | symbols
+    order = np.argsort(key)
+    key, symbols, one, two = key[order], symbols[order], one[order], two[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (one[1:] != one[:-1])
+    at = np.flatnonzero(new)
+    return symbols[at], one[at], two[at], np.diff(np.append(at, len(key)))
+
+
 # ---------------------------------------------------------------- files of a model
 
 
@@ -234,7 +244,8 @@ class Mixer:
     SCALE = 1 / 1024
 
     def __init__(self, codes: Codes, counts: np.ndarray, weights: np.ndarray):
-        self.codes, self.weights = codes, np.ascontiguousarray(weights.T, np.float32)
+        self.codes, self.gates = codes, np.ascontiguousarray(weights, np.float32)
+        self.weights = self.gates.T
         self.tables = []
         for own in counts:
             table = np.empty(len(own), np.int16)
@@ -279,21 +290,29 @@ class Mixer:
         x, z, sign = np.empty((INPUTS, start[-1]), np.float32), np.empty(start[-1], np.float32), np.empty(start[-1], np.float32)
         for own in portions(codes, symbols):
             node, bit, _, slot1, slot2, spelt = codes.expand(symbols[own], one[own], two[own])
-            a, b = self.tables[0][slot1], self.tables[1][slot2]
-            gate = (spelt * np.int16(16) + (b & 3) * np.int16(4) + (a & 3)).astype(np.intp)
+            a, b = self.tables[0].take(slot1), self.tables[1].take(slot2)
+            gate = spelt.view(np.int8) * np.int16(16)
+            gate += (b & 3) << 2
+            gate += a & 3
             at = slice(start[own.start], start[own.stop])
-            z[at], sign[at] = np.take(self.weights[INPUTS], gate), np.float32(1) - np.float32(2) * bit
-            for k, value in enumerate((codes.logit[node], (a >> 2) * np.float32(4 * self.SCALE), (b >> 2) * np.float32(4 * self.SCALE))):
-                x[k, at] = value
-                z[at] += value * np.take(self.weights[k], gate)
+            weights = self.gates.take(gate, axis=0)
+            np.multiply(bit, np.float32(-2), out=sign[at])
+            sign[at] += 1
+            codes.logit.take(node, out=x[0, at], mode="clip")
+            np.multiply(a >> 2, np.float32(4 * self.SCALE), out=x[1, at])
+            np.multiply(b >> 2, np.float32(4 * self.SCALE), out=x[2, at])
+            now = weights[:, INPUTS].copy()
+            for k in range(INPUTS):
+                now += weights[:, k] * x[k, at]
+            z[at] = now
         if rate:
             more = np.zeros((INPUTS, n), np.float32)
             for i, j in zip(steps[:-1].tolist(), steps[1:].tolist()):
                 low, high = start[i], start[j]
                 own, at, times = stretch[i:j], start[i:j] - low, size[i:j]
-                now, side = z[low:high], sign[low:high]
+                now, side, each = z[low:high], sign[low:high], np.repeat(own, times)
                 for k in range(INPUTS):
-                    now += x[k, low:high] * np.repeat(more[k][own], times)
+                    now += x[k, low:high] * more[k].take(each)
                 # the error, target less probability, is -sign / (1 + exp(-sign z)), as sign is -1 where the bit is 1
                 wrong = side / (np.float32(1) + np.exp(-side * now))
                 for k in range(INPUTS):
@@ -434,11 +453,13 @@ def count_contexts(training: DataFrame, place: str) -> str:
                 symbols, bounds = _symbols(some)
                 if total is None:
                     total = np.zeros((2, codes.slots + codes.spelt, 2), np.uint32)
-                one, two = codes.contexts(symbols, bounds)
+                symbols, one, two, n = distinct(symbols, *codes.contexts(symbols, bounds))
+                n = n.astype(np.uint32)
                 for own in portions(codes, symbols):
-                    _, bit, _, slot1, slot2, _ = codes.expand(symbols[own], one[own], two[own])
+                    _, bit, size, slot1, slot2, _ = codes.expand(symbols[own], one[own], two[own])
+                    times = np.repeat(n[own], size)
                     for k, slot in enumerate((slot1, slot2)):
-                        np.add.at(total[k].ravel(), slot.astype(np.int64) * 2 + bit, np.uint32(1))
+                        np.add.at(total[k].ravel(), slot.astype(np.int64) * 2 + bit, times)
         if total is not None:
             flat = total.reshape(-1, 2)
             for i in range(0, len(flat), BLOCK):
@@ -463,51 +484,58 @@ def count_contexts(training: DataFrame, place: str) -> str:
     return out
 
 
+def levels(x: np.ndarray, step: float) -> np.ndarray:
+    """Logits rounded to the LEVELS steps, from 0."""
+    return (np.clip(np.rint(x / np.float32(step)), -(LEVELS // 2), LEVELS // 2) + LEVELS // 2).astype(np.uint8)
+
+
+def without_own(counts: np.ndarray, step: float) -> np.ndarray:
+    """What a table says of a bit (at 2 x slot + bit) without that occurrence: two bits of how much was seen, times LEVELS, plus the level of its logit."""
+    out = np.empty((len(counts), 2), np.uint8)
+    for i in range(0, len(counts), 1 << 20):
+        for bit in (0, 1):
+            now = counts[i : i + (1 << 20)].astype(np.float32).T.copy()
+            np.maximum(now[bit] - 1, 0, out=now[bit])
+            out[i : i + (1 << 20), bit] = seen(now[0] + now[1]) * LEVELS + levels(np.log(now[1] + np.float32(PRIOR)) - np.log(now[0] + np.float32(PRIOR)), step)
+    return out.ravel()
+
+
 def fit_weights(training: DataFrame, place: str, tables: str) -> np.ndarray:
     """Weights (GATES x INPUTS + 1) of the logits.
 
-    One bit of the code of every FIT_EACH-th symbol of each training text, both picked by a hash of its place and context and weighted by the code's length, is predicted from all other
-    occurrences; how often a bit was 1 is counted for each gate and each combination of rounded logits (a table of fixed size), on which a logistic regression is fitted.
+    Every bit of every symbol of all training texts is predicted from all other occurrences; how often a bit was 1 is counted for each gate and each combination of rounded
+    logits (a table of fixed size), on which a logistic regression is fitted.
     """
+    shape = (2, LEVELS, 4, LEVELS, 4, LEVELS, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, total = codes_of(place), np.zeros(GATES * LEVELS**INPUTS * 2, np.int64)
-        counts = None
+        codes, total = codes_of(place), np.zeros(np.prod(shape), np.int64)
+        said = first = None
         for batch in batches:
-            if counts is None:
-                counts = _hold(place, "counts", lambda: tables_of(place, tables))
+            if said is None:
+                said = _hold(place, "said", lambda: [without_own(x, step) for x, step in zip(tables_of(place, tables), STEPS[1:])])
+                first = levels(codes.logit, STEPS[0]).astype(np.int64) + LEVELS * (np.arange(len(codes.logit)) > codes.words)
             for some in slices(batch, "symbols", 8 << 20):
                 symbols, bounds = _symbols(some)
-                one, two = codes.contexts(symbols, bounds)
-                place_in = (np.arange(len(symbols)) - np.repeat(bounds[:-1], np.diff(bounds))).astype(np.uint32)
-                chance = stir(place_in ^ two)
-                some_ = np.flatnonzero(chance % np.uint32(FIT_EACH) == 0)
-                for low in range(0, len(some_), PORTION):
-                    own = some_[low : low + PORTION]
-                    size = codes.length[symbols[own]]
-                    pick = codes.start[symbols[own]] + (chance[own] // np.uint32(FIT_EACH)) % size.astype(np.uint32)
-                    node, bit = codes.nodes[pick], codes.bits[pick].astype(np.int64)
-                    slot1, slot2, spelt = codes.places(node, one[own], two[own])
-                    cell = spelt.astype(np.int64) * 16
-                    rounded = [codes.logit[node]]
-                    each = np.arange(len(bit))
-                    for k, slot in enumerate((slot1, slot2)):
-                        now = counts[k][slot].astype(np.float64)
-                        now[each, bit] = np.maximum(now[each, bit] - 1, 0)  # this occurrence
-                        cell += seen(now.sum(1)).astype(np.int64) * (1 if k == 0 else 4)
-                        rounded.append(np.log(now[:, 1] + PRIOR) - np.log(now[:, 0] + PRIOR))
-                    for x, wide in zip(rounded, STEPS):
-                        cell = cell * LEVELS + np.clip(np.rint(x / wide), -(LEVELS // 2), LEVELS // 2).astype(np.int64) + LEVELS // 2
-                    np.add.at(total, cell * 2 + bit, size)
+                symbols, one, two, n = distinct(symbols, *codes.contexts(symbols, bounds))
+                for own in portions(codes, symbols):
+                    node, bit, size, slot1, slot2, _ = codes.expand(symbols[own], one[own], two[own])
+                    cell = first.take(node)
+                    for table, slot in zip(said, (slot1, slot2)):
+                        cell *= 4 * LEVELS
+                        cell += table.take(slot * np.uint32(2) + bit)
+                    cell *= 2
+                    cell += bit
+                    np.add.at(total, cell, np.repeat(n[own], size))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
-        del counts
+        del said
         release()
 
     found = training.select("symbols").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most GATES * LEVELS**3 * 2 rows
-    total = np.zeros(GATES * LEVELS**INPUTS * 2)
+    total = np.zeros(np.prod(shape))
     total[found["cell"].to_numpy()] = found["n"].to_numpy()
-    total = total.reshape(GATES, LEVELS, LEVELS, LEVELS, 2)
+    total = total.reshape(shape).transpose(0, 4, 2, 1, 3, 5, 6).reshape(GATES, LEVELS, LEVELS, LEVELS, 2)
     axis = np.arange(LEVELS) - LEVELS // 2
     weights = np.tile(DEFAULT, (GATES, 1))
     for g in range(GATES):

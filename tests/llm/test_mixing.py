@@ -156,3 +156,38 @@ def test_regression_finds_weights():
     true = np.array([0.9, -0.3, 0.5, 0.1])
     p = 1 / (1 + np.exp(-x @ true))
     assert np.abs(mixing._regression(x, np.stack([1 - p, p], 1) * 1e4, mixing.DEFAULT) - true).max() < 0.01
+
+
+def test_weights_are_fitted_on_every_bit(spark, monkeypatch):
+    """The counts behind the weights hold each bit of each training symbol once, predicted without itself; they held one bit of every eighth symbol."""
+    rng = random.Random(12)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.2)), 30)}" for _ in range(rng.randrange(60))) for _ in range(40)] + ["rareword once"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    place = mixing.new_place(spark, "mixing")
+    codes = mixing.fit_codes(mixing.vocabulary(docs), place)
+    rows = mixing.coded(docs, F.lit(False), place)
+    tables = mixing.count_contexts(rows, place)
+    met, fit = [], mixing._regression
+    monkeypatch.setattr(mixing, "_regression", lambda x, counts, start: met.append((x, counts)) or fit(x, counts, start))
+    mixing.fit_weights(rows, place, tables)
+    symbols, bounds, *_ = codes.symbols(pa.array(texts))
+    node, bit, _, *slots, spelt = codes.expand(symbols, *codes.contexts(symbols, bounds))
+    want, half = collections.Counter(), mixing.LEVELS // 2
+    seen = [collections.Counter(zip(s.tolist(), bit.tolist())) for s in slots]
+    for i in range(len(bit)):
+        cell, logits = [int(spelt[i]) * 16], [codes.logit[node[i]]]
+        for k, s in enumerate(slots):
+            n = [seen[k][int(s[i]), b] - (b == bit[i]) for b in (0, 1)]
+            cell[0] += int(mixing.seen(np.array(sum(n)))) * (1, 4)[k]
+            logits.append(np.log(n[1] + mixing.PRIOR) - np.log(n[0] + mixing.PRIOR))
+        cell += [int(np.clip(np.rint(x / wide), -half, half)) for x, wide in zip(logits, mixing.STEPS)]
+        want[(*cell, int(bit[i]))] += 1
+    gates = sorted({k[0] for k in want})
+    got = collections.Counter()
+    for g, (x, counts) in zip(gates, met, strict=True):
+        for row, pair in zip(x, counts):
+            for b in (0, 1):
+                if pair[b]:
+                    got[(g, *np.rint(row[:3] / mixing.STEPS).astype(int).tolist(), b)] += int(pair[b])
+    assert sum(got.values()) == len(bit)
+    assert got == want
