@@ -11,7 +11,7 @@
    verified on the full sets.
 4. Members of buckets that are then still in several components are matched exactly: their shingles are ordered by how
    rare they are, and sets of the wanted similarity share one of their first shingles.  Who shares one is compared with a few of them in turn (as in 3);
-   where several components are left, block with block of bounded size, in which a pair that is
+   where several components are left (and at once where there are few sets), block with block of bounded size, in which a pair that is
    already connected needs no proof, so that two blocks yield at most a spanning forest.
 5. Components over the verified links.
 
@@ -45,6 +45,8 @@ SKETCH_BASE, RATE, TOP = 1.001, 20.0, 65535
 COUNTERS = 1 << 20
 #: Rounds in which those who share a rare shingle are compared with up to CENTRES of them; that settles all but larger gatherings.
 ROUNDS, CENTRES = 2, 16
+#: Sets up to which blocks are compared at once, without those rounds.
+STRAIGHT = 8192
 #: Members and bytes of sets in a block at most (and the bytes of one more set), and members compared at once.
 BLOCK, BLOCK_BYTES, TILE = 2048, 8 << 20, 512
 
@@ -234,24 +236,57 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
     return staged(both.mapInArrow(verify, "src long, dst long"), "links")
 
 
+def _common(u: pa.Array, v: pa.Array, most: int) -> np.ndarray | None:
+    """How many elements any two of ``u`` and ``v`` share, as products of matrices; None if more than ``most`` elements occur in both."""
+    sides, both = [], None
+    for cells in (u, v):
+        own = [np.frombuffer(x, np.uint64) for x in cells.to_pylist()]
+        sides.append((np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own]), len(own)))
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    if len(both) > most:
+        return None
+    out = np.zeros((len(u), len(v)), np.float32)
+    for lo in range(0, len(both), 4096):
+        some, held = both[lo : lo + 4096], []
+        for element, row, n in sides:
+            spot = np.minimum(np.searchsorted(some, element), len(some) - 1)
+            hit = some[spot] == element
+            held.append(np.zeros((n, len(some)), np.float32))
+            held[-1][row[hit], spot[hit]] = 1
+        out += held[0] @ held[1].T
+    return out
+
+
 def _forest(a: tuple, b: tuple, similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links between members of different labels of two blocks (rep, label, n, regs, set), compared tile by tile."""
+    """A spanning forest of the links between members of different labels of two blocks (rep, label, n, regs, set), compared tile by tile.
+
+    Pairs that agree in most registers come first, in growing portions; pairs that are connected by then need no test.
+    Where more pairs of two tiles are open than they share shingles, these are counted for all pairs at once.
+    """
     percent = round(100 * similarity)
-    parent: dict[int, int] = {}
+    labels, at = np.unique(np.concatenate([a[1], b[1]]), return_inverse=True)
+    la, lb, parent = at[: len(a[1])], at[len(a[1]) :], np.arange(len(labels))
 
     def root(x: int) -> int:
-        while (p := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(p, p)
+        while (p := parent[x]) != x:
+            parent[x] = x = parent[p]
         return x
 
+    def roots() -> np.ndarray:
+        while ((up := parent[parent]) != parent).any():
+            parent[:] = up
+        return parent
+
     out = []
     m = a[3].shape[1]
     least = m * similarity - 7 * np.sqrt(m * similarity * (1 - similarity))
     for i in range(0, len(a[0]), TILE):
-        for j in range(0, len(b[0]), TILE):
+        for j in range(i if a is b else 0, len(b[0]), TILE):
             one, two = slice(i, i + TILE), slice(j, j + TILE)
-            na, nb = a[2][one, None], b[2][None, two]
-            ok = (a[1][one, None] != b[1][None, two]) & (np.minimum(na, nb) >= similarity * np.maximum(na, nb) * (1 - 1e-12))
+            na, nb, top = a[2][one, None], b[2][None, two], roots()
+            ok = (top[la[one, None]] != top[lb[None, two]]) & (np.minimum(na, nb) >= similarity * np.maximum(na, nb) * (1 - 1e-12))
+            if a is b and i == j:
+                ok = np.triu(ok, 1)
             if not ok.any():
                 continue
             equal = np.zeros(ok.shape, np.int16)
@@ -259,12 +294,23 @@ def _forest(a: tuple, b: tuple, similarity: float) -> list[tuple[int, int]]:
                 equal += a[3][one, r, None] == b[3][None, two, r]
             x, y = np.nonzero(ok & (equal >= least))
             x, y = x[order := np.argsort(-equal[x, y], kind="stable")] + i, y[order] + j
-            ok = likely(a[3][x], b[3][y], a[2][x], b[2][y], similarity)
-            for p, q in zip(x[ok].tolist(), y[ok].tolist()):
-                rp, rq = root(int(a[1][p])), root(int(b[1][q]))  # labels are already connected
-                if rp != rq and similar(np.frombuffer(a[4][p].as_py(), np.uint64), np.frombuffer(b[4][q].as_py(), np.uint64), percent):
-                    parent[rp] = rq
-                    out.append((int(a[0][p]), int(b[0][q])))
+            size, common = TILE, None
+            while len(x):
+                p, q = x[:size], y[:size]
+                some = likely(a[3][p], b[3][q], a[2][p], b[2][q], similarity)
+                if common is None and some.sum() > TILE:
+                    common = _common(a[4][one], b[4][two], int(some.sum()))
+                if common is not None:
+                    shared = common[p - i, q - j].astype(np.int64)
+                    some &= 100 * shared >= percent * (a[2][p] + b[2][q] - shared)
+                for s, t in zip(p[some].tolist(), q[some].tolist()):
+                    rs, rt = root(la[s]), root(lb[t])  # labels are already connected
+                    if rs != rt and similar(np.frombuffer(a[4][s].as_py(), np.uint64), np.frombuffer(b[4][t].as_py(), np.uint64), percent):
+                        parent[rs] = rt
+                        out.append((int(a[0][s]), int(b[0][t])))
+                x, y, size, top = x[size:], y[size:], 2 * size, roots()
+                apart = top[la[x]] != top[lb[y]]
+                x, y = x[apart], y[apart]
     return out
 
 
@@ -361,10 +407,12 @@ def exact_links(sets: DataFrame, labels: DataFrame, similarity: float) -> DataFr
     """Links (src, dst) that, with those behind ``labels(id, component)``, connect all of ``sets(rep, n, regs, set)`` that have the similarity.
 
     In each round a few of those who share a token are compared with the others and leave; a pair that shares several tokens is compared once.
+    Up to STRAIGHT sets make so few pairs of blocks that rounds save nothing.
     """
     tokens = staged(rare_tokens(sets, similarity), "tokens")
+    rounds = 0 if sets.limit(STRAIGHT + 1).count() <= STRAIGHT else ROUNDS
     found = labels.select(F.col("id").alias("src"), F.col("component").alias("dst")).limit(0)
-    for i in range(ROUNDS + 1):
+    for i in range(rounds + 1):
         named = labels.select(F.col("id").alias("rep"), F.col("component").alias("label"))
         marked = tokens.join(named, "rep", "left").select("token", "rep", "n", "first", F.coalesce("label", "rep").alias("label"))
         lane = lambda j: F.when(F.col("first") & (F.pmod(F.xxhash64("rep"), F.lit(CENTRES)) == j), F.xxhash64("rep", F.lit(1)))
@@ -374,7 +422,7 @@ def exact_links(sets: DataFrame, labels: DataFrame, similarity: float) -> DataFr
         if not shared.limit(1).count():
             break
         open_ = join_spread(marked, shared.select("token", "centres"), "token", counts=shared.select("token", F.col("members").alias("n")))
-        if i == ROUNDS:
+        if i == rounds:
             found = found.union(linked_blocks(open_.select("token", "rep", "first", "label"), sets, similarity))
             break
         open_ = staged(open_, "open-tokens")
@@ -420,7 +468,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Dat
     inside = join_spread(bonds, per.select("band"), "band", counts=per.select("band", "n"))
     ids = staged(inside.select("rep").union(inside.select("src")).distinct(), "open")
     if ids.limit(1).count():
-        links = links.union(exact_links(sets.join(ids, "rep"), labels, similarity))
+        links = links.union(exact_links(staged(sets.join(ids, "rep"), "open-sets"), labels, similarity))
 
     named = staged(own.select("doc_id", "key1", "key2").join(classes.select("key1", "key2", "rep"), ["key1", "key2"]).select("doc_id", "rep"), "named")
     spread = named.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))

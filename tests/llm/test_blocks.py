@@ -5,6 +5,8 @@ import os
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from netlens.llm import minhash
@@ -65,3 +67,29 @@ def test_blocks_do_not_go_with_the_partitions(spark, monkeypatch):
     assert got[60] == got[7]
     blocks = [b for x in os.listdir(top) if x not in before and x.startswith("blocks-") for b in os.listdir(f"{top}/{x}") if b.startswith("block=")]
     assert len(blocks) == 1
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_a_pair_of_sets_is_verified_once_and_many_at_once(monkeypatch, same):
+    """Many near copies around the similarity: the forest connects what brute force does, with far fewer single tests than pairs."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(np.where(rng.random(100) < rate, rng.integers(1000, 10**9, 100), np.arange(100))).astype(np.uint64) for rate in np.linspace(0, 0.16, 600)]
+    bounds = np.append(0, np.cumsum([len(x) for x in sets]))
+    regs = minhash.registers(np.concatenate(sets), bounds)
+    calls, similar = [], minhash.similar
+    monkeypatch.setattr(minhash, "similar", lambda *x: calls.append(1) or similar(*x))
+    block = lambda at: (at, at, np.diff(bounds)[at], regs[at], pa.array([sets[i].tobytes() for i in at], pa.binary()))
+    left = block(np.arange(600) if same else np.arange(0, 600, 2))
+    right = left if same else block(np.arange(1, 600, 2))
+    got = minhash._forest(left, right, 0.85)
+    links = [(i, j) for i in left[0].tolist() for j in right[0].tolist() if i < j or not same if similar(sets[i], sets[j], 85)]
+
+    def parts(pairs):
+        root = list(range(600))
+        for i, j in pairs:
+            old, new = root[i], root[j]
+            root = [new if x == old else x for x in root]
+        return sorted(tuple(i for i in range(600) if root[i] == r) for r in set(root))
+
+    assert set(got) <= set(links) and parts(got) == parts(links)
+    assert len(calls) < 5000
