@@ -3,7 +3,7 @@
 import random
 
 from netlens.graph import graph
-from netlens.operators import centrality, components, paths
+from netlens.operators import centrality, components, paths, trees
 
 
 def shuffled(spark):
@@ -79,3 +79,23 @@ def test_subtree_extremes_in_tasks_save_once(spark, monkeypatch):
     got = components._subtree_extremes(tour, spark.createDataFrame(values, "id long, lo long, hi long"))
     assert sorted(map(tuple, got.collect())) == [(v, low[v], high[v]) for v in range(1, n)]
     assert len(saves) == 2
+
+
+def bits(df):
+    """Bits of the size that the optimizer expects of ``df``."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length()
+
+
+def test_expected_sizes_do_not_grow_with_the_rounds(spark, monkeypatch):
+    """Blocks and bridges of two circles and a path: estimates multiplied from round to round took the driver's memory."""
+    path = [(i, i + 1) for i in range(30)]
+    edges = path + [(0, 10), (20, 30)]
+    g = graph(spark.createDataFrame(edges, "src long, dst long")).saved()
+    seen = []
+    for module in (components, trees):
+        keep = module.saved
+        monkeypatch.setattr(module, "saved", lambda df, keep=keep: (out := keep(df), seen.append(bits(out)))[0])
+    found = components.biconnected(g)
+    assert sorted(map(tuple, components.bridges(found).collect())) == [(i, i + 1) for i in range(10, 20)]
+    assert sorted(r.id for r in components.articulation_points(found).collect()) == list(range(10, 21))
+    assert len(seen) > 20 and max(seen) < 500
