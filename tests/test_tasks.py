@@ -99,3 +99,20 @@ def test_expected_sizes_do_not_grow_with_the_rounds(spark, monkeypatch):
     assert sorted(map(tuple, components.bridges(found).collect())) == [(i, i + 1) for i in range(10, 20)]
     assert sorted(r.id for r in components.articulation_points(found).collect()) == list(range(10, 21))
     assert len(seen) > 20 and max(seen) < 500
+
+
+def test_sums_of_shares_do_not_go_with_the_partitions(spark):
+    """Every task used to send a row for each edge, also where only vertices were asked for, and there was a task per shuffle partition."""
+    rng = random.Random(6)
+    edges = sorted({(rng.randrange(300), rng.randrange(300)) for _ in range(24000)})
+    g = graph(spark.createDataFrame([(a, b) for a, b in edges if a != b], "src long, dst long"), spark.range(300)).saved()
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        before = shuffled(spark)
+        assert centrality.betweenness_centrality(g).count() == 300
+        assert shuffled(spark) - before < 2
+        assert centrality.edge_betweenness(g).count() == len({(min(e), max(e)) for e in edges if e[0] != e[1]})
+        assert shuffled(spark) - before < 10
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
